@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorlake.llm import chat, decontaminate, mixing, quality, sharding
+from floorlake.llm import chat, decontaminate, minhash, mixing, quality, sharding, warc
 from floorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -42,6 +46,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
 WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
@@ -124,6 +132,26 @@ SELECT conv_id, len(l)::BIGINT AS n_turns, n_same::BIGINT AS n_same,
   array_to_string(list_transform(l, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>'), chr(10)) AS chat
 FROM c JOIN keep USING (conv_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_quality, op6_sharding, op7_chat)}
-
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL}
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f"""
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') AS s FROM d WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM j JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.v FROM r JOIN e ON e.u = r.y)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) USING (doc_id)"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op9_minhash)}
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op5_warc": OP5_SQL, "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL, "op9_minhash": OP9_SQL}
