@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorlake.llm import chat, decontaminate, minhash, mixing, quality, sharding, warc
+from floorlake.llm import chat, decontaminate, minhash, mixing, quality, sharding, toxicity, warc
 from floorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
@@ -152,6 +157,6 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.v FROM r JOIN e
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) USING (doc_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op9_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op9_minhash, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op5_warc": OP5_SQL, "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL, "op9_minhash": OP9_SQL}
