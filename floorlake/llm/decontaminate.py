@@ -30,8 +30,12 @@ def _shingle_hashes(w: Column, length: int) -> Column:
 def _shingles(w: Column, length: Column | int) -> Column:
     """The distinct runs of ``length`` words themselves, joined by single spaces."""
     length = F.lit(length) if isinstance(length, int) else length
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.array_join(F.slice(w, i, length), " "))
-    return F.when((F.size(w) < length) | (length < 1), F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def made(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.array_join(F.slice(w, i, length), " "))
+        return F.when((F.size(w) < length) | (length < 1), F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    return let(w, made)
 
 
 def item_sketches(benchmark: DataFrame, n: int = WORDS, containment: float = CONTAINMENT) -> tuple[DataFrame, DataFrame]:
