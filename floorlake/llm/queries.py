@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorlake.llm import chat, decontaminate, minhash, mixing, quality, sharding, toxicity, warc
+from floorlake.llm import chat, decontaminate, minhash, mixing, quality, sharding, suffix, toxicity, warc
 from floorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
@@ -144,6 +148,19 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >=
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f"""
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, (2 * p + 1)::INT, 400)) AS k FROM (SELECT doc_id, h, unnest(range(n - 199)) AS p FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM g),
+s AS (SELECT doc_id, s, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, s),
+k AS (SELECT doc_id, s, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, (2 * z + 1)::INT, (2 * (a - z))::INT), '' ORDER BY a) || substr(any_value(h), (2 * max(b) + 1)::INT) AS h
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)"""
+
 OP9_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, s FROM (
@@ -157,6 +174,6 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.v FROM r JOIN e
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) USING (doc_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op9_minhash, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op8_suffix, op9_minhash, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op5_warc": OP5_SQL, "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL, "op9_minhash": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op5_warc": OP5_SQL, "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL, "op8_suffix": OP8_SQL, "op9_minhash": OP9_SQL}
