@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorlake.llm import chat, decontaminate, minhash, mixing, quality, sharding, suffix, toxicity, warc
+from floorlake.llm import chat, decontaminate, html_labeller, minhash, mixing, quality, sharding, suffix, toxicity, warc
 from floorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_labeller.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("text")
@@ -174,6 +178,6 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.v FROM r JOIN e
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) USING (doc_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op8_suffix, op9_minhash, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html, op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op8_suffix, op9_minhash, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op5_warc": OP5_SQL, "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL, "op8_suffix": OP8_SQL, "op9_minhash": OP9_SQL}
