@@ -142,4 +142,5 @@ def segment_meets_box(s: Segment, b: Box) -> Column:
 def fpn_level(h: Column, w: Column, image_area: Column) -> Column:
     """Pyramid level 2 to 5 of a box in unit coordinates; null for one without extent."""
     level = 4 + F.bround(F.log2(F.sqrt(F.when(h * w > 0, h * w)) / (224.0 / F.sqrt(image_area))), 0)
-    return F.least(F.lit(5), F.greatest(F.lit(2), level.cast("int")))
+    # least and greatest pass nulls over
+    return F.when(level.isNotNull(), F.least(F.lit(5), F.greatest(F.lit(2), level.cast("int"))))
