@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text's features are its character n-grams inside words, word boundaries included, hashed into
-buckets; each bucket has an embedding, a text is the mean of its features' embeddings, and a
+buckets; each bucket has an embedding, a text is the mean of its distinct features' embeddings, and a
 linear softmax over it gives the two classes. A misspelling shares most n-grams with its word.
 """
 
@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from floorlake.llm.shingles import CHUNK_BYTES, mixed
 
 U = np.uint64
-SIZES = (3, 4, 5, 6)
+SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
 #: Rows are gone through so often in all, but MAX_EPOCHS times each at most.
-VISITS = 60_000
+VISITS = 45_000
 MAX_EPOCHS = 40
 #: Buckets that fewer of the fitting rows have say nothing.
 LEAST_ROWS = 5
@@ -29,7 +29,7 @@ BATCH = 64
 RATE = 0.05
 SEED = 11
 #: The model is fit on so many labelled rows of class 0 and 1 at most, those with the smallest hash of doc_id.
-FIT_ROWS = (4000, 2000)
+FIT_ROWS = (3000, 1500)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
@@ -54,9 +54,11 @@ def features(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
-def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets and their counts."""
-    return np.unique(features(text), return_counts=True)
+def bag(text: bytes) -> np.ndarray:
+    """Distinct buckets: a word that fills a text counts as one that occurs once."""
+    there = np.zeros(BUCKETS, bool)
+    there[features(text)] = True
+    return np.flatnonzero(there).astype(np.int32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -64,7 +66,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int | None = None, seed: int = SEED) -> tuple[np.ndarray, float]:
+def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, seed: int = SEED) -> tuple[np.ndarray, float]:
     """(value of each bucket, offset): with two classes, a text's log odds are the offset plus the mean of its buckets' values.
 
     Embeddings and softmax are trained together by Adagrad on cross entropy, its classes weighted by the root of their rarity; the
@@ -72,12 +74,11 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     Buckets of fewer than LEAST_ROWS rows keep a zero embedding.
     """
     seen = np.zeros(BUCKETS, int)
-    for ids, _ in bags:
+    for ids in bags:
         seen[ids] += 1
-    bags = [(ids[keep], n[keep] / n.sum()) for ids, n in bags if (keep := seen[ids] >= LEAST_ROWS) is not None]
-    bags = [(ids, n) if len(ids) else (np.zeros(1, np.int32), np.zeros(1)) for ids, n in bags]
+    known = seen >= LEAST_ROWS
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, DIM)) * (seen >= LEAST_ROWS)[:, None]
+    table = rng.normal(0, 0.1, (BUCKETS, DIM)) * known[:, None]
     weights, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     g_table, g_weights, g_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     share = np.bincount(labels, minlength=2)
@@ -86,19 +87,21 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            ids = np.concatenate([bags[i][0] for i in some])
-            sizes = np.array([len(bags[i][0]) for i in some])
-            amount = np.concatenate([bags[i][1] for i in some])
-            starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            mean = np.add.reduceat(table[ids] * amount[:, None], starts, axis=0)
+            ids = np.concatenate([bags[i] for i in some])
+            sizes = np.array([len(bags[i]) for i in some])
+            rows = np.repeat(np.arange(len(some)), sizes)
+            keep = known[ids]
+            ids, rows = ids[keep], rows[keep]
+            amount = 1 / sizes[rows]
+            summed = lambda at, x, n: np.stack([np.bincount(at, x[:, d], n) for d in range(DIM)], axis=1)
+            mean = summed(rows, table[ids] * amount[:, None], len(some))
             y = labels[some]
             delta = softmax(mean @ weights + bias)
             delta[np.arange(len(some)), y] -= 1
             delta *= balance[y][:, None] / len(some)
             back = delta @ weights.T
             used, place = np.unique(ids, return_inverse=True)
-            rows = np.repeat(np.arange(len(some)), sizes)
-            grad = np.stack([np.bincount(place, amount * back[rows, d], len(used)) for d in range(DIM)], axis=1)
+            grad = summed(place, back[rows] * amount[:, None], len(used))
             g_table[used] += (grad**2).sum(1) / DIM
             table[used] -= RATE * 10 * grad / np.sqrt(g_table[used])[:, None]
             grad_w, grad_b = mean.T @ delta, delta.sum(0)
@@ -111,10 +114,14 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 
 def score(texts: list[bytes], values: np.ndarray, offset: float) -> np.ndarray:
     """Probability of the toxic class for each text; an empty text gets that of the offset."""
-    out = np.empty(len(texts))
+    out = np.zeros(len(texts))
+    there = np.zeros(BUCKETS, bool)
     for i, t in enumerate(texts):
         f = features(t)
-        out[i] = values[f].mean() if len(f) else 0.0
+        if len(f):
+            there[f] = True
+            out[i] = values[there].mean()
+            there[f] = False
     return 1 / (1 + np.exp(-(out + offset)))
 
 
@@ -135,16 +142,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] =
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [bag(t.encode()) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [x.astype(np.int32).tobytes() for x, _ in made], "counts": [n.astype(np.int32).tobytes() for _, n in made]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [bag(t.encode()).tobytes() for t in b["text"]]})
 
     # at most sum(fit_rows) rows: the broadcast is bounded
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
-    rows = texts.mapInPandas(bags, "doc_id long, toxic int, ids binary, counts binary").collect()
+    rows = texts.mapInPandas(bags, "doc_id long, toxic int, ids binary").collect()
     rows = sorted((r for r in rows if r["ids"]), key=lambda r: (r["doc_id"], bytes(r["ids"])))
     if not rows:
         return np.zeros(BUCKETS), 0.0
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows], np.array([r["toxic"] for r in rows]))
+    return fit([np.frombuffer(r["ids"], np.int32) for r in rows], np.array([r["toxic"] for r in rows]))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
