@@ -11,7 +11,7 @@ from floorlake.adapters import SQL_VIEWS, Views
 from floorlake.functions import classify as c
 from floorlake.functions import geometry as g
 from floorlake.functions import text as t
-from floorlake.operators import evaluate, masks, metrics, pairs, paths, raster, segments, suppress, texts
+from floorlake.operators import evaluate, masks, metrics, pairs, paths, prepare, raster, segments, suppress, texts
 from floorlake.plans import reports
 from floorlake.sources import images, outputs
 
@@ -634,6 +634,29 @@ def image_admission(v: Views) -> DataFrame:
     return images.admitted(sized).select("image_id", "new_width", "new_height", "status", "resized")
 
 
+@query("""+ s AS (SELECT event_id AS image_id, (100 + event_id * 7 % 3000)::DOUBLE AS w, (100 + event_id * 13 % 2500)::DOUBLE AS h FROM events),
+u AS (SELECT *, greatest(1, 800 / least(h, w)) AS up FROM s), z AS (SELECT *, CASE WHEN round_even(greatest(h, w) * up, 0) > 1600 THEN 1600 / greatest(h, w) ELSE up END AS z FROM u),
+o AS (SELECT *, round_even(h * z, 0)::INTEGER AS oh, round_even(w * z, 0)::INTEGER AS ow FROM z)
+SELECT image_id, round(z, 9) AS scale, 1600 AS out_width, 1600 AS out_height, (1600 - oh) // 2 AS y1, (1600 - ow) // 2 AS x1, (1600 - oh) // 2 + oh AS y2, (1600 - ow) // 2 + ow AS x2 FROM o""")
+def resize_plan(v: Views) -> DataFrame:
+    sized = v.events.selectExpr("e image_id", "cast(100 + e * 7 % 3000 as double) width", "cast(100 + e * 13 % 2500 as double) height")
+    return rounded(prepare.resize_plan(sized), "scale", digits=9)
+
+
+@query("""+ a AS (SELECT image_id, det_id, class_id, sum(x_end - x_start) AS area FROM mask_runs GROUP BY 1, 2, 3)
+SELECT image_id, class_id, det_id, area::BIGINT AS area FROM (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY area DESC, det_id) AS n FROM a) WHERE n <= 4""")
+def largest_masks(v: Views) -> DataFrame:
+    return prepare.largest_masks(v.detections, masks.mask_boxes(v.mask_runs)).select("image_id", "class_id", "det_id", "area")
+
+
+@query("""+ m AS (SELECT det_id, sum(x_end - x_start) AS n, min(y) AS y1, max(x_end) - 1 AS x2 FROM mask_runs GROUP BY 1)
+SELECT det_id, CASE class_id WHEN 1 THEN 'wall' WHEN 2 THEN 'window' ELSE 'door' END AS type, n::DOUBLE AS area, round(n / 1254400 * 100, 9) AS coverage_pct, m.y1 AS mask_y1, m.x2 AS mask_x2
+FROM (SELECT det_id, class_id, score FROM detections) JOIN m USING (det_id)""")
+def object_records(v: Views) -> DataFrame:
+    d = prepare.object_records(v.detections, v.mask_runs, v.images)
+    return d.select("det_id", "type", F.col("dimensions.area").alias("area"), F.round("mask.coverage_pct", 9).alias("coverage_pct"), F.col("mask.y1").alias("mask_y1"), F.col("mask.x2").alias("mask_x2"))
+
+
 def crossing_bars(v: Views) -> DataFrame:
     """Masks with something to walk: bars of 81 x 11 pixels on a 25-pixel grid, lying and standing, some of which cross."""
     d = v.walls.filter("wall_seq <= 6").selectExpr("image_id", "det_id", "cast(least(sx, ex) / 4 as bigint) + 75 x", "cast(least(sy, ey) / 4 as bigint) + 75 y", "sx <> ex flat")
