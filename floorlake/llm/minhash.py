@@ -22,6 +22,9 @@ BATCH = 16
 MISS = 1e-6
 #: Buckets of up to so many members are resolved by joining members of different components; larger ones block by block.
 SMALL_BUCKET = 64
+BLOCK = 512
+#: Turns in which a node meets one bucket's centre, before members of still open buckets meet one another.
+TURNS = 2
 SIGNED = "doc_id long, node long, n_shingles long, bands array<long>, signature binary"
 
 
@@ -106,104 +109,182 @@ def bayes_pruned(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) ->
     return sized.filter(keeps("su", "sv")).select("u", "v")
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose whole shingle sets have the similarity."""
+def _sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """node, shingles: the sorted 64-bit hashes of the whole set of each node."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [(t or "").encode() for t in b["text"]]
             for some in shingles.chunks(texts):
                 h, ends = shingles.shingle_sets([texts[i] for i in some], n)
                 yield pd.DataFrame({"node": b["node"].iloc[some], "shingles": [x.tobytes() for x in np.split(h, ends[:-1])]})
 
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(broadcast_if_small(nodes), "node", "left_semi")
+    return staged(texts.mapInPandas(made, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+
+
+def _array(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint64)
+
+
+def exact_links(pairs: DataFrame, docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose whole shingle sets have the similarity."""
+
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        array = lambda x: np.frombuffer(x, np.uint64)
-        return pd.Series([shingles.jaccard_at_least(array(x), array(y), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([shingles.jaccard_at_least(_array(x), _array(y), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     nodes = staged(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(broadcast_if_small(nodes), "node", "left_semi")
-    made = staged(texts.mapInPandas(sets, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+    made = _sets(nodes, docs, n)
     joined = pairs.join(made.toDF("u", "su"), "u").join(made.toDF("v", "sv"), "v")
     return joined.filter(similar("su", "sv")).select("u", "v")
 
 
-def _ordered(u, v):  # noqa: ANN001, ANN202
-    return F.least(u, v).alias("u"), F.greatest(u, v).alias("v")
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """band, node and root, the node itself where it has no link yet."""
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
 
+def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """One pair a node: with the centre of one of its buckets, in another component than its own.
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    named = pairs.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
-    return named.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    The centre is first the member that shares most buckets with others, so the text that a group
+    of copies was made from; in later turns it is any.
+    """
+    if turn == 0:
+        sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+        shared = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("shared"))
+        members, place = members.join(shared, "node"), F.struct("shared", "node")
+    else:
+        place = F.struct(F.xxhash64(F.lit(turn), "node"), "node")
+    shape = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.struct(place.alias("place"), "node", "root")).alias("centre")).filter("a <> b")
+    stars = members.join(shape.select("band", F.col("centre.node").alias("centre"), F.col("centre.root").alias("centre_root")), "band").filter("root <> centre_root")
+    one = stars.groupBy("node").agg(F.min("centre").alias("centre"))
+    return one.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+
+
+def _own_shingles(members: DataFrame, signs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """node, n, own: how many shingles a member has, and how many of them no other member has."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [(t or "").encode() for t in b["text"]]
+            for some in shingles.chunks(texts):
+                h, ends = shingles.shingle_sets([texts[i] for i in some], n)
+                sizes = np.diff(np.concatenate(([0], ends)))
+                yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy()[some], sizes), "shingle": h.view(np.int64)})
 
+    nodes = staged(members.select("node").distinct(), "nodes")
+    sized = signs.select("node", F.col("n_shingles").alias("n")).join(broadcast_if_small(nodes), "node", "left_semi").distinct()
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(broadcast_if_small(nodes), "node", "left_semi")
+    # least and largest holder: equal for a shingle of one member, however many copies of its text there are
+    holders = texts.mapInPandas(split, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return sized.join(holders.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """``members`` of the buckets that lie in two components or more, with the bucket's size."""
+    shape = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    return members.drop("size").join(shape.select("band", "size"), "band")
 
-def _open_members(signs: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, node, root, size of buckets of three members or more that lie in two components or more."""
-    members = signs.select(F.explode("bands").alias("band"), "node").distinct().join(buckets.filter("rows > 2").select("band"), "band")
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shape = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b and size > 2")
-    return rooted.join(shape.select("band", "size"), "band")
 
+def _may_share(nu, ou, nv, ov, percent: int):  # noqa: ANN001, ANN202
+    """Whether sets of nu and nv shingles, ou and ov of which nobody else has, can be as similar as that."""
+    most = F.least(nu - ou, nv - ov)
+    return 100 * most >= percent * (nu + nv - most)
 
-def _small_pairs(members: DataFrame) -> DataFrame:
+
+def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
     few = members.filter(F.col("size") <= SMALL_BUCKET)
-    left, right = few.select("band", F.col("node").alias("x"), F.col("root").alias("rx")), few.select("band", F.col("node").alias("y"), F.col("root").alias("ry"))
-    return left.join(right, "band").filter("x < y and rx <> ry").select(*_ordered(F.col("x"), F.col("y")))
+    side = lambda k: few.select("band", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("own").alias(f"o{k}"))
+    possible = _may_share(F.col("nu"), F.col("ou"), F.col("nv"), F.col("ov"), percent)
+    return side("u").join(side("v"), "band").filter("u < v and ru <> rv").filter(possible).select("u", "v").distinct()
 
 
-def _large_pairs(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components in large buckets, compared a block of members against a block.
+def _large_links(members: DataFrame, signs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between different components in large buckets: members outside the largest component against all.
 
-    A task holds two blocks, whatever the bucket's size; only pairs that the posterior doesn't give up leave it.
+    Buckets with one most popular member hold much the same group and are taken together. A group
+    is compared a block against a block: a task holds two blocks of whole sets, whatever the
+    group's size. Pairs that neither their own shingles nor the posterior rule out are counted
+    exactly there, and a pair that a link found before has already joined is skipped.
     """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         s, node, root = _unpacked(rows["signature"]), rows["node"].to_numpy(), rows["root"].to_numpy()
-        own, i, j = rows["own"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-        take = (root[a] != root[b]) & ((a < b) if i == j else True)
-        a, b = a[take], b[take]
-        good = plausible(s[a], s[b], percent)
-        u, v = node[a[good]], node[b[good]]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        size, free = rows["n"].to_numpy(), rows["n"].to_numpy() - rows["own"].to_numpy()
+        sets = [_array(x) for x in rows["shingles"]]
+        above: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in above:
+                r = above[r]
+            return r
+
+        probe = rows["probe"].to_numpy()
+        targets = np.flatnonzero(~probe)
+        out = []
+        for a in np.flatnonzero(probe):
+            most = np.minimum(free[a], free[targets])
+            take = (root[targets] != root[a]) & (100 * most >= percent * (size[a] + size[targets] - most))
+            b = targets[take]
+            for x in b[plausible(np.broadcast_to(s[a], (len(b), s.shape[1])), s[b], percent)]:
+                if (ra := top(root[a])) != (rx := top(root[x])) and shingles.jaccard_at_least(sets[a], sets[x], percent):
+                    above[ra] = rx
+                    out.append((min(node[a], node[x]), max(node[a], node[x])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     many = members.filter(F.col("size") > SMALL_BUCKET)
-    blocks = F.ceil(F.col("size") / SMALL_BUCKET)
-    dealt = many.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    named = signs.select("node", "signature").join(many.select("node").distinct(), "node", "left_semi")
-    dealt = dealt.join(named.groupBy("node").agg(F.max("signature").alias("signature")), "node")
-    groups = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "signature")
-    return groups.groupBy("band", "i", "j").applyInPandas(compare, "u long, v long")
+    popular = many.join(many.groupBy("node").agg(F.sum("size").alias("shared")), "node")
+    centres = popular.groupBy("band").agg(F.max(F.struct("shared", "node")).alias("c")).select("band", F.col("c.node").alias("centre"))
+    groups = staged(many.join(centres, "band").select("centre", "node", "root", "n", "own").distinct(), "groups")
+    if groups.isEmpty():
+        return members.sparkSession.createDataFrame([], "u long, v long")
+    nodes = staged(groups.select("node").distinct(), "nodes")
+    named = signs.select("node", "signature").join(broadcast_if_small(nodes), "node", "left_semi").groupBy("node").agg(F.max("signature").alias("signature")).join(_sets(nodes, docs, n), "node")
+    largest = groups.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("centre").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("others"))
+    sized = groups.join(largest, "centre")
+    wide, high = F.ceil(F.col("all") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    deal = lambda blocks: F.pmod(F.xxhash64(F.lit(3), "node"), blocks)
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    columns = ["centre", "i", "j", "node", "root", "n", "own", "probe"]
+    probes = sized.filter("root <> most").withColumn("i", deal(high)).withColumn("j", every(wide)).withColumn("probe", F.lit(True))
+    targets = sized.filter("others > 0").withColumn("j", deal(wide)).withColumn("i", every(high)).withColumn("probe", F.lit(False))
+    dealt = probes.select(columns).union(targets.select(columns)).join(named, "node")
+    return dealt.groupBy("centre", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
 
 def linked_nodes(docs: DataFrame, signs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """node, root for each node that is linked with another one.
 
-    First every member of a bucket is compared with the bucket's smallest and largest node, then
-    members of one bucket that are still in different components with one another: pairs inside a
-    component need no test. So no bucket is capped and its pairs aren't listed.
+    In a few turns, each node is compared with one bucket's centre outside its component. Members
+    of a bucket that are then still in different components are compared with one another, unless
+    so many of a member's shingles are its own that it can't be similar to any, or not to that
+    one; pairs inside a component need no test. So no bucket is capped and no bucket's pairs are
+    listed.
     """
     banded = signs.select(F.explode("bands").alias("band"), "node")
-    ends = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi")
-    buckets = staged(ends, "buckets")
-    stars = banded.join(buckets, "band").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end")
-    pairs = stars.select(*_ordered(F.col("node"), F.col("end"))).distinct()
-    likely = staged(bayes_pruned(staged(pairs, "pairs"), signs, percent), "likely")
-    one = likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = staged(exact_links(staged(one, "first"), docs, n, percent), "links")
-    roots = staged(components(links), "roots")
-    rest = staged(_across(likely, roots).join(one, ["u", "v"], "left_anti"), "rest")
-    links = staged(links.union(exact_links(rest, docs, n, percent)), "links")
-    roots = staged(components(links), "roots")
-    members = staged(_open_members(signs, buckets, roots), "members")
-    if members.isEmpty():
+    shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("band")
+    members = staged(banded.join(shared, "band").distinct(), "members")
+    roots, links = None, None
+    for turn in range(TURNS):
+        pairs = staged(_star_pairs(_rooted(members, roots), turn), "pairs")
+        if pairs.isEmpty():
+            break
+        new = exact_links(staged(bayes_pruned(pairs, signs, percent), "likely"), docs, n, percent)
+        links = staged(new if links is None else links.union(new), "links")
+        roots = staged(components(links), "roots")
+    if links is None:
+        return signs.sparkSession.createDataFrame([], "node long, root long")
+    rest = staged(_open_members(_rooted(members, roots)), "open")
+    if rest.isEmpty():
         return roots
-    near = bayes_pruned(staged(_small_pairs(members).distinct(), "pairs"), signs, percent).union(_large_pairs(members, signs, percent))
-    tested = likely.select("u", "v")
-    near = staged(near.distinct().join(tested, ["u", "v"], "left_anti"), "near")
-    return staged(components(links.union(exact_links(near, docs, n, percent))), "roots")
+    counted = rest.join(_own_shingles(rest, signs, docs, n), "node").filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    rest = staged(_open_members(staged(counted, "possible")), "open")
+    near = staged(bayes_pruned(staged(_small_pairs(rest, percent), "pairs"), signs, percent), "near")
+    return staged(components(links.union(exact_links(near, docs, n, percent)).union(_large_links(rest, signs, docs, n, percent))), "roots")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -216,6 +297,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     doc_id reaches a component like others but doesn't name it, nor is it kept where another has an id; rows that
     repeat a doc_id share its fate. Empty tables give no rows; extra columns are ignored.
     """
+    return _grouped(docs, n, percent).drop("node")
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signs = staged(signed(docs, n), "signed")
     roots = linked_nodes(docs, signs, n, percent)
@@ -224,11 +309,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     base = signs.select("doc_id", "node", "n_shingles").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = base.join(broadcast_if_small(shared), "root", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.select("doc_id", "node", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of which :func:`near_duplicates` keeps another one; columns as they were."""
-    out = staged(near_duplicates(docs, n, percent).filter("not kept").select("doc_id").distinct(), "dropped")
-    dropped = broadcast_if_small(out.select(F.col("doc_id").alias("__dropped")))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped")), "left_anti").select(*docs.columns)
+    out = _grouped(docs, n, percent).filter("not kept").select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node")).distinct()
+    dropped = broadcast_if_small(staged(out, "dropped"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__node"))
+    return docs.join(dropped, same, "left_anti").select(*docs.columns)
