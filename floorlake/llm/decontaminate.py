@@ -80,7 +80,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, conta
     long_enough = F.col("n_words") - F.col("length") + 1 >= F.ceil(F.col("size") * containment - 1e-9)
     found = probes.join(broadcast_if_small(sketches, MAX_BROADCAST), "hash").filter(long_enough).groupBy("key", "item_id").agg(F.lit(1).alias("__one")).drop("__one")
     candidates = staged(found, "candidates")
-    # copies of a text are verified once: its first few words of key are enough to pick one row
+    # copies of a text are verified once
     texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(broadcast_if_small(candidates.select("key").distinct()), "key", "left_semi")
     pairs = candidates.join(texts.dropDuplicates(["key"]), "key").join(items, "item_id")
     share = F.size(F.array_intersect("shingles", _shingles(_lower_words(F.col("text")), F.col("length")))) / F.col("size")

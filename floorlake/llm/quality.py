@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorlake.llm.common import NOT_SPACE, SPACE, let, staged, words
+from floorlake.llm.common import NOT_SPACE, SPACE, broadcast_if_small, let, staged, words
 
 # Frequent function words, by language.
 COMMON = {
@@ -129,7 +129,8 @@ def measured_quality(docs: DataFrame, keep: list[str]) -> DataFrame:
     The features are staged once in the shared folder: the references need all documents first.
     """
     feats = staged(features(docs, keep), "quality")
-    judged = feats.join(references(feats), "__lang", "left")
+    languages = broadcast_if_small(staged(references(feats), "languages"), 10_000)  # a row a language, not two shuffles by it
+    judged = feats.join(languages, "__lang", "left")
     n_chars = F.aggregate("__classes", F.lit(0).cast("long"), lambda s, x: s + x)
     n, repeats = F.col("__w.n_words"), F.col("__w.n_repeat_words")
     base_failed = (n < 50) | (100 * repeats > 50 * n)
