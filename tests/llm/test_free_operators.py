@@ -224,7 +224,7 @@ def test_archive_is_plain_zstandard():
 
 def test_blocks():
     page = "<p>a &amp; b<br>c</p><!-- x --><script>if (a<b) {}</script><div class='Big box'>one <b>two</b>\n three<ul><li>x<li>y &lt;</ul></div><p>open<p>next <a href='>'>link</a> &nbsp; end<"
-    assert [x.text for x in html_blocks.leaves(page)] == ["a & b c", "one two three", "x", "y <", "open", "next link end <"]
+    assert [x.text for x in html_blocks.leaves(page)] == ["a & b c", "one two three", "x", "y <", "open", "next link end<"]
     assert html_blocks.leaves(page)[1].path == ("div", ".big", ".box")
     assert [x.text for x in html_blocks.leaves("<p>a<!-- open <p>b")] == ["a"]
     assert html_blocks.leaves("") == [] == html_blocks.leaves("<style>p{}") == html_blocks.leaves("&nbsp; <p> </p>")
