@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorlake.llm.shingles import CHUNK_BYTES, mixed
+from floorlake.llm.shingles import mixed
 
 U = np.uint64
 SIZES = (3, 4, 5)
