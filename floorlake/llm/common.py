@@ -47,11 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back, which cuts its lineage."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back, which cuts its lineage.
+
+    While it is written, Python functions get ``batch_rows`` rows at a time: for rows with large
+    values, a smaller number than the session's keeps the workers' memory down.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/floorlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(ARROW_ROWS, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,6 +30,8 @@ PIECE = 1 << 20
 SLAB_BYTES = 1 << 20
 #: Buckets with more contexts are resolved by counting hashes of their strings, which spreads them over tasks.
 MAX_CONTEXTS = 2000
+#: Texts that a Python worker holds at a time.
+TEXT_ROWS = 1000
 ROW_SCHEMA = "doc_id long, node long, n_bytes long, gram array<long>, context array<long>, first array<long>, strings array<int>, offset array<int>"
 _CACHE: dict[int, np.ndarray] = {}
 
@@ -78,8 +80,8 @@ def contexts(text: bytes, length: int = LENGTH) -> list[np.ndarray]:
 def anchored(docs: DataFrame, length: int) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256]
+            for at in range(0, len(b), 64):
+                some = b.iloc[at : at + 64]
                 texts = [(t or "").encode() for t in some["text"]]
                 found = [contexts(t, length) for t in texts]
                 columns = dict(zip(("gram", "context", "first", "strings", "offset"), (list(x) for x in zip(*found, strict=True)), strict=True))
@@ -143,27 +145,45 @@ def _sort_slabs(length: int):  # noqa: ANN202
 
 
 def _string_hashes(length: int):  # noqa: ANN202
+    """All strings of a batch's contexts at once: the contexts stand end to end, and strings across a seam are left out."""
+
+    def hashed(b: pd.DataFrame) -> pd.DataFrame:
+        text = b"".join(b["bytes"])
+        raw = np.frombuffer(text, np.uint8)
+        prefix = np.concatenate((np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * _power_table(BASE, len(raw)))))
+        counts = b["strings"].to_numpy()
+        begin = np.concatenate(([0], np.cumsum(b["bytes"].str.len())))[:-1]
+        row = np.repeat(np.arange(len(b)), counts)
+        inside = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(counts)))[:-1], counts)
+        at = begin[row] + inside
+        h = mixed((prefix[at + length] - prefix[at]) * _power_table(INVERSE, len(raw))[at])
+        of = lambda c: b[c].to_numpy()[row]
+        return pd.DataFrame({"gram": of("gram"), "offset": of("offset") - inside, "hash": h.view(np.int64), "node": of("node"), "start": of("first") + inside, "rows": of("rows")})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for gram, node, first, offset, rows, text in b[["gram", "node", "first", "offset", "rows", "bytes"]].itertuples(index=False, name=None):
-                raw = np.frombuffer(text, np.uint8)
-                prefix = np.concatenate((np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * _power_table(BASE, len(raw)))))
-                n = len(raw) - length + 1
-                h = mixed((prefix[length:] - prefix[:-length]) * _power_table(INVERSE, n))
-                yield pd.DataFrame({"gram": gram, "offset": offset - np.arange(n), "hash": h.view(np.int64), "node": node, "start": first + np.arange(n), "rows": rows})
+            for at in range(0, len(b), 2000):
+                yield hashed(b.iloc[at : at + 2000])
 
     return run
 
 
+FIELDS = ("gram", "context", "first", "strings", "offset", "rows", "size")
+
+
 def _context_bytes(length: int):  # noqa: ANN202
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for text, node, wanted in b[["text", "node", "wanted"]].itertuples(index=False, name=None):
-                raw = (text or "").encode()
-                rows = [(w["gram"], w["context"], node, w["first"], w["strings"], w["offset"], w["rows"], w["size"], raw[w["first"] : w["first"] + w["strings"] - 1 + length]) for w in wanted]
-                yield pd.DataFrame(rows, columns=["gram", "context", "node", "first", "strings", "offset", "rows", "size", "bytes"])
+            for at in range(0, len(b), 128):
+                some = b.iloc[at : at + 128]
+                parts = []
+                for text, first, strings in zip(some["text"], some["first"], some["strings"], strict=True):
+                    raw = (text or "").encode()
+                    parts += [raw[x : x + n - 1 + length] for x, n in zip(first.tolist(), strings.tolist(), strict=True)]
+                columns = {c: np.concatenate(some[c].to_list()) for c in FIELDS}
+                yield pd.DataFrame(columns | {"node": np.repeat(some["node"].to_numpy(), some["first"].str.len()), "bytes": parts})
 
-    return run
+    return cut
 
 
 def _spans(intervals: DataFrame) -> DataFrame:
@@ -178,7 +198,7 @@ def _spans(intervals: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(rows, spans). rows: doc_id, node (64-bit hash of the text), n_bytes. spans: node and its repeated byte ranges, for texts that have some."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    rows = staged(anchored(docs, length), "anchored")
+    rows = staged(anchored(docs, length), "anchored", TEXT_ROWS)
     runs = rows.select("node", F.inline(F.arrays_zip("gram", "context", "first", "strings", "offset")))
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
     shared = staged(runs.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("open")), "gram"), "shared")
@@ -188,15 +208,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     # of each differing context of an anchor, one row is looked at
     shape = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("rows").alias("least")).filter("size > 1 and least = 1").drop("least")
     one = shared.filter("open").groupBy("gram", "context").agg(*[F.first(c).alias(c) for c in ("node", "first", "strings", "offset")], F.count(F.lit(1)).alias("rows"))
-    wanted = one.join(shape, "gram").groupBy("node").agg(F.collect_list(F.struct("gram", "context", "first", "strings", "offset", "rows", "size")).alias("wanted"))
+    wanted = one.join(shape, "gram").groupBy("node").agg(F.collect_list(F.struct(*FIELDS)).alias("wanted"))
+    wanted = wanted.select("node", *[F.col(f"wanted.{c}").alias(c) for c in FIELDS])
     named = rows.groupBy("node").agg(F.min("doc_id").alias("rep"))
     wanted = staged(wanted.join(named, "node"), "wanted")
     # one row of each text, however many copies it has
-    sources = texts.join(broadcast_if_small(wanted, 50_000).withColumnRenamed("node", "key"), (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    made = sources.select("text", "node", "wanted").mapInPandas(
-        _context_bytes(length), "gram long, context long, node long, first long, strings int, offset int, rows long, size long, bytes binary"
+    sources = texts.join(wanted.withColumnRenamed("node", "key"), (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    made = sources.select("text", "node", *FIELDS).mapInPandas(
+        _context_bytes(length), "gram long, context long, first long, strings int, offset int, rows long, size long, node long, bytes binary"
     )
-    made = staged(made, "contexts")
+    made = staged(made, "contexts", TEXT_ROWS)
     small = made.filter(F.col("size") <= MAX_CONTEXTS).repartition("gram").sortWithinPartitions("gram", "context")
     sorted_out = small.mapInPandas(_sort_slabs(length), "node long, start long, end long")
     large = made.filter(F.col("size") > MAX_CONTEXTS).dropDuplicates(["gram", "context"])
