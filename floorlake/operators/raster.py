@@ -35,22 +35,34 @@ def shifted(mask: np.ndarray, dy: int, dx: int) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 in raster order of first pixels, eight neighbours connected: least index spreads until nothing changes."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    far = mask.size + 1
-    while True:
-        best = np.where(mask, label, far)
-        padded = np.pad(best, 1, constant_values=far)
-        for dy, dx in NEIGHBOURS:
-            best = np.minimum(best, padded[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]])
-        best = np.where(mask, best, 0)
-        # a label is the index of a pixel: take over that pixel's own label
-        jump = np.where(mask, best.ravel()[np.maximum(best, 1) - 1], 0)
-        if (jump == label).all():
-            break
-        label = jump
-    names, inverse = np.unique(label, return_inverse=True)
-    return inverse.reshape(mask.shape) + (0 if names[0] == 0 else 1)
+    """Labels from 1 in raster order of first pixels, eight neighbours connected: touching runs of neighbouring rows are united."""
+    step = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    rows, starts = np.nonzero(step == 1)
+    ends = np.nonzero(step == -1)[1]
+    first = np.searchsorted(rows, np.arange(mask.shape[0] + 1)).tolist()
+    a, b = starts.tolist(), ends.tolist()
+    root = list(range(len(a)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for y in range(1, mask.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if a[i] <= b[j] and a[j] <= b[i]:
+                u, v = find(i), find(j)
+                root[max(u, v)] = min(u, v)
+            if b[i] < b[j]:
+                i += 1
+            else:
+                j += 1
+    label = np.zeros(mask.shape, np.int64)
+    names = np.unique([find(k) for k in range(len(a))], return_inverse=True)[1]
+    label[mask] = np.repeat(names + 1, ends - starts)
+    return label
 
 
 def drop_small(mask: np.ndarray, least: int) -> np.ndarray:
@@ -94,8 +106,8 @@ def skeleton(mask: np.ndarray) -> np.ndarray:
         before = out.sum()
         for turn in (0, 1):
             p = [shifted(out, dy, dx) for dy, dx in NEIGHBOURS]
-            n = sum(q.astype(int) for q in p)
-            rises = sum((~p[k] & p[(k + 1) % 8]).astype(int) for k in range(8))
+            n = sum(q.astype(np.int8) for q in p)
+            rises = sum((~p[k] & p[(k + 1) % 8]).astype(np.int8) for k in range(8))
             a, b = ((p[0], p[2], p[4]), (p[2], p[4], p[6])) if turn == 0 else ((p[0], p[2], p[6]), (p[0], p[4], p[6]))
             out = out & ~(out & (n >= 2) & (n <= 6) & (rises == 1) & ~(a[0] & a[1] & a[2]) & ~(b[0] & b[1] & b[2]))
         if out.sum() == before:
@@ -194,6 +206,11 @@ def segmented(mask: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, in
     return segments, junctions
 
 
+def _dealt(runs: DataFrame, *keys: str) -> DataFrame:
+    """Groups over as many tasks as the session shuffles to; adaptive execution would put the small runs of costly masks into one."""
+    return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def wall_segments(runs: DataFrame) -> DataFrame:
     """image_id, wall_seq, pos, y, x: the ordered centerline points of every wall segment of each image's mask."""
 
@@ -203,7 +220,7 @@ def wall_segments(runs: DataFrame) -> DataFrame:
         rows = [(df["image_id"].iloc[0], s + 1, i, y + top, x + left) for s, points in enumerate(segments) for i, (y, x) in enumerate(walk(points))]
         return pd.DataFrame(rows, columns=["image_id", "wall_seq", "pos", "y", "x"])
 
-    return runs.groupBy("image_id").applyInPandas(solve, "image_id long, wall_seq int, pos int, y long, x long")
+    return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, wall_seq int, pos int, y long, x long")
 
 
 def raster_junctions(runs: DataFrame) -> DataFrame:
@@ -214,7 +231,7 @@ def raster_junctions(runs: DataFrame) -> DataFrame:
         rows = [(df["image_id"].iloc[0], i + 1, float(x + left), float(y + top)) for i, (y, x) in enumerate(segmented(mask, top, left)[1])]
         return pd.DataFrame(rows, columns=["image_id", "j_seq", "x", "y"])
 
-    return runs.groupBy("image_id").applyInPandas(solve, "image_id long, j_seq int, x double, y double")
+    return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, j_seq int, x double, y double")
 
 
 def wall_thickness(runs: DataFrame) -> DataFrame:
@@ -230,7 +247,7 @@ def wall_thickness(runs: DataFrame) -> DataFrame:
             rows.append((df["image_id"].iloc[0], s + 1, float(np.mean(profile)), min(profile), max(profile), profile))
         return pd.DataFrame(rows, columns=["image_id", "wall_seq", "average", "minimum", "maximum", "profile"])
 
-    return runs.groupBy("image_id").applyInPandas(solve, "image_id long, wall_seq int, average double, minimum double, maximum double, profile array<double>")
+    return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, wall_seq int, average double, minimum double, maximum double, profile array<double>")
 
 
 def centered_line(mask: np.ndarray, reach: float = 15.0) -> list[tuple[float, float]]:
@@ -263,4 +280,4 @@ def centered_lines(runs: DataFrame) -> DataFrame:
         rows = [(df["image_id"].iloc[0], df["det_id"].iloc[0], i, x + left, y + top) for i, (x, y) in enumerate(centered_line(mask))]
         return pd.DataFrame(rows, columns=["image_id", "det_id", "pos", "x", "y"])
 
-    return runs.groupBy("image_id", "det_id").applyInPandas(solve, "image_id long, det_id long, pos int, x double, y double")
+    return _dealt(runs, "image_id", "det_id").applyInPandas(solve, "image_id long, det_id long, pos int, x double, y double")

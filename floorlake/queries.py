@@ -659,7 +659,7 @@ def object_records(v: Views) -> DataFrame:
 
 def crossing_bars(v: Views) -> DataFrame:
     """Masks with something to walk: bars of 81 x 11 pixels on a 25-pixel grid, lying and standing, some of which cross."""
-    d = v.walls.filter("wall_seq <= 6").selectExpr("image_id", "det_id", "cast(least(sx, ex) / 4 as bigint) + 75 x", "cast(least(sy, ey) / 4 as bigint) + 75 y", "sx <> ex flat")
+    d = v.walls.selectExpr("image_id", "det_id", "cast(least(sx, ex) / 4 as bigint) + 75 x", "cast(least(sy, ey) / 4 as bigint) + 75 y", "sx <> ex flat")
     rows = F.explode(F.expr("if(flat, sequence(y - 5, y + 5), sequence(y - 40, y + 40))")).alias("y")
     return d.select("image_id", "det_id", F.lit(1).alias("class_id"), "x", "flat", rows).selectExpr("image_id", "det_id", "class_id", "y", "x - if(flat, 40, 5) x_start", "x + if(flat, 41, 6) x_end")
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floorlake import schemas
+from floorlake import queries, schemas
+from floorlake.adapters import Views
 from floorlake.functions import text as t
 from floorlake.operators import raster, texts
 
@@ -125,3 +126,10 @@ def test_centered_line(spark):
     assert raster.centered_line(np.zeros((5, 5), bool)) == []
     one = spark.createDataFrame([(1, 1, 1, 5, 7, 7)], schemas.MASK_RUNS)
     assert raster.wall_segments(one).count() == 0
+
+
+def test_every_wall_becomes_a_bar(spark, tmp_path):
+    spark.range(20).selectExpr("id event_id", "1L user_id", "'view' event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert queries.crossing_bars(Views(spark, str(tmp_path))).select("det_id").distinct().count() == 20
+    lines = queries.QUERIES["centered_centerline"](spark, str(tmp_path))
+    assert {r["det_id"] for r in lines.select("det_id").distinct().collect()} == set(range(20))
