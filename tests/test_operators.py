@@ -44,6 +44,22 @@ def test_suppression_order(spark):
     assert kept(5.0) == [1, 2, 3] and kept(5.1) == [1, 3]
 
 
+def test_suppression_of_a_large_group(spark):
+    apart = [(1, i, 1, 0.5, 10 * (i % 100), 10 * (i // 100), 10 * (i % 100) + 5, 10 * (i // 100) + 5) for i in range(suppress.MAX_CANDIDATES + 50)]
+    d = dets(spark, [*apart, (1, 9000, 1, 0.1, 0, 0, 5, 5), (2, 9001, 1, 0.9, 0, 0, 5, 5)])
+    assert {r["det_id"] for r in suppress.suppress_boxes(d).collect()} == {*range(suppress.MAX_CANDIDATES + 50), 9001}
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.7])
+def test_groups_of_any_size_are_suppressed_alike(spark, monkeypatch, threshold):
+    rows = [(1 + i % 2, i, 1, (7919 * i % 100) / 100, 104729 * i % 90, 1299709 * i % 90, 104729 * i % 90 + 2 + 31 * i % 60, 1299709 * i % 90 + 2 + 37 * i % 50) for i in range(150)]
+    d = dets(spark, [*rows, (1, 500, 1, 0.9, 7, 7, 7, 7)])
+    kept = lambda: {r["det_id"] for r in suppress.suppress_boxes(d, threshold).collect()}
+    want = kept()
+    monkeypatch.setattr(suppress, "MAX_CANDIDATES", 5)
+    assert kept() == want
+
+
 def test_proposals(spark):
     a = spark.createDataFrame([(1, i, 0, 0.5 + i / 10, 0.1, 0.1, 0.4, 0.4, 0.0, 0.0, 0.0, 0.0) for i in range(3)], schemas.DETECTIONS + ", dy double, dx double, dh double, dw double")
     assert [r["det_id"] for r in suppress.proposals(a).collect()] == [2]
