@@ -242,6 +242,12 @@ def refine_detections(v: Views) -> DataFrame:
     return suppress.refine_detections(v.detections, k=20).select("image_id", "class_id", "det_id")
 
 
+@query()
+def detector_output(v: Views) -> DataFrame:
+    """As :func:`refine_detections`, with the reference's 100 of an image."""
+    return suppress.refine_detections(v.detections).select("image_id", "class_id", "det_id")
+
+
 @query("SELECT image_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS n FROM detections) WHERE n <= 10")
 def topk_detections(v: Views) -> DataFrame:
     return suppress.top_detections(v.detections, 10).select("image_id", "det_id")
@@ -365,6 +371,13 @@ def anchors(v: Views) -> DataFrame:
     return rounded(boxes.drop("stride"), "y1", "x1", "y2", "x2")
 
 
+@query()
+def anchor_pyramid(v: Views) -> DataFrame:
+    """The boxes of all five levels; :func:`anchors` has the coarsest one."""
+    boxes = evaluate.anchor_boxes(evaluate.backbone_shapes(v.images), {4: 32.0, 8: 64.0, 16: 128.0, 32: 256.0, 64: 512.0})
+    return rounded(boxes, "y1", "x1", "y2", "x2")
+
+
 MATCH = f"""cand AS (SELECT a.image_id, a.pred_id, b.gt_id, row_number() OVER (PARTITION BY a.image_id ORDER BY a.score DESC, a.pred_id, {AB} DESC, b.gt_id) AS rn
   FROM pred a JOIN gt b ON a.image_id = b.image_id AND a.class_id = b.class_id WHERE {AB} >= 0.5::DOUBLE),
 st AS (SELECT image_id, rn, [pred_id] AS ps, [gt_id] AS gs FROM cand WHERE rn = 1

@@ -97,3 +97,10 @@ def test_query_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_pyramid_and_detector_output(spark, tmp_path):
+    spark.range(300).selectExpr("id event_id", "1L user_id", "element_at(array('view', 'signup', 'purchase'), cast(id % 3 + 1 as int)) event_type").write.parquet(f"{tmp_path}/events.parquet")
+    levels = {r["stride"]: r["count"] for r in queries.QUERIES["anchor_pyramid"](spark, str(tmp_path)).groupBy("stride").count().collect()}
+    assert levels == {s: 3 * (-(-1120 // s)) ** 2 for s in (4, 8, 16, 32, 64)}
+    assert queries.QUERIES["detector_output"](spark, str(tmp_path)).count() == 100
