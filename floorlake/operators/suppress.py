@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from floorlake.functions import geometry as g
-from floorlake.llm.common import staged
+from floorlake.staging import staged
 
 #: Anchors of an image that become proposals, by score, and the boxes of a group that are folded as one array.
 MAX_CANDIDATES = 6000
