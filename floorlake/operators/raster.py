@@ -87,16 +87,24 @@ def improved(mask: np.ndarray) -> np.ndarray:
 
 
 def distances(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each pixel to the nearest one outside the mask, exact: columns first, then rows."""
-    h, w = mask.shape
+    """Euclidean distance of each pixel to the nearest one outside the mask, exact: columns first, then rows.
+
+    Along a row only neighbours nearer than the largest distance so far can lower one, so the work
+    is the mask's area times its walls' half thickness.
+    """
     up = np.where(mask, np.inf, 0.0)
-    for y in range(1, h):
-        up[y] = np.minimum(up[y], up[y - 1] + 1)
-    for y in range(h - 2, -1, -1):
-        up[y] = np.minimum(up[y], up[y + 1] + 1)
-    x = np.arange(w)
-    gap = (x[:, None] - x[None]) ** 2
-    return np.stack([np.sqrt((gap + (row**2)[None]).min(1)) for row in up])
+    for rows in (range(1, len(up)), range(len(up) - 2, -1, -1)):
+        for y in rows:
+            beside = y - 1 if rows.step == 1 else y + 1
+            up[y] = np.minimum(up[y], up[beside] + 1)
+    squares = up**2
+    best = squares.copy()
+    for d in range(1, up.shape[1]):
+        if d * d >= best.max(initial=0):
+            break
+        best[:, d:] = np.minimum(best[:, d:], squares[:, :-d] + d * d)
+        best[:, :-d] = np.minimum(best[:, :-d], squares[:, d:] + d * d)
+    return np.sqrt(best)
 
 
 def skeleton(mask: np.ndarray) -> np.ndarray:
@@ -154,23 +162,33 @@ def nearest_inside(mask: np.ndarray, y: int, x: int, radius: int) -> tuple[int,
     return None
 
 
-def branch_points(bones: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, int] | None = None, grid: int = 5, reach: int = 2, border: int = 20, radius: float = 30.0, most: int = 20) -> list[tuple[int, int]]:
-    """(y, x) of grid points of the image with skeleton in three directions or more at a distance; near ones are one, the best-filled first.
+def _cross(mask: np.ndarray, grow: bool) -> np.ndarray:
+    """Grown or shrunk by the four direct neighbours; what lies beyond the edge is empty."""
+    sides = [mask, *(shifted(mask, dy, dx) for dy, dx in NEIGHBOURS[::2])]
+    return np.logical_or.reduce(sides) if grow else np.logical_and.reduce(sides)
 
-    ``bones`` starts at ``top``, ``left`` of an image of ``size`` (height, width); an unknown size has no lower or right border.
+
+def branch_points(bones: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, int] | None = None, grid: int = 5, reach: int = 2, border: int = 20, radius: float = 30.0, most: int = 20, cleaned: bool = True) -> list[tuple[int, int]]:
+    """(y, x) of grid points of the image where the skeleton, opened by a cross, goes on in three directions or more at a distance.
+
+    Opening leaves little of lines one pixel wide, so few crossings count; ``cleaned=False`` takes the
+    skeleton as it is. Points come row by row; of near ones the first stays. Of more than ``most`` the best-filled
+    stay, best first. ``bones`` starts at ``top``, ``left`` of an image of ``size`` (height,
+    width); an unknown size has no lower or right border.
     """
-    padded = np.pad(bones, 3)
+    opened = _cross(_cross(bones, False), True) if cleaned else bones
+    padded = np.pad(opened, 3)
     found: list[tuple[int, int]] = []
-    ys, xs = np.nonzero(bones)
+    ys, xs = np.nonzero(opened)
     for y, x in zip(ys.tolist(), xs.tolist(), strict=True):
         ay, ax = y + top, x + left
-        inner = ay >= border and ax >= border and (size is None or (ay < size[0] - border and ax < size[1] - border))
+        inner = ay > border and ax > border and (size is None or (ay < size[0] - border and ax < size[1] - border))
         if not inner or ay % grid or ax % grid or sum(padded[y + 3 + reach * dy, x + 3 + reach * dx] for dy, dx in NEIGHBOURS) < 3:
             continue
         if all((y - a) ** 2 + (x - b) ** 2 >= radius**2 for a, b in found):
             found.append((y, x))
     near = lambda p: int(padded[p[0] : p[0] + 7, p[1] : p[1] + 7].sum())
-    return sorted(found, key=lambda p: (near(p), p[1], p[0]), reverse=True)[:most]
+    return found if len(found) <= most else sorted(found, key=lambda p: (near(p), p[1], p[0]), reverse=True)[:most]
 
 
 def _cropped(label: np.ndarray, k: int, pad: int = 4) -> tuple[np.ndarray, int, int]:
@@ -182,7 +200,7 @@ def _cropped(label: np.ndarray, k: int, pad: int = 4) -> tuple[np.ndarray, int,
     return out, int(top), int(left)
 
 
-def segmented(mask: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, int] | None = None) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
+def segmented(mask: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, int] | None = None, cleaned: bool = True) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
     """Wall segments as pixel lists in raster order, and junctions: regions thinned, cut at their branch points."""
     segments, junctions = [], []
     label = components(drop_small(mask, MIN_COMPONENT))
@@ -191,7 +209,7 @@ def segmented(mask: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, in
         if region.sum() < MIN_REGION:
             continue
         bones = drop_small(skeleton(improved(region)) & region, MIN_PIECE)
-        joints = branch_points(bones, top + y0, left + x0, size)
+        joints = branch_points(bones, top + y0, left + x0, size, cleaned=cleaned)
         junctions += [(y + y0, x + x0) for y, x in joints]
         cut = bones.copy()
         for y, x in joints:
@@ -211,37 +229,37 @@ def _dealt(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
 
 
-def wall_segments(runs: DataFrame) -> DataFrame:
+def wall_segments(runs: DataFrame, cleaned: bool = True) -> DataFrame:
     """image_id, wall_seq, pos, y, x: the ordered centerline points of every wall segment of each image's mask."""
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
         mask, top, left = painted(df)
-        segments, _ = segmented(mask, top, left)
+        segments, _ = segmented(mask, top, left, cleaned=cleaned)
         rows = [(df["image_id"].iloc[0], s + 1, i, y + top, x + left) for s, points in enumerate(segments) for i, (y, x) in enumerate(walk(points))]
         return pd.DataFrame(rows, columns=["image_id", "wall_seq", "pos", "y", "x"])
 
     return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, wall_seq int, pos int, y long, x long")
 
 
-def raster_junctions(runs: DataFrame) -> DataFrame:
+def raster_junctions(runs: DataFrame, cleaned: bool = True) -> DataFrame:
     """image_id, j_seq, x, y: junctions of each image's wall mask."""
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
         mask, top, left = painted(df)
-        rows = [(df["image_id"].iloc[0], i + 1, float(x + left), float(y + top)) for i, (y, x) in enumerate(segmented(mask, top, left)[1])]
+        rows = [(df["image_id"].iloc[0], i + 1, float(x + left), float(y + top)) for i, (y, x) in enumerate(segmented(mask, top, left, cleaned=cleaned)[1])]
         return pd.DataFrame(rows, columns=["image_id", "j_seq", "x", "y"])
 
     return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, j_seq int, x double, y double")
 
 
-def wall_thickness(runs: DataFrame) -> DataFrame:
+def wall_thickness(runs: DataFrame, cleaned: bool = True) -> DataFrame:
     """image_id, wall_seq, average, minimum, maximum, profile: twice the distance to the wall's edge along each centerline; zeros for one point."""
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
         mask, top, left = painted(df)
         deep = distances(mask)
         rows = []
-        for s, points in enumerate(segmented(mask, top, left)[0]):
+        for s, points in enumerate(segmented(mask, top, left, cleaned=cleaned)[0]):
             line = walk(points)
             profile = [float(2 * deep[p]) for p in line] if len(line) > 1 else [0.0]
             rows.append((df["image_id"].iloc[0], s + 1, float(np.mean(profile)), min(profile), max(profile), profile))
@@ -250,26 +268,37 @@ def wall_thickness(runs: DataFrame) -> DataFrame:
     return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, wall_seq int, average double, minimum double, maximum double, profile array<double>")
 
 
-def centered_line(mask: np.ndarray, reach: float = 15.0) -> list[tuple[float, float]]:
-    """(x, y) of a straight line along a wall: ridge pixels averaged, by their depth, at 3 to 20 places along its longer side."""
+def centered_line(mask: np.ndarray, reach: float = 15.0, least: int = 10, snap: int = 10) -> list[tuple[float, float]]:
+    """(x, y) of a straight line along a wall: ridge pixels averaged, by their depth, at 3 to 20 places along its longer side, its height if both are equal.
+
+    A point outside the wall moves to the first wall pixel within ``snap`` rings, or goes; masks
+    of fewer than ``least`` pixels and lines of fewer than two points are empty.
+    """
+    if mask.sum() < least:
+        return []
     deep = distances(mask)
-    ys, xs = np.nonzero(mask & (deep >= np.percentile(deep[mask], 70))) if mask.any() else (np.zeros(0, int), np.zeros(0, int))
+    ys, xs = np.nonzero(deep >= np.percentile(deep[deep > 0], 70))
     if len(ys) < 2:
         return []
-    flat = np.ptp(xs) >= np.ptp(ys)
-    along = xs if flat else ys
-    out: list[tuple[float, float]] = []
-    for at in np.linspace(along.min(), along.max(), int(np.clip(np.ptp(along) // 10, 3, 20))):
+    flat = np.ptp(xs) > np.ptp(ys)
+    along, beside = (xs, ys) if flat else (ys, xs)
+    weight = deep[ys, xs]
+    places = np.linspace(along.min(), along.max(), min(max(3, int(np.ptp(along) / 10)), 20))
+    centres: list[float] = []
+    for at in places:
         near = np.abs(along - at) <= reach
         if near.any():
-            weight = deep[ys[near], xs[near]]
-            across = float(np.average((ys if flat else xs)[near], weights=weight))
-        elif out:
-            across = out[-1][1] if flat else out[-1][0]
+            centres.append(float(np.average(beside[near], weights=weight[near])))
         else:
-            continue
-        out.append((float(at), across) if flat else (across, float(at)))
-    return out
+            centres.append(centres[-1] if centres else float(beside.mean()))
+    out: list[tuple[float, float]] = []
+    for at, across in zip(places.tolist(), centres, strict=True):
+        x, y = (at, across) if flat else (across, at)
+        if mask[int(y), int(x)]:
+            out.append((x, y))
+        elif q := nearest_inside(mask, int(y), int(x), snap):
+            out.append((float(q[1]), float(q[0])))
+    return out if len(out) > 1 else []
 
 
 def centered_lines(runs: DataFrame) -> DataFrame:

@@ -406,7 +406,18 @@ def average_precision(v: Views) -> DataFrame:
     return rounded(evaluate.average_precision(evaluate.greedy_matches(v.gt, v.pred), v.gt), "ap")
 
 
-@query()
+@query(f"""+ th AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS th),
+cand AS (SELECT th, image_id, pred_id, gt_id, row_number() OVER (PARTITION BY th, image_id ORDER BY score DESC, pred_id, iou DESC, gt_id) AS rn
+  FROM (SELECT a.image_id, a.pred_id, a.score, b.gt_id, {AB} AS iou FROM pred a JOIN gt b ON a.image_id = b.image_id AND a.class_id = b.class_id) JOIN th ON iou >= th),
+st AS (SELECT th, image_id, rn, [pred_id] AS ps, [gt_id] AS gs FROM cand WHERE rn = 1
+  UNION ALL SELECT c.th, c.image_id, c.rn, CASE WHEN list_contains(ps, c.pred_id) OR list_contains(gs, c.gt_id) THEN ps ELSE list_append(ps, c.pred_id) END,
+    CASE WHEN list_contains(ps, c.pred_id) OR list_contains(gs, c.gt_id) THEN gs ELSE list_append(gs, c.gt_id) END FROM st s JOIN cand c ON c.th = s.th AND c.image_id = s.image_id AND c.rn = s.rn + 1),
+fin AS (SELECT th, image_id, unnest(ps) AS pred_id FROM (SELECT *, row_number() OVER (PARTITION BY th, image_id ORDER BY rn DESC) AS last FROM st) WHERE last = 1),
+mt AS (SELECT th.th, p.image_id, p.pred_id, p.score, f.pred_id IS NOT NULL AS hit FROM pred p CROSS JOIN th LEFT JOIN fin f ON f.th = th.th AND f.image_id = p.image_id AND f.pred_id = p.pred_id),
+ng AS (SELECT image_id, count(*) AS n FROM gt GROUP BY image_id),
+pr AS (SELECT th, image_id, rn AS rank, hits / rn AS precision, hits / n AS recall FROM (SELECT th, image_id, row_number() OVER w AS rn, sum(hit::INTEGER) OVER w AS hits FROM mt WINDOW w AS (PARTITION BY th, image_id ORDER BY score DESC, pred_id ROWS UNBOUNDED PRECEDING)) JOIN ng USING (image_id)),
+en AS (SELECT image_id, max(precision) OVER (PARTITION BY th, image_id ORDER BY rank DESC ROWS UNBOUNDED PRECEDING) * (recall - coalesce(lag(recall) OVER (PARTITION BY th, image_id ORDER BY rank), 0)) AS a FROM pr)
+SELECT image_id, round(coalesce(sum(a), 0) / 10, 6) AS ap FROM ng LEFT JOIN en USING (image_id) GROUP BY image_id""", recursive=True)
 def ap_range(v: Views) -> DataFrame:
     return rounded(evaluate.ap_over_thresholds(v.gt, v.pred), "ap")
 
@@ -469,7 +480,12 @@ def rect_dilate(v: Views) -> DataFrame:
     return masks.dilate_runs(v.mask_runs.filter("class_id = 3"), v.images, 5, 4)
 
 
-@query()
+# two dilations inside an image that holds all runs are one of both reaches
+@query(f"""+ g AS (SELECT image_id, y + unnest(range(-24, 25)) AS y, x_start - 24 AS a, x_end + 24 AS b FROM mask_runs WHERE class_id = 3
+  UNION ALL SELECT image_id, y + unnest(range(-15, 14)), x_start - 15, x_end + 13 FROM mask_runs WHERE class_id = 2
+  UNION ALL SELECT image_id, unnest(range(greatest(y1::BIGINT - m, 0), least(y2::BIGINT + m, 1120))), x1::BIGINT - m, x2::BIGINT + m FROM (SELECT *, CASE class_id WHEN 3 THEN 40 ELSE 25 END AS m FROM detections WHERE class_id IN (2, 3))),
+px AS (SELECT DISTINCT image_id, y, unnest(range(x_start, x_end)) AS x FROM mask_runs WHERE class_id = 1),
+u AS (SELECT * FROM px WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.image_id = px.image_id AND g.y = px.y AND px.x >= g.a AND px.x < g.b))\n{ISLANDS.format('u')}""")
 def clean_wall_mask(v: Views) -> DataFrame:
     return masks.clean_walls(v.mask_runs, v.detections, v.images)
 
@@ -490,7 +506,21 @@ def segment_intersections(v: Views) -> DataFrame:
     return rounded(both.select("a.image_id", F.col("a.seg_id").alias("a_id"), F.col("b.seg_id").alias("b_id"), at["x"].alias("x"), at["y"].alias("y")), "x", "y")
 
 
-@query()
+PART = "{{'x1': {0}, 'y1': {1}, 'x2': {2}, 'y2': {3}}}"
+WHOLE, HEAD, TAIL = PART.format("x1", "y1", "x2", "y2"), PART.format("x1", "y1", "lo.x", "lo.y"), PART.format("hi.x", "hi.y", "x2", "y2")
+
+
+@query(f"""+ e AS (SELECT s.image_id, s.seg_id, s.x1, s.y1, s.x2, s.y2, w.det_id, w.x1 - 6 AS bx1, w.y1 - 6 AS by1, w.x2 + 6 AS bx2, w.y2 + 6 AS by2 FROM segments s JOIN detections w ON w.image_id = s.image_id AND w.class_id = 2),
+i AS (SELECT *, x1 BETWEEN bx1 AND bx2 AND y1 BETWEEN by1 AND by2 AS a_in, x2 BETWEEN bx1 AND bx2 AND y2 BETWEEN by1 AND by2 AS b_in FROM e),
+k AS (SELECT *, CASE WHEN n IN (0, 3) THEN bx1 ELSE bx2 END AS ex1, CASE WHEN n IN (0, 1) THEN by1 ELSE by2 END AS ey1, CASE WHEN n IN (2, 3) THEN bx1 ELSE bx2 END AS ex2, CASE WHEN n IN (0, 3) THEN by1 ELSE by2 END AS ey2 FROM i, range(4) r(n)),
+c AS (SELECT *, (x1 - x2) * (ey1 - ey2) - (y1 - y2) * (ex1 - ex2) AS det, (x1 - ex1) * (ey1 - ey2) - (y1 - ey1) * (ex1 - ex2) AS tn, (x1 - ex1) * (y1 - y2) - (y1 - ey1) * (x1 - x2) AS un FROM k),
+p AS (SELECT *, x1 + tn / det * (x2 - x1) AS px, y1 + tn / det * (y2 - y1) AS py FROM c WHERE abs(det) >= 1e-10 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1),
+h AS (SELECT seg_id, det_id, count(*) AS n, min(hit) AS lo, max(hit) AS hi FROM (SELECT *, {{'d': sqrt((px - x1) * (px - x1) + (py - y1) * (py - y1)), 'x': px, 'y': py}} AS hit FROM p) GROUP BY 1, 2),
+f AS (SELECT i.*, n, lo, hi, row_number() OVER (PARTITION BY seg_id ORDER BY det_id) AS k FROM i LEFT JOIN h USING (seg_id, det_id) WHERE a_in OR b_in OR n IS NOT NULL),
+q AS (SELECT s.image_id, s.seg_id, s.x1, s.y1, s.x2, s.y2, det_id, a_in, b_in, n, lo, hi FROM segments s LEFT JOIN (FROM f WHERE k = 1) USING (seg_id)),
+t AS (SELECT image_id, seg_id, CASE WHEN det_id IS NULL THEN [{WHOLE}] ELSE list_filter(CASE WHEN n IS NULL AND a_in AND b_in THEN [] WHEN n IS NULL THEN [{WHOLE}] WHEN n BETWEEN 2 AND 4 AND hi.d - lo.d > 1 THEN [{HEAD}, {TAIL}]
+  WHEN a_in AND NOT b_in THEN [{TAIL}] WHEN b_in AND NOT a_in THEN [{HEAD}] WHEN NOT a_in AND NOT b_in THEN [{WHOLE}] ELSE [] END, lambda v: sqrt((v.x2 - v.x1) * (v.x2 - v.x1) + (v.y2 - v.y1) * (v.y2 - v.y1)) > 2) END AS ps FROM q)
+SELECT image_id, seg_id, part, round(v.x1, 6) AS x1, round(v.y1, 6) AS y1, round(v.x2, 6) AS x2, round(v.y2, 6) AS y2 FROM (SELECT image_id, seg_id, generate_subscripts(ps, 1) - 1 AS part, unnest(ps) AS v FROM t)""")
 def split_around_windows(v: Views) -> DataFrame:
     return rounded(segments.split_around_windows(v.segments, v.detections.filter("class_id = 2")), "x1", "y1", "x2", "y2")
 
@@ -557,7 +587,22 @@ def watermark_anti_join(v: Views) -> DataFrame:
     return v.text_regions.filter(~F.lower("text").rlike(t.alternation(t.WATERMARKS))).select("region_id", "text")
 
 
-@query()
+EITHER = "(contains(a.low, b.low) OR contains(b.low, a.low))"
+OVER_X, OVER_Y = (f"greatest(0, least(a.{c}2, b.{c}2) - greatest(a.{c}1, b.{c}1))" for c in "xy")
+
+
+@query(f"""+ t AS (SELECT *, lower(trim(text)) AS low FROM text_regions WHERE length(trim(text)) > CASE method WHEN 'preprocessed_upscaled' THEN 1 ELSE 0 END
+  AND confidence > CASE method WHEN 'enhanced' THEN 0.03 WHEN 'aggressive' THEN 0.01 ELSE 0.1 END::DOUBLE),
+q AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, region_id) AS rn FROM t),
+p AS (SELECT b.image_id, b.rn, list(a.rn) AS cl FROM q a JOIN q b ON a.image_id = b.image_id AND a.rn < b.rn WHERE
+  sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) < 50 AND ({EITHER} OR length(a.low) > 3 AND length(b.low) > 3
+    AND list_sum(list_transform(range(1, least(length(a.low), length(b.low)) + 1), lambda i: (a.low[i] = b.low[i])::INTEGER)) / greatest(length(a.low), length(b.low)) > 0.8::DOUBLE)
+  OR {EITHER} AND {OVER_X} * {OVER_Y} > 0 AND {OVER_X} * {OVER_Y} / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) > 0.5::DOUBLE GROUP BY 1, 2),
+m AS (SELECT q.image_id, q.rn, coalesce(cl, []) AS cl FROM q LEFT JOIN p USING (image_id, rn)),
+st AS (SELECT image_id, rn, [rn] AS kept FROM m WHERE rn = 1
+  UNION ALL SELECT m.image_id, m.rn, CASE WHEN list_has_any(kept, cl) THEN kept ELSE list_append(kept, m.rn) END FROM st JOIN m ON m.image_id = st.image_id AND m.rn = st.rn + 1),
+fin AS (SELECT image_id, unnest(kept) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rn DESC) AS last FROM st) WHERE last = 1)
+SELECT image_id, region_id, text FROM q JOIN fin USING (image_id, rn)""", recursive=True)
 def text_dedup(v: Views) -> DataFrame:
     return texts.dedup_regions(texts.accepted(v.text_regions)).select("image_id", "region_id", "text")
 
@@ -684,7 +729,7 @@ def wall_segmentation(v: Views) -> DataFrame:
 
 @query()
 def raster_junctions(v: Views) -> DataFrame:
-    return raster.raster_junctions(crossing_bars(v))
+    return raster.raster_junctions(crossing_bars(v), cleaned=False)
 
 
 @query()

@@ -110,14 +110,56 @@ def test_segments_of_a_cross(spark):
     m[95:106, 40:200] = True
     m[20:180, 95:106] = True
     d = runs_of(spark, m)
-    joints = raster.raster_junctions(d).collect()
+    joints = raster.raster_junctions(d, cleaned=False).collect()
     assert len(joints) == 1 and abs(joints[0]["x"] - 100) <= 5 and abs(joints[0]["y"] - 100) <= 5
-    lines = raster.wall_segments(d).groupBy("wall_seq").count().collect()
+    lines = raster.wall_segments(d, cleaned=False).groupBy("wall_seq").count().collect()
     assert len(lines) == 4
+    # opened, a crossing of thin lines is none
+    assert raster.raster_junctions(d).count() == 0 and raster.wall_segments(d).select("wall_seq").distinct().count() == 1
     thick = raster.wall_thickness(d).collect()
     assert all(4 <= r["minimum"] <= r["average"] <= r["maximum"] <= 16 and len(r["profile"]) > 5 for r in thick)
 
 
+def plain_junctions(m, most=20):
+    """The rule in single steps: open by a cross, look at every fifth pixel, three directions two pixels away, 30 pixels apart."""
+    h, w = m.shape
+    at = lambda a, y, x: 0 <= y < h and 0 <= x < w and bool(a[y][x])
+    near = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
+    small = [[all(at(m, y + a, x + b) for a, b in near) for x in range(w)] for y in range(h)]
+    opened = [[any(at(small, y + a, x + b) for a, b in near) for x in range(w)] for y in range(h)]
+    kept = []
+    for y in range(5, h - 5, 5):
+        for x in range(5, w - 5, 5):
+            ways = sum(at(opened, y + a, x + b) for a in (-2, 0, 2) for b in (-2, 0, 2) if a or b)
+            if at(opened, y, x) and ways >= 3 and 20 < x < w - 20 and 20 < y < h - 20 and all((y - a) ** 2 + (x - b) ** 2 >= 900 for a, b in kept):
+                kept.append((y, x))
+    if len(kept) > most:
+        score = lambda p: sum(at(opened, p[0] + a, p[1] + b) for a in range(-3, 4) for b in range(-3, 4))
+        kept = sorted(kept, key=lambda p: (score(p), p[1], p[0]), reverse=True)[:most]
+    return kept
+
+
+def test_junctions_by_the_rule():
+    rng = np.random.default_rng(5)
+    for share, shape, most in ((0.5, (120, 150), 20), (0.8, (160, 130), 20), (0.9, (150, 200), 3), (0.05, (90, 90), 20)):
+        m = rng.random(shape) < share
+        assert raster.branch_points(m, size=shape, most=most) == plain_junctions(m, most)
+
+
+def test_centered_line_stays_inside():
+    ring = np.zeros((60, 60), bool)
+    ring[5:55, 5:55] = True
+    ring[15:45, 15:45] = False
+    line = raster.centered_line(ring)
+    assert len(line) >= 2 and all(ring[int(y), int(x)] for x, y in line)
+    few = np.zeros((9, 9), bool)
+    few[4, :9] = True
+    assert raster.centered_line(few) == []
+    square = np.zeros((30, 30), bool)
+    square[5:25, 5:25] = True
+    assert len({round(x, 6) for x, _ in raster.centered_line(square)}) == 1  # equal sides: along its height
+
+
 def test_centered_line(spark):
     m = np.zeros((40, 140), bool)
     m[10:21, 10:130] = True
