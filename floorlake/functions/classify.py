@@ -30,6 +30,13 @@ def class_name(class_id: Column) -> Column:
     return out
 
 
+def class_name_maps(class_ids: Column) -> Column:
+    """For an array of class ids, a map with the name of each; an empty one for other classes."""
+    names = F.create_map(*[F.lit(x) for k, name in CLASS_NAMES.items() if k for x in (k, name)])
+    none = F.create_map().cast("map<string,string>")
+    return F.transform(class_ids, lambda i: F.when(F.element_at(names, i).isNotNull(), F.create_map(F.lit("name"), F.element_at(names, i))).otherwise(none))
+
+
 def confidence_band(score: Column) -> Column:
     return F.when(score > 0.8, "high").when(score > 0.5, "medium").otherwise("low")
 

@@ -86,3 +86,57 @@ def in_region(regions: DataFrame, asked: DataFrame) -> DataFrame:
     d = regions.join(asked.select("image_id", "crop_x1", "crop_y1"), "image_id")
     move = {k: F.col(k) + F.col("crop_x1" if k[0] == "x" else "crop_y1") for k in ("x1", "y1", "x2", "y2")}
     return d.withColumns(move).drop("crop_x1", "crop_y1")
+
+
+def without_zero_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which not all of ``columns`` are 0."""
+    some = F.lit(False)
+    for c_ in columns:
+        some = some | (F.col(c_) != 0)
+    return df.filter(some)
+
+
+def image_meta(image_id: Column, original: Column, shape: Column, window: Column, scale: Column, active: Column) -> Column:
+    """One array of doubles: id, original [h, w, c], shape [h, w, c], window [y1, x1, y2, x2], scale, a flag a class."""
+    return F.concat(*[x.cast("array<double>") for x in (F.array(image_id), original, shape, window, F.array(scale), active)])
+
+
+def parsed_meta(meta: Column) -> Column:
+    """The parts of :func:`image_meta` as a struct."""
+    part = lambda at, n, kind: F.transform(F.slice(meta, at, n), lambda v: v.cast(kind))
+    return F.struct(
+        F.get(meta, F.lit(0)).cast("long").alias("image_id"),
+        part(2, 3, "int").alias("original_image_shape"),
+        part(5, 3, "int").alias("image_shape"),
+        part(8, 4, "int").alias("window"),
+        F.get(meta, F.lit(11)).alias("scale"),
+        part(F.lit(13), F.greatest(F.lit(0), F.size(meta) - 12), "int").alias("active_class_ids"),
+    )
+
+
+def detection_json(dets: DataFrame, images: DataFrame, average_door: DataFrame) -> DataFrame:
+    """image_id, ``legacy``: Width, Height, averageDoor and, in the order of det_id, classes and points. An image's detections are one row's arrays."""
+    item = F.struct("det_id", c.class_name(F.col("class_id")).alias("name"), F.struct("x1", "y1", "x2", "y2").alias("point"))
+    own = dets.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    d = images.join(own, "image_id", "left").join(average_door.select("image_id", "average_door"), "image_id", "left")
+    items = F.coalesce("items", F.array().cast(own.schema["items"].dataType))
+    legacy = F.struct(
+        F.col("width").cast("long").alias("Width"),
+        F.col("height").cast("long").alias("Height"),
+        F.coalesce("average_door", F.lit(0.0)).alias("averageDoor"),
+        F.transform(items, lambda x: F.struct(x["name"].alias("name"))).alias("classes"),
+        F.transform(items, lambda x: x["point"]).alias("points"),
+    )
+    return d.select("image_id", legacy.alias("legacy"))
+
+
+def stamped(df: DataFrame, name: str = "timestamp") -> DataFrame:
+    """``df`` with the time of the query, in ISO form, the same in every row."""
+    return df.withColumn(name, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def keep_ratio(images: DataFrame, longest: int) -> DataFrame:
+    """image_id, scale, out_width, out_height: sides cut down, never up, so that the longer one is ``longest`` at most; parts of a pixel are dropped."""
+    scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest("width", "height"))
+    d = images.select("image_id", "width", "height", scale.alias("scale"))
+    return d.select("image_id", "scale", (F.col("width") * F.col("scale")).cast("int").alias("out_width"), (F.col("height") * F.col("scale")).cast("int").alias("out_height"))

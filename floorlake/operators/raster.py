@@ -70,6 +70,13 @@ def drop_small(mask: np.ndarray, least: int) -> np.ndarray:
     return (np.bincount(label.ravel()) >= least)[label] & mask
 
 
+def largest_component(mask: np.ndarray) -> np.ndarray:
+    """The component with most pixels, of equal ones the first; an empty mask as it is."""
+    size = np.bincount(components(mask).ravel())
+    size[0] = 0
+    return (components(mask) == size.argmax()) if size.any() else mask
+
+
 def _disk(mask: np.ndarray, radius: int, grow: bool) -> np.ndarray:
     out = mask if grow else ~mask
     for dy in range(-radius, radius + 1):
@@ -191,6 +198,39 @@ def branch_points(bones: np.ndarray, top: int = 0, left: int = 0, size: tuple[in
     return found if len(found) <= most else sorted(found, key=lambda p: (near(p), p[1], p[0]), reverse=True)[:most]
 
 
+def meeting_points(bones: np.ndarray, radius: float = 15.0) -> list[tuple[int, int]]:
+    """(y, x), two pixels off the edge or more, around which the eight neighbours form three pieces or more; row by row, of near ones the first."""
+    around = [shifted(bones, dy, dx) for dy, dx in NEIGHBOURS]
+    # corners touch the sides beside them, and sides each other across a corner: pieces are the gaps of the ring, sides joined over an empty corner
+    closed = [around[k] | (around[k - 1] & around[(k + 1) % 8]) if k % 2 else around[k] for k in range(8)]
+    pieces = sum((closed[k] & ~closed[k - 1]).astype(np.int8) for k in range(8))
+    found: list[tuple[int, int]] = []
+    inner = np.zeros_like(bones)
+    inner[2:-2, 2:-2] = True
+    for y, x in zip(*(v.tolist() for v in np.nonzero(bones & inner & (pieces >= 3))), strict=True):
+        if all((y - a) ** 2 + (x - b) ** 2 >= radius**2 for a, b in found):
+            found.append((y, x))
+    return found
+
+
+def repaired(line: list[tuple[float, float]], mask: np.ndarray, snap: int = 3) -> list[tuple[float, float]]:
+    """A line of (x, y) with the points outside the mask moved to its first pixel within ``snap`` rings, or left out."""
+    h, w = mask.shape
+    out: list[tuple[float, float]] = []
+    for x, y in line:
+        if 0 <= y < h and 0 <= x < w and mask[int(y), int(x)]:
+            out.append((x, y))
+        elif q := nearest_inside(mask, int(y), int(x), snap):
+            out.append((float(q[1]), float(q[0])))
+    return out
+
+
+def validated(line: list[tuple[float, float]], mask: np.ndarray) -> list[tuple[float, float]]:
+    """:func:`repaired`, or the line as it was if fewer than two points are left."""
+    kept = repaired(line, mask) if len(line) > 1 else line
+    return kept if len(kept) > 1 else line
+
+
 def _cropped(label: np.ndarray, k: int, pad: int = 4) -> tuple[np.ndarray, int, int]:
     """One component with ``pad`` empty pixels around it, and where it starts."""
     ys, xs = np.nonzero(label == k)
@@ -301,6 +341,44 @@ def centered_line(mask: np.ndarray, reach: float = 15.0, least: int = 10, snap:
     return out if len(out) > 1 else []
 
 
+def inner_line(points: list[tuple[int, int]], mask: np.ndarray, least: int = 2) -> list[tuple[float, float]]:
+    """(x, y) of a wall piece's centerline: the centered line of its mask, else its own pixels in walking order, repaired and, from five on, smoothed by threes."""
+    if len(points) < 2:
+        return []
+    line = centered_line(mask)
+    if len(line) >= least:
+        return line
+    ordered = [(float(x), float(y)) for y, x in walk(points)]
+    kept = repaired(ordered, mask) if len(ordered) >= least else []
+    if len(kept) > 4:
+        kept = [tuple(float(v) for v in np.mean(kept[max(0, i - 1) : i + 2], axis=0)) for i in range(len(kept))]
+    return kept if len(kept) >= least else []
+
+
+def wall_table(runs: DataFrame, cleaned: bool = True) -> DataFrame:
+    """Every wall segment of each image's mask, in pixels: image_id, wall_seq, line (x, y of its pixels in walking order), ends sx, sy, ex, ey, thickness, box and area (its number of pixels)."""
+    schema = (
+        "image_id long, wall_seq int, line array<struct<x: double, y: double>>, sx double, sy double, ex double, ey double, "
+        "thickness struct<average: double, min: double, max: double, profile: array<double>>, box struct<x1: double, y1: double, x2: double, y2: double>, area double"
+    )
+
+    def solve(df: pd.DataFrame) -> pd.DataFrame:
+        mask, top, left = painted(df)
+        deep = distances(mask)
+        rows = []
+        for s, points in enumerate(segmented(mask, top, left, cleaned=cleaned)[0]):
+            line = walk(points)
+            profile = [float(2 * deep[p]) for p in line]
+            thick = {"average": float(np.mean(profile)), "min": min(profile), "max": max(profile), "profile": profile} if len(line) > 1 else {"average": 0.0, "min": 0.0, "max": 0.0, "profile": []}
+            at = [{"x": float(x + left), "y": float(y + top)} for y, x in line]
+            ys, xs = [y + top for y, _ in points], [x + left for _, x in points]
+            box = {"x1": float(min(xs)), "y1": float(min(ys)), "x2": float(max(xs)), "y2": float(max(ys))}
+            rows.append((df["image_id"].iloc[0], s + 1, at, at[0]["x"], at[0]["y"], at[-1]["x"], at[-1]["y"], thick, box, float(len(points))))
+        return pd.DataFrame(rows, columns=["image_id", "wall_seq", "line", "sx", "sy", "ex", "ey", "thickness", "box", "area"])
+
+    return _dealt(runs, "image_id").applyInPandas(solve, schema)
+
+
 def centered_lines(runs: DataFrame) -> DataFrame:
     """image_id, det_id, pos, x, y: the centered line of each wall mask."""
 

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from floorlake.functions import classify as c
 from floorlake.functions import geometry as g
-from floorlake.operators import metrics, pairs, paths
+from floorlake.functions import units
+from floorlake.operators import metrics, pairs, paths, raster
 
 
 def accuracy_report(dets: DataFrame, images: DataFrame) -> DataFrame:
@@ -122,3 +123,27 @@ def with_fallback_junctions(junctions: DataFrame, more: DataFrame, least: int =
     few = more.join(n, "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < least)
     return junctions.select("image_id", "j_seq", "x", "y").unionByName(few.select("image_id", (F.col("j_seq") + F.col("n")).cast("int").alias("j_seq"), "x", "y"))
 
+
+def wall_parameters(runs: DataFrame, images: DataFrame, prefix: str = "", cleaned: bool = True) -> DataFrame:
+    """From wall masks to walls: image_id, wall_seq, wall_id, and in mm centerline, length, thickness and box, then orientation_degrees, start_junction, end_junction, segment_area.
+
+    ``prefix`` names the region that the masks are of.
+    """
+    table, scale = raster.wall_table(runs, cleaned), F.col("mm_per_px")
+    ends = pairs.wall_connections(table, raster.raster_junctions(runs, cleaned)).select("image_id", "wall_seq", "start_junction", "end_junction")
+    steps = F.zip_with(F.slice("line", 1, F.size("line") - 1), F.slice("line", 2, F.size("line") - 1), lambda a, b: g.distance(a["x"], a["y"], b["x"], b["y"]))
+    length = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
+    d = table.join(ends, ["image_id", "wall_seq"]).join(images.select("image_id", "mm_per_px"), "image_id")
+    return d.select(
+        "image_id",
+        "wall_seq",
+        F.concat(F.lit(f"{prefix}W"), F.col("wall_seq").cast("string")).alias("wall_id"),
+        units.line_to_mm(F.transform("line", lambda p: F.array(p["x"], p["y"])), scale).alias("centerline"),
+        units.px_to_mm(length, scale).alias("length"),
+        units.thickness_to_mm(F.col("thickness"), scale).alias("thickness"),
+        units.box_to_mm(F.col("box"), scale).alias("box"),
+        F.when(F.size("line") < 2, F.lit(0.0)).otherwise(paths.fold_angle(F.col("ey") - F.col("sy"), F.col("ex") - F.col("sx"))).alias("orientation_degrees"),
+        "start_junction",
+        "end_junction",
+        F.col("area").alias("segment_area"),
+    )

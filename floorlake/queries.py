@@ -11,7 +11,8 @@ from floorlake.adapters import SQL_VIEWS, Views
 from floorlake.functions import classify as c
 from floorlake.functions import geometry as g
 from floorlake.functions import text as t
-from floorlake.operators import evaluate, masks, metrics, pairs, paths, prepare, raster, segments, suppress, texts
+from floorlake.functions import units
+from floorlake.operators import evaluate, masks, metrics, pairs, paths, prepare, raster, segments, selection, suppress, texts
 from floorlake.plans import reports
 from floorlake.sources import images, outputs
 
@@ -746,3 +747,136 @@ def wall_thickness(v: Views) -> DataFrame:
 @query()
 def centered_centerline(v: Views) -> DataFrame:
     return rounded(raster.centered_lines(crossing_bars(v)), "x", "y")
+
+
+@query("""SELECT image_id, wall_seq, sx * mm_per_px AS sx, sy * mm_per_px AS sy, ex * mm_per_px AS ex, ey * mm_per_px AS ey, least(sx, ex) * mm_per_px AS x1, greatest(sy, ey) * mm_per_px AS y2, thickness_avg * mm_per_px AS thickness, thickness_avg / mm_per_px AS px
+FROM walls JOIN images USING (image_id)""")
+def mm_conversions(v: Views) -> DataFrame:
+    s, at = F.col("mm_per_px"), lambda c, i, j: F.get(F.get(c, F.lit(i)), F.lit(j))
+    d = v.walls.join(v.images, "image_id").select(
+        "image_id",
+        "wall_seq",
+        units.line_to_mm(F.array(F.array("sx", "sy"), F.array("sx"), F.array("ex", "ey", "sx")), s).alias("line"),
+        units.box_to_mm(F.struct(F.least("sx", "ex").alias("x1"), F.least("sy", "ey").alias("y1"), F.greatest("sx", "ex").alias("x2"), F.greatest("sy", "ey").alias("y2")), s).alias("box"),
+        units.thickness_to_mm(F.struct(F.col("thickness_avg").alias("average"), F.lit(None).cast("double").alias("min"), F.lit(0.0).alias("max"), F.array("thickness_avg").alias("profile")), s).alias("t"),
+        units.mm_to_px(F.col("thickness_avg"), s).alias("px"),
+    )
+    line = F.col("line")
+    return d.select("image_id", "wall_seq", at(line, 0, 0).alias("sx"), at(line, 0, 1).alias("sy"), at(line, 1, 0).alias("ex"), at(line, 1, 1).alias("ey"), "box.x1", "box.y2", F.get("t.profile", F.lit(0)).alias("thickness"), "px")
+
+
+@query("""SELECT image_id, '[' || string_agg(CASE det_id % 5 WHEN 1 THEN '{"name":"wall"}' WHEN 2 THEN '{"name":"window"}' WHEN 3 THEN '{"name":"door"}' ELSE '{}' END, ',' ORDER BY det_id) || ']' AS names FROM detections GROUP BY image_id""")
+def class_name_lists(v: Views) -> DataFrame:
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("det_id", (F.col("det_id") % 5).cast("int").alias("c")))), lambda x: x["c"])
+    return v.detections.groupBy("image_id").agg(ids.alias("ids")).select("image_id", F.to_json(c.class_name_maps(F.col("ids"))).alias("names"))
+
+
+@query(f"+ {MEASURED}\nSELECT image_id, wall_seq FROM ext WHERE reasons = ''")
+def interior_walls(v: Views) -> DataFrame:
+    exterior = reports.connected_walls(v.walls, v.junctions, v.images).filter("is_exterior")
+    return selection.interior_walls(v.walls, exterior).select("image_id", F.col("wall_seq").cast("long").alias("wall_seq"))
+
+
+@query("""+ s AS (SELECT path_id, pos, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2 FROM path_points WINDOW w AS (PARTITION BY path_id ORDER BY pos)),
+n AS (SELECT *, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) OVER (PARTITION BY path_id) AS length FROM s)
+SELECT path_id, pos::BIGINT AS pos, x1, y1, x2, y2 FROM n WHERE length >= 10 AND x1 IS NOT NULL AND NOT (x1 < 40 AND y1 < 140 OR x2 < 40 AND y2 < 140)""")
+def drawn_lines(v: Views) -> DataFrame:
+    return selection.line_steps(v.path_points).withColumn("pos", F.col("pos").cast("long"))
+
+
+COVER = "greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)) / (({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1)) > 0.5::DOUBLE"
+
+
+@query(f"""+ d AS (SELECT * FROM detections WHERE class_id = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY det_id) AS rn FROM d b WHERE det_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM d a WHERE a.image_id = b.image_id AND a.det_id % 3 = 0 AND {COVER.format(a="a", b="b")})),
+p AS (SELECT b.image_id, b.rn, list(a.rn) AS cl FROM q a JOIN q b ON a.image_id = b.image_id AND a.rn < b.rn WHERE {COVER.format(a="a", b="b")} GROUP BY 1, 2),
+m AS (SELECT q.image_id, q.rn, coalesce(cl, []) AS cl FROM q LEFT JOIN p USING (image_id, rn)),
+st AS (SELECT image_id, rn, [rn] AS kept FROM m WHERE rn = 1
+  UNION ALL SELECT m.image_id, m.rn, CASE WHEN list_has_any(kept, cl) THEN kept ELSE list_append(kept, m.rn) END FROM st JOIN m ON m.image_id = st.image_id AND m.rn = st.rn + 1),
+fin AS (SELECT image_id, unnest(kept) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rn DESC) AS last FROM st) WHERE last = 1)
+SELECT image_id, det_id FROM q JOIN fin USING (image_id, rn)""", recursive=True)
+def walls_without_line(v: Views) -> DataFrame:
+    walls = v.detections.filter("class_id = 1")
+    return selection.without_line(walls.filter("det_id % 3 <> 0"), walls.filter("det_id % 3 = 0")).select("image_id", "det_id")
+
+
+#: Every fiftieth box is a crowd. The order of sampling is arithmetic here, so that SQL can say it.
+CROWDS = f"""g AS (SELECT * REPLACE (CASE WHEN gt_id % 50 = 0 THEN -1 ELSE class_id END AS class_id) FROM gt),
+o AS (SELECT a.image_id, a.pred_id, b.gt_id, b.class_id, {AB} AS iou FROM pred a JOIN g b USING (image_id)),
+cr AS (SELECT DISTINCT pred_id FROM o WHERE class_id < 0 AND iou >= 0.001::DOUBLE)"""
+MIXED = "7919 * {0} % 10007"
+
+
+def _with_crowds(v: Views) -> DataFrame:
+    return v.gt.withColumn("class_id", F.expr("if(gt_id % 50 = 0, -1, class_id)"))
+
+
+@query(f"""+ {CROWDS},
+b AS (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY iou DESC, gt_id) AS n FROM o WHERE class_id > 0),
+s AS (SELECT p.image_id, p.pred_id AS roi_id, b.gt_id, b.class_id, coalesce(iou, 0) >= 0.5::DOUBLE AS positive FROM pred p LEFT JOIN b ON b.pred_id = p.pred_id AND b.n = 1 WHERE coalesce(iou, 0) >= 0.5::DOUBLE OR p.pred_id NOT IN (FROM cr)),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, positive ORDER BY {MIXED.format("roi_id")}, roi_id) AS place FROM s),
+t AS (SELECT * FROM r WHERE positive AND place <= 6), n AS (SELECT image_id, count(*) AS n FROM t GROUP BY 1)
+SELECT image_id, roi_id, positive, gt_id, class_id FROM t
+UNION ALL SELECT image_id, roi_id, positive, NULL, 0 FROM r JOIN n USING (image_id) WHERE NOT positive AND place <= floor(n * (1 / 0.33::DOUBLE)) - n""")
+def sampled_detection_targets(v: Views) -> DataFrame:
+    rois = v.pred.withColumnRenamed("pred_id", "roi_id")
+    return evaluate.detection_targets(rois, _with_crowds(v), per_image=20, order=F.expr(MIXED.format("roi_id")))
+
+
+@query(f"""+ {CROWDS},
+f AS (SELECT DISTINCT pred_id FROM (SELECT pred_id, iou, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, pred_id) AS n FROM o WHERE class_id > 0) WHERE n = 1 AND iou > 0),
+m AS (SELECT pred_id, max(iou) AS iou FROM o WHERE class_id > 0 GROUP BY 1),
+l AS (SELECT p.image_id, p.pred_id AS anchor_id, CASE WHEN f.pred_id IS NOT NULL OR coalesce(iou, 0) >= 0.7::DOUBLE THEN 1 WHEN coalesce(iou, 0) < 0.3::DOUBLE AND p.pred_id NOT IN (FROM cr) THEN -1 ELSE 0 END AS label
+  FROM pred p LEFT JOIN m ON m.pred_id = p.pred_id LEFT JOIN f ON f.pred_id = p.pred_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY {MIXED.format("anchor_id")}, anchor_id) AS place, least(count(*) FILTER (label = 1) OVER (PARTITION BY image_id), 10) AS n FROM l)
+SELECT image_id, anchor_id, CASE WHEN place <= CASE WHEN label = 1 THEN 10 ELSE 20 - n END THEN label ELSE 0 END AS label FROM r""")
+def sampled_anchor_targets(v: Views) -> DataFrame:
+    anchors = v.pred.withColumnRenamed("pred_id", "anchor_id")
+    return evaluate.anchor_targets(anchors, _with_crowds(v), per_image=20, order=F.expr(MIXED.format("anchor_id")))
+
+
+@query("""+ r AS (SELECT image_id, det_id, [image_id, 1120, 1120, 3, 1600, 1600, 3, y1, x1, y2, x2, 1.5, 1, det_id % 2, 0] AS meta FROM detections)
+SELECT det_id, image_id::BIGINT AS image_id, array_to_string(list_transform(meta[8:11], lambda x: x::BIGINT), ',') AS window, 1.5::DOUBLE AS scale, '1,' || det_id % 2 || ',0' AS active FROM r""")
+def image_meta(v: Views) -> DataFrame:
+    whole = lambda *x: F.array(*[F.lit(i) for i in x])
+    meta = prepare.image_meta(F.col("image_id"), whole(1120, 1120, 3), whole(1600, 1600, 3), F.array("y1", "x1", "y2", "x2"), F.lit(1.5), F.array(F.lit(1), (F.col("det_id") % 2).cast("int"), F.lit(0)))
+    text = lambda x: F.array_join(F.col(x).cast("array<string>"), ",")
+    return v.detections.select("det_id", prepare.parsed_meta(meta).alias("m")).select("det_id", "m.image_id", text("m.window").alias("window"), "m.scale", text("m.active_class_ids").alias("active"))
+
+
+@query("""SELECT i.image_id, 1120::BIGINT AS width, round(coalesce(avg(greatest(x2 - x1, y2 - y1)) FILTER (class_id = 3), 0), 6) AS average_door,
+  string_agg(CASE class_id WHEN 1 THEN 'wall' WHEN 2 THEN 'window' ELSE 'door' END, '|' ORDER BY det_id) AS names, string_agg(concat_ws(',', x1::BIGINT, y1::BIGINT, x2::BIGINT, y2::BIGINT), '|' ORDER BY det_id) AS points
+FROM images i JOIN detections d USING (image_id) GROUP BY i.image_id""")
+def flat_json(v: Views) -> DataFrame:
+    w, h = size()
+    doors = v.detections.filter("class_id = 3").groupBy("image_id").agg(F.avg(F.greatest(w, h)).alias("average_door"))
+    d = prepare.detection_json(v.detections, v.images, doors)
+    points = F.transform("legacy.points", lambda p: F.concat_ws(",", *[p[k].cast("long") for k in ("x1", "y1", "x2", "y2")]))
+    return d.select("image_id", F.col("legacy.Width").alias("width"), F.round("legacy.averageDoor", 6).alias("average_door"), F.array_join(F.transform("legacy.classes", lambda x: x["name"]), "|").alias("names"), F.array_join(points, "|").alias("points"))
+
+
+@query("""+ d AS (SELECT image_id, det_id % 2 AS t, score AS p, (y1 - x1) / 400 AS a, det_id % 3 AS k, [score * 0.5, score * 0.3, 1 - score * 0.8] AS ps FROM detections),
+c AS (SELECT *, greatest(1e-7, least(1 - 1e-7, p)) AS q, abs(a) AS z, greatest(1e-7, least(1 - 1e-7, ps[k + 1])) AS s FROM d)
+SELECT image_id, round(avg(CASE WHEN z < 1 THEN 0.5 * z * z ELSE z - 0.5 END), 6) AS smooth, round(avg(-(t * ln(q) + (1 - t) * ln(1 - q))), 6) AS binary, round(avg(-ln(s)), 6) AS sparse FROM c GROUP BY image_id""")
+def losses(v: Views) -> DataFrame:
+    s = F.col("score")
+    probabilities = F.array(s * 0.5, s * 0.3, 1 - s * 0.8)
+    return rounded(
+        v.detections.groupBy("image_id").agg(
+            F.avg(evaluate.smooth_l1((F.col("y1") - F.col("x1")) / 400, F.lit(0.0))).alias("smooth"),
+            F.avg(evaluate.cross_entropy(F.col("det_id") % 2, s)).alias("binary"),
+            F.avg(evaluate.sparse_cross_entropy((F.col("det_id") % 3).cast("int"), probabilities)).alias("sparse"),
+        ),
+        "smooth", "binary", "sparse",
+    )
+
+
+@query("SELECT det_id FROM detections WHERE NOT (det_id % 2 = 0 AND det_id % 3 = 0)")
+def nonzero_rows(v: Views) -> DataFrame:
+    return prepare.without_zero_rows(v.detections.selectExpr("det_id", "det_id % 2 a", "det_id % 3 b"), ["a", "b"]).select("det_id")
+
+
+@query()
+def wall_parameters(v: Views) -> DataFrame:
+    d = reports.wall_parameters(crossing_bars(v), v.images, "R1_", cleaned=False)
+    return rounded(d.select("image_id", "wall_id", "length", F.col("thickness.average").alias("thickness"), "orientation_degrees", "box.x1", "box.y2", "start_junction", "segment_area"), "length", "thickness", "orientation_degrees")
