@@ -1,15 +1,14 @@
-"""Column helpers and staging shared by the corpus operators."""
+"""Column helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floorlake.staging import broadcast_if_small, shared_dir, staged  # noqa: F401
+
 #: ASCII white space; everything between is a word.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -38,41 +37,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the session names none, a local one (single-machine runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/floorlake-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back, which cuts its lineage.
-
-    While it is written, Python functions get ``batch_rows`` rows at a time: for rows with large
-    values, a smaller number than the session's keeps the workers' memory down.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/floorlake-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(ARROW_ROWS)
-    try:
-        if batch_rows:
-            spark.conf.set(ARROW_ROWS, batch_rows)
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hints a broadcast if ``df`` has at most ``max_rows`` rows; else the join shuffles. Counts ``df``: give a staged one."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns that an operator is about to add under these names."""
-    return df.drop(*names)
+def set_aside(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns whose names begin with two underscores, as operators' own do, renamed; and what names them back."""
+    names = {c: f"kept {c}" for c in df.columns if c.startswith("__")}
+    return df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})

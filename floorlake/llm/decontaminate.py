@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorlake.llm.common import broadcast_if_small, let, staged, text_key, words
+from floorlake.llm.common import let, set_aside, text_key, words
+from floorlake.staging import broadcast_if_small, staged
 
 WORDS = 5
 CONTAINMENT = 0.8
-#: A sketch table of up to so many rows is broadcast (24 bytes a row); a larger one is joined by shuffle.
-MAX_BROADCAST = 200_000
 
 
 def _lower_words(text: Column) -> Column:
@@ -78,7 +77,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, conta
     )
     probes = hashed.filter(F.size("__h.hashes") > 0).select("key", F.col("__h.n_words").alias("n_words"), F.explode("__h.hashes").alias("hash"))
     long_enough = F.col("n_words") - F.col("length") + 1 >= F.ceil(F.col("size") * containment - 1e-9)
-    found = probes.join(broadcast_if_small(sketches, MAX_BROADCAST), "hash").filter(long_enough).groupBy("key", "item_id").agg(F.lit(1).alias("__one")).drop("__one")
+    found = probes.join(broadcast_if_small(sketches), "hash").filter(long_enough).groupBy("key", "item_id").agg(F.lit(1).alias("__one")).drop("__one")
     candidates = staged(found, "candidates")
     # copies of a text are verified once
     texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(broadcast_if_small(candidates.select("key").distinct()), "key", "left_semi")
@@ -116,4 +115,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = WORDS,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns as they were."""
-    return _flagged(docs, benchmark.select("item_id", "text"), n, containment).filter(F.col("__items").isNull()).select(*docs.columns)
+    docs, named_back = set_aside(docs)
+    return named_back(_flagged(docs, benchmark.select("item_id", "text"), n, containment).filter(F.col("__items").isNull()).select(*docs.columns))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -12,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorlake.llm import shingles
-from floorlake.llm.common import broadcast_if_small, staged
+from floorlake.llm.common import set_aside
 from floorlake.llm.components import components
+from floorlake.staging import broadcast_if_small, scratch, staged
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
@@ -22,9 +22,8 @@ BATCH = 16
 MISS = 1e-6
 #: Buckets of up to so many members are resolved by joining members of different components; larger ones block by block.
 SMALL_BUCKET = 64
-BLOCK = 512
-#: Turns in which a node meets one bucket's centre, before members of still open buckets meet one another.
-TURNS = 2
+#: Shingles of a block of members: a task holds two blocks, each larger by one member's set at most.
+BLOCK_SHINGLES = 1 << 18
 SIGNED = "doc_id long, node long, n_shingles long, bands array<long>, signature binary"
 
 
@@ -90,26 +89,33 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInPandas(sign, SIGNED)
 
 
-def _with_signatures(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """u, v, and both sides' size and signature."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    used = signs.select("node", "n_shingles", "signature").join(nodes, "node", "left_semi").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("signature").alias("s"))
-    used = staged(used, "signatures")
-    return pairs.join(used.toDF("u", "nu", "su"), "u").join(used.toDF("v", "nv", "sv"), "v")
+def known_nodes(members: DataFrame, signs: DataFrame) -> DataFrame:
+    """node, rep, n, signature of each member, once for all copies of its text; rep is their smallest doc_id."""
+    nodes = staged(members.select("node").distinct(), "nodes")
+    used = signs.select("node", "doc_id", "n_shingles", "signature").join(broadcast_if_small(nodes), "node", "left_semi")
+    return staged(used.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature")), "known")
 
 
-def bayes_pruned(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def bayes_pruned(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) that no batch of signature values gave up and whose set sizes allow the similarity."""
 
     @F.pandas_udf("boolean")
     def keeps(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(plausible(_unpacked(a), _unpacked(b), percent) if len(a) else [], dtype=bool)
 
-    sized = _with_signatures(pairs, signs).filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+    sized = pairs.join(side("u"), "u").join(side("v"), "v").filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     return sized.filter(keeps("su", "sv")).select("u", "v")
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def _texts_of(nodes: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text: a row for each of ``nodes``, a staged table; more only where rows repeat both id and text."""
+    reps = staged(known.join(broadcast_if_small(nodes), "node", "left_semi").select(F.col("node").alias("key"), "rep"), "reps")
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    return texts.join(broadcast_if_small(reps), (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+
+
+def _sets(nodes: DataFrame, known: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """node, shingles: the sorted 64-bit hashes of the whole set of each node."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,55 +123,30 @@ def _sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
             texts = [(t or "").encode() for t in b["text"]]
             for some in shingles.chunks(texts):
                 h, ends = shingles.shingle_sets([texts[i] for i in some], n)
-                yield pd.DataFrame({"node": b["node"].iloc[some], "shingles": [x.tobytes() for x in np.split(h, ends[:-1])]})
-
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(broadcast_if_small(nodes), "node", "left_semi")
-    return staged(texts.mapInPandas(made, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+                yield pd.DataFrame({"node": b["node"].iloc[some], "shingles": np.split(h.view(np.int64), ends[:-1])})
 
+    return staged(_texts_of(nodes, known, docs).mapInPandas(made, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-def _array(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint64)
-
-
-def exact_links(pairs: DataFrame, docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose whole shingle sets have the similarity."""
-
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([shingles.jaccard_at_least(_array(x), _array(y), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
 
+def exact_links(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose whole shingle sets have the similarity; no set goes through Python a second time."""
     nodes = staged(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
-    made = _sets(nodes, docs, n)
+    made = _sets(nodes, known, docs, n)
     joined = pairs.join(made.toDF("u", "su"), "u").join(made.toDF("v", "sv"), "v")
-    return joined.filter(similar("su", "sv")).select("u", "v")
+    both = F.size(F.array_intersect("su", "sv"))
+    return joined.filter(both * 100 >= (F.size("su") + F.size("sv") - both) * percent).select("u", "v")
 
 
-def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """band, node and root, the node itself where it has no link yet."""
-    if roots is None:
-        return members.withColumn("root", F.col("node"))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """One pair a node: with the centre of one of its buckets, in another component than its own.
-
-    The centre is first the member that shares most buckets with others, so the text that a group
-    of copies was made from; in later turns it is any.
-    """
-    if turn == 0:
-        sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-        shared = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("shared"))
-        members, place = members.join(shared, "node"), F.struct("shared", "node")
-    else:
-        place = F.struct(F.xxhash64(F.lit(turn), "node"), "node")
-    shape = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.struct(place.alias("place"), "node", "root")).alias("centre")).filter("a <> b")
-    stars = members.join(shape.select("band", F.col("centre.node").alias("centre"), F.col("centre.root").alias("centre_root")), "band").filter("root <> centre_root")
-    one = stars.groupBy("node").agg(F.min("centre").alias("centre"))
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """One pair a node: with the centre of one of its buckets, the member that shares most buckets with others, so the text that a group of copies was made from."""
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    shared = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("shared"))
+    centres = members.join(shared, "node").groupBy("band").agg(F.max(F.struct("shared", "node")).alias("c")).select("band", F.col("c.node").alias("centre"))
+    one = members.join(centres, "band").filter("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
     return one.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
 
 
-def _own_shingles(members: DataFrame, signs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def _own_shingles(members: DataFrame, known: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """node, n, own: how many shingles a member has, and how many of them no other member has."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,15 +154,16 @@ def _own_shingles(members: DataFrame, signs: DataFrame, docs: DataFrame, n: int)
             texts = [(t or "").encode() for t in b["text"]]
             for some in shingles.chunks(texts):
                 h, ends = shingles.shingle_sets([texts[i] for i in some], n)
-                sizes = np.diff(np.concatenate(([0], ends)))
-                yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy()[some], sizes), "shingle": h.view(np.int64)})
+                owner = np.repeat(b["node"].to_numpy()[some], np.diff(np.concatenate(([0], ends))))
+                for at in range(0, len(h), shingles.FOLD):
+                    yield pd.DataFrame({"node": owner[at : at + shingles.FOLD], "shingle": h[at : at + shingles.FOLD].view(np.int64)})
 
     nodes = staged(members.select("node").distinct(), "nodes")
-    sized = signs.select("node", F.col("n_shingles").alias("n")).join(broadcast_if_small(nodes), "node", "left_semi").distinct()
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(broadcast_if_small(nodes), "node", "left_semi")
-    # least and largest holder: equal for a shingle of one member, however many copies of its text there are
-    holders = texts.mapInPandas(split, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
-    return sized.join(holders.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    # least and largest holder: equal for a shingle of one member
+    holders = _texts_of(nodes, known, docs).mapInPandas(split, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    owned = holders.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sized = known.select("node", "n").join(broadcast_if_small(nodes), "node", "left_semi")
+    return sized.join(owned, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def _open_members(members: DataFrame) -> DataFrame:
@@ -203,19 +185,19 @@ def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
     return side("u").join(side("v"), "band").filter("u < v and ru <> rv").filter(possible).select("u", "v").distinct()
 
 
-def _large_links(members: DataFrame, signs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _large_links(members: DataFrame, known: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different components in large buckets: members outside the largest component against all.
 
     Buckets with one most popular member hold much the same group and are taken together. A group
-    is compared a block against a block: a task holds two blocks of whole sets, whatever the
-    group's size. Pairs that neither their own shingles nor the posterior rule out are counted
-    exactly there, and a pair that a link found before has already joined is skipped.
+    is compared a block against a block, blocks being cut by their sets' sizes: a task holds two
+    of them, whatever the group's size. Pairs that neither their own shingles nor the posterior
+    rule out are counted exactly there, and a pair that a link found before has already joined is skipped.
     """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         s, node, root = _unpacked(rows["signature"]), rows["node"].to_numpy(), rows["root"].to_numpy()
         size, free = rows["n"].to_numpy(), rows["n"].to_numpy() - rows["own"].to_numpy()
-        sets = [_array(x) for x in rows["shingles"]]
+        sets = list(rows["shingles"])
         above: dict[int, int] = {}
 
         def top(r: int) -> int:
@@ -243,15 +225,17 @@ def _large_links(members: DataFrame, signs: DataFrame, docs: DataFrame, n: int,
     if groups.isEmpty():
         return members.sparkSession.createDataFrame([], "u long, v long")
     nodes = staged(groups.select("node").distinct(), "nodes")
-    named = signs.select("node", "signature").join(broadcast_if_small(nodes), "node", "left_semi").groupBy("node").agg(F.max("signature").alias("signature")).join(_sets(nodes, docs, n), "node")
-    largest = groups.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("centre").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("others"))
-    sized = groups.join(largest, "centre")
-    wide, high = F.ceil(F.col("all") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    named = known.select("node", "signature").join(_sets(nodes, known, docs, n), "node")
+    # a null for the sum of a group of one component, which has nothing to compare
+    rooted = groups.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"))
+    largest = rooted.groupBy("centre").agg(F.max_by(F.struct("root", "weight"), F.struct("k", "root")).alias("most"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("roots"))
+    sized = groups.join(largest.filter("roots > 1"), "centre").withColumn("others", F.col("all") - F.col("most.weight"))
+    wide, high = F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("others") / BLOCK_SHINGLES)
     deal = lambda blocks: F.pmod(F.xxhash64(F.lit(3), "node"), blocks)
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     columns = ["centre", "i", "j", "node", "root", "n", "own", "probe"]
-    probes = sized.filter("root <> most").withColumn("i", deal(high)).withColumn("j", every(wide)).withColumn("probe", F.lit(True))
-    targets = sized.filter("others > 0").withColumn("j", deal(wide)).withColumn("i", every(high)).withColumn("probe", F.lit(False))
+    probes = sized.filter("root <> most.root").withColumn("i", deal(high)).withColumn("j", every(wide)).withColumn("probe", F.lit(True))
+    targets = sized.withColumn("j", deal(wide)).withColumn("i", every(high)).withColumn("probe", F.lit(False))
     dealt = probes.select(columns).union(targets.select(columns)).join(named, "node")
     return dealt.groupBy("centre", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
@@ -259,32 +243,31 @@ def _large_links(members: DataFrame, signs: DataFrame, docs: DataFrame, n: int,
 def linked_nodes(docs: DataFrame, signs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """node, root for each node that is linked with another one.
 
-    In a few turns, each node is compared with one bucket's centre outside its component. Members
-    of a bucket that are then still in different components are compared with one another, unless
-    so many of a member's shingles are its own that it can't be similar to any, or not to that
-    one; pairs inside a component need no test. So no bucket is capped and no bucket's pairs are
-    listed.
+    Each node is compared with the centre of one of its buckets. Members of a bucket that are then
+    still in different components are compared with one another, unless so many of a member's
+    shingles are its own that it can't be similar to any, or not to that one; pairs inside a
+    component need no test. So no bucket is capped and no bucket's pairs are listed.
     """
     banded = signs.select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("band")
     members = staged(banded.join(shared, "band").distinct(), "members")
-    roots, links = None, None
-    for turn in range(TURNS):
-        pairs = staged(_star_pairs(_rooted(members, roots), turn), "pairs")
-        if pairs.isEmpty():
-            break
-        new = exact_links(staged(bayes_pruned(pairs, signs, percent), "likely"), docs, n, percent)
-        links = staged(new if links is None else links.union(new), "links")
-        roots = staged(components(links), "roots")
-    if links is None:
+    if members.isEmpty():
         return signs.sparkSession.createDataFrame([], "node long, root long")
-    rest = staged(_open_members(_rooted(members, roots)), "open")
+    known = known_nodes(members, signs)
+    stars = staged(bayes_pruned(staged(_star_pairs(members), "pairs"), known, percent), "likely")
+    links = staged(exact_links(stars, known, docs, n, percent), "links")
+    roots = staged(components(links), "roots")
+    rooted = members.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = staged(_open_members(rooted), "open")
     if rest.isEmpty():
         return roots
-    counted = rest.join(_own_shingles(rest, signs, docs, n), "node").filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    counted = rest.join(_own_shingles(rest, known, docs, n), "node").filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     rest = staged(_open_members(staged(counted, "possible")), "open")
-    near = staged(bayes_pruned(staged(_small_pairs(rest, percent), "pairs"), signs, percent), "near")
-    return staged(components(links.union(exact_links(near, docs, n, percent)).union(_large_links(rest, signs, docs, n, percent))), "roots")
+    if rest.isEmpty():
+        return roots
+    near = staged(bayes_pruned(staged(_small_pairs(rest, percent), "pairs"), known, percent), "near")
+    found = staged(exact_links(near, known, docs, n, percent).union(_large_links(rest, known, docs, n, percent)), "found")
+    return roots if found.isEmpty() else components(staged(links.union(found), "links"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -302,11 +285,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    signs = staged(signed(docs, n), "signed")
-    roots = linked_nodes(docs, signs, n, percent)
-    rows = signs.filter("n_shingles > 0").select("doc_id", "node").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    with scratch(docs.sparkSession):
+        signs = staged(signed(docs, n), "signed")
+        roots = staged(linked_nodes(docs, signs, n, percent), "roots")
+        base = staged(signs.select("doc_id", "node", "n_shingles").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", keep=True)
+    rows = base.filter("n_shingles > 0")
     shared = staged(rows.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "shared")
-    base = signs.select("doc_id", "node", "n_shingles").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = base.join(broadcast_if_small(shared), "root", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "node", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -314,7 +298,8 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of which :func:`near_duplicates` keeps another one; columns as they were."""
+    docs, named_back = set_aside(docs)
     out = _grouped(docs, n, percent).filter("not kept").select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node")).distinct()
     dropped = broadcast_if_small(staged(out, "dropped"))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__node"))
-    return docs.join(dropped, same, "left_anti").select(*docs.columns)
+    return named_back(docs.join(dropped, same, "left_anti").select(*docs.columns))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorlake.llm.common import NOT_SPACE, SPACE, broadcast_if_small, let, staged, words
+from floorlake.llm.common import NOT_SPACE, SPACE, let, set_aside, words
+from floorlake.staging import broadcast_if_small, staged
 
 # Frequent function words, by language.
 COMMON = {
@@ -129,7 +130,7 @@ def measured_quality(docs: DataFrame, keep: list[str]) -> DataFrame:
     The features are staged once in the shared folder: the references need all documents first.
     """
     feats = staged(features(docs, keep), "quality")
-    languages = broadcast_if_small(staged(references(feats), "languages"), 10_000)  # a row a language, not two shuffles by it
+    languages = broadcast_if_small(staged(references(feats), "languages"))  # a row a language, not two shuffles by it
     judged = feats.join(languages, "__lang", "left")
     n_chars = F.aggregate("__classes", F.lit(0).cast("long"), lambda s, x: s + x)
     n, repeats = F.col("__w.n_words"), F.col("__w.n_repeat_words")
@@ -162,4 +163,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they were."""
-    return measured_quality(docs, docs.columns).filter("__kept").select(*docs.columns)
+    docs, named_back = set_aside(docs)
+    return named_back(measured_quality(docs, docs.columns).filter("__kept").select(*docs.columns))
