@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from floorlake.llm.html_blocks import Leaf, leaves
+from floorlake.llm.html_blocks import PATH_DIM, Leaf, leaves
 from floorlake.llm.html_pages import labelled_page
+from floorlake.staging import small_batches
 
-PATH_DIM = 512
 WORD_DIM = 64
 EXTRA = 4
 INPUT = PATH_DIM + WORD_DIM + EXTRA
@@ -44,12 +44,6 @@ class Weights(NamedTuple):
     bo: np.ndarray
 
 
-def path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Hashed names of the path; the innermost ones once more, marked, as they say most."""
-    marked = [f"in:{t}" for t in path[-3:]]
-    return tuple(sorted({crc32(t.encode()) % PATH_DIM for t in (*path, *marked)}))
-
-
 def encoded(blocks: list[Leaf]) -> tuple[list[tuple[int, ...]], np.ndarray]:
     """Path ids, and the dense part of the input: mean of hashed words, then lengths."""
     dense = np.zeros((len(blocks), WORD_DIM + EXTRA))
@@ -58,7 +52,7 @@ def encoded(blocks: list[Leaf]) -> tuple[list[tuple[int, ...]], np.ndarray]:
         ids = [crc32(w.encode()) % WORD_DIM for w in words]
         dense[i, :WORD_DIM] = np.bincount(ids, minlength=WORD_DIM) / len(ids)
         dense[i, WORD_DIM:] = math.log1p(len(words)) / 4, min(1.0, leaf.linked / len(leaf.text)), sum(map(leaf.text.count, ".!?")) > 0, leaf.text[-1:] in ".!?"
-    return [path_ids(leaf.path) for leaf in blocks], dense
+    return [leaf.ids for leaf in blocks], dense
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -202,6 +196,7 @@ def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame
     has one without an article block. Repeated rows come out alike, each with a row; an empty
     table gives no rows; extra columns are ignored.
     """
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(weights or default_weights())  # about 60,000 numbers
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,8 @@ BODY_CLASSES = ["content", "post", "entry", "story", "article-body", "main-conte
 AD_CLASSES = ["ad", "ads", "advert", "ad-banner", "sponsored", "promo", "advertisement", "banner", "ad-slot"]
 SIDE_CLASSES = ["sidebar", "side", "widget", "related", "aside", "more-stories", "recommended"]
 NOTICE_CLASSES = ["notice", "cookie", "cookie-banner", "alert", "consent", "newsletter", "popup", "gdpr"]
-COMMENT_CLASSES = ["comments", "comment", "comment-list", "discussion", "replies", "responses"]
+COMMENT_CLASSES = ["comments", "comment", "comment-list", "discussion", "replies", "responses", "disqus_thread", "fb-comments", "reader-comments", "guestbook", "commentaires", "kommentare"]
+FALLBACK = ["please enable javascript", "your browser does not support video", "javascript is required", "your browser doesn't support this element", "icon", "choose a language"]
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve la que ei ch ge un der ló ción é ü ß ment eau".split()
 
 
@@ -51,8 +52,15 @@ class Page:
         self.html.append(f"<{tag}{attributes}><ul>{items}</ul></{tag}>")
 
     def named(self, names: list[str]) -> str:
+        if self.r.random() < 0.12:  # names that say nothing, or none
+            names = ["-".join(self.word() for _ in range(self.r.randint(1, 2)))] * self.r.randint(0, 1)
         return f" {self.r.choice(['class', 'class', 'id'])}=\"{self.r.choice(names)}\"" if names else ""
 
+    def aside(self) -> str:
+        """An element whose text stands for something else; a block of its own, in the middle of another."""
+        text = self.leaf(self.said(FALLBACK), 0)
+        return self.r.choice([f"<noscript>{text}</noscript>", f"<svg><title>{self.word()}</title><text>{text}</text></svg>", f"<video controls>{text}</video>", f"<button>{text}</button>", f"<select><option>{text}</select>", f"<object data='x'>{text}</object>"])
+
 
 def _beside(p: Page, kind: str) -> None:
     """One thing that isn't part of an article."""
@@ -81,10 +89,11 @@ def _beside(p: Page, kind: str) -> None:
         p.menu(*r.choice([("nav", ""), ("nav", ' class="menu"'), ("div", ' class="menu"'), ("div", ' id="navigation"'), ("div", ' class="nav navbar"'), ("header", "")]))
 
 
-def _article(p: Page) -> None:
+def _article(p: Page, bare: bool = False) -> None:
+    """The article; a ``bare`` one has no element of its own, and stretches of text without any."""
     r = p.r
     tag, names = r.choice([("article", []), ("article", []), ("article", []), ("article", BODY_CLASSES), ("main", []), ("div", BODY_CLASSES), ("section", BODY_CLASSES)])
-    p.html.append(f"<{tag}{p.named(names)}>")
+    p.html.append("" if bare else f"<{tag}{p.named(names)}>")
     if r.random() < 0.8:
         head = f"<h1>{p.leaf(p.phrase(1, 10), 1)}</h1>"
         p.html.append(f"<header>{head}</header>" if r.random() < 0.15 else head)
@@ -92,9 +101,14 @@ def _article(p: Page) -> None:
         k = r.random()
         if k < 0.05 and i:
             _beside(p, r.choice(["ad", "side", "form", "social", "notice"]))
-        if k < 0.7:
+        if r.random() < 0.02:
+            p.html.append(f"<hr>{p.aside()}<hr>")
+        if bare and k < 0.5:
+            text = p.leaf(p.prose(), 1)
+            p.html.append(f"<hr>{text}<hr>" if r.random() < 0.5 else f"<hr>{text}<br><br>{p.prose()}<hr>")
+        elif k < 0.7:
             text = p.leaf(p.prose() if r.random() < 0.85 else p.phrase(1, 3), 1)
-            p.html.append(r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<div>{text}</div>", f"<p>{text} <a href='/y'>{p.word()}</a></p>"]))
+            p.html.append(r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<div>{text}</div>", f"<p>{text} <a href='/y'>{p.word()}</a></p>", f"<p>{text} <math><mi>{p.word()}</mi></math></p>"]))
         elif k < 0.8:
             items = "".join(f"<li>{p.leaf(p.phrase(1, 12), 1)}</li>" for _ in range(r.randint(1, 5)))
             p.html.append(f"<ul>{items}</ul>" if r.random() < 0.6 else f"<ol>{items}</ol>")
@@ -107,7 +121,22 @@ def _article(p: Page) -> None:
             p.html.append("<table>" + "".join(f"<tr><td>{p.leaf(p.phrase(1, 3), 1)}</td><td>{p.leaf(p.phrase(1, 3), 1)}</td></tr>" for _ in range(r.randint(1, 3))) + "</table>")
     if r.random() < 0.15:
         _beside(p, "comments")
-    p.html.append(f"</{tag}>")
+    p.html.append("" if bare else f"</{tag}>")
+
+
+def _table_page(p: Page) -> None:
+    """A page laid out by a table: a column or a line of links, the article in a cell, a line below."""
+    r = p.r
+    link = lambda: f"<a href='/z'>{p.said(MENU)}</a>"
+    bar = lambda: p.leaf(r.choice([" | ", " - ", " &middot; ", " "]).join(link() for _ in range(r.randint(2, 6))), 0)
+    foot = lambda: p.leaf(r.choice([p.said(FOOT), f"{p.said(FOOT)} {p.word()}", f"copyright {r.randint(1996, 2024)} {p.word()}", f"last updated {r.randint(1996, 2024)} by {p.word()}"]), 0)
+    across = r.random() < 0.6
+    p.html.append(f"<table width='100%' border='0'>{f'<tr><td colspan=2>{bar()}</td></tr>' if across else ''}<tr>")
+    if not across:
+        p.html.append("<td width='150'>" + "".join(f"{p.leaf(link(), 0)}<hr>" if r.random() < 0.5 else f"<p>{p.leaf(link(), 0)}</p>" for _ in range(r.randint(2, 6))) + "</td>")
+    p.html.append("<td valign='top'>")
+    _article(p, bare=True)
+    p.html.append(f"</td></tr>{f'<tr><td>{foot()}</td></tr>' if r.random() < 0.7 else ''}</table>{f'<center>{foot()}</center>' if r.random() < 0.3 else ''}")
 
 
 def labelled_page(seed: int) -> tuple[str, list[int]]:
@@ -115,6 +144,10 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     p = Page(seed)
     r = p.r
     p.html.append("<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
+    layout = r.random()
+    if layout < 0.06:
+        _table_page(p)
+        return "".join(p.html), p.labels
     wrapped = r.random() < 0.4
     if r.random() < 0.25:
         _beside(p, "notice")
@@ -126,7 +159,7 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     p.html.append(f'<div id="{r.choice(["wrapper", "page", "container"])}">' if wrapped else "")
     for kind in r.choices(["ad", "side", "social", "form"], [4, 1, 1, 1], k=r.choice([0, 1, 1, 2])):
         _beside(p, kind)
-    _article(p)
+    _article(p, bare=layout < 0.14)
     for kind in r.choices(["ad", "side", "social", "form", "comments", "notice"], [2, 2, 1, 1, 3, 1], k=r.choice([0, 0, 1, 2])):
         _beside(p, kind)
     p.html.append("</div>" if wrapped else "")
