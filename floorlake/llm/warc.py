@@ -19,14 +19,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorlake.llm.common import broadcast_if_small, shared_dir, staged
+from floorlake.staging import broadcast_if_small, new_folder, small_batches, staged
+
 
 # Fixed values of the Zstandard and WARC formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A dictionary is built from the first records of its archive, up to so many bytes.
+#: A dictionary is built from the first records of its archive: so many bytes and records at least, but not more than MOST_BYTES and a record.
 DICTIONARY_SAMPLE_BYTES = 1 << 20
+DICTIONARY_SAMPLE_RECORDS = 64
+MOST_BYTES = 8 << 20
+#: Of a long record, so much helps to build it.
+DICTIONARY_PIECE = 32 << 10
 DICTIONARY_BYTES = 16 << 10
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -59,31 +64,32 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, n_
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def dictionary(sample: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """None where the records are too few or too alike for one."""
-    if len(sample) < 8:
-        return None
+def dictionary(sample: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A trained dictionary, or one of the records' own bytes where they are too few or too alike to train one."""
+    pieces = [r[:DICTIONARY_PIECE] for r in sample]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sample)
-    except zstandard.ZstdError:
-        return None
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces)
+    except (zstandard.ZstdError, ValueError):
+        return zstandard.ZstdCompressionDict(b"".join(pieces)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The frames of one archive. Holds DICTIONARY_SAMPLE_BYTES and one record at most."""
+    """The frames of one archive, the dictionary's first; none without records. Holds MOST_BYTES and one record at most."""
     sample, held = [], 0
     for r in records:
         sample.append(r)
         held += len(r)
-        if held >= DICTIONARY_SAMPLE_BYTES:
+        if held >= MOST_BYTES or held >= DICTIONARY_SAMPLE_BYTES and len(sample) >= DICTIONARY_SAMPLE_RECORDS:
             break
-    trained = dictionary(sample)
-    if trained:
-        data = trained.as_bytes()
-        yield struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
+    if not sample:
+        return
+    built = dictionary(sample)
+    data = built.as_bytes()
+    yield struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=built)
     for r in sample:
         yield packer.compress(r)
+    sample.clear()
     for r in records:
         yield packer.compress(r)
 
@@ -116,6 +122,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     without any page_id all are responses; rows that repeat the smallest page_id are responses,
     each. Only page_id, url and html are read.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
     shared = rows.filter(F.col("n") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"))
@@ -178,8 +185,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back; see :func:`write_archives`. An empty table gives no rows."""
+    """Writes ``pages`` to archives in the shared folder, now, and reads them back when the result is read; see :func:`write_archives`.
+
+    An empty table gives no rows.
+    """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/floorlake-warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write_archives(pages, path)
     return read_archives(spark, path)
