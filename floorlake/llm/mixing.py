@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from floorlake.llm.common import staged
+from floorlake.llm.common import set_aside
+from floorlake.staging import staged
 
 BLOCK_ROWS = 64
 #: Default weights: rows of a source to this power, but no source is gone through more often than MAX_EPOCHS.
@@ -20,6 +21,8 @@ MAX_EPOCHS = 4.0
 SEED = 17
 #: Rows of a source are numbered in buckets of about this size.
 BUCKET_ROWS = 4096
+#: Epochs of a bucket that meet its rows at a time.
+EPOCHS_AT_ONCE = 64
 #: Slots that one task schedules.
 FRAME_SLOTS = 4096
 #: The list of sources is a setting, not data; a longer one is an error.
@@ -113,11 +116,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     the place in the block; a bucket's last block may be short. Weights default to
     :func:`default_weights`; given ones must name every source and be positive. A null source is
     a source of its own; null ids and texts and repeated rows are rows like others; an empty table gives an empty
-    result. Columns named mix_* are replaced.
+    result. Columns of the six names are replaced, all others stay as they are.
     """
     spark = docs.sparkSession
     added = ["mix_slot", "mix_block", "mix_epoch", "mix_release", "mix_deadline", "mix_position"]
-    docs = docs.drop(*added)
+    docs, named_back = set_aside(docs.drop(*added))
     # a null source gets a name that starts with a control character of its own
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     order = F.xxhash64(F.lit(seed), *order_columns)
@@ -154,20 +157,27 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
                 yield pd.DataFrame(schedule_frame(sent.value, n_slots, int(frame)), columns=["slot", "source", "k", "release", "deadline"])
 
     slots = spark.range(0, n_frames, 1, max(1, min(n_frames, 2000))).mapInPandas(schedule, "slot long, source int, k long, release long, deadline long")
-    rounds = spark.createDataFrame(sorted(blocks.items()), "source int, in_round long")
-    turns = slots.join(F.broadcast(rounds), "source").select(
-        F.col("source").alias("__source"), (F.col("k") % F.col("in_round")).alias("__k"), F.floor(F.col("k") / F.col("in_round")).alias("epoch"), "slot", "release", "deadline"
+    # how often each source is gone through, in parts of EPOCHS_AT_ONCE: more than one part only where weights are far from the rows' shares
+    parts = {i: -(-(-(-shares[i] * n_slots // SCALE)) // (n * EPOCHS_AT_ONCE)) for i, n in blocks.items()}
+    rounds = spark.createDataFrame([(i, n, parts[i]) for i, n in sorted(blocks.items())], "__source int, in_round long, __parts long")
+    turns = slots.withColumnRenamed("source", "__source").join(F.broadcast(rounds), "__source").select(
+        "__source", (F.col("k") % F.col("in_round")).alias("__k"), F.floor(F.col("k") / F.col("in_round")).alias("epoch"), "slot", "release", "deadline"
     )
-    # a bucket's turns meet in one row: (BUCKET_ROWS / block_rows) x epochs of them, so bounded
+    # a bucket's turns of a part meet in one row: (BUCKET_ROWS / block_rows) x EPOCHS_AT_ONCE of them at most
     firsts = buckets.select("__source", "__bucket", F.posexplode(F.sequence(F.col("__first"), F.col("__first") + F.col("__blocks") - 1)).alias("__i", "__k"))
-    by_bucket = turns.join(firsts, ["__source", "__k"]).groupBy("__source", "__bucket", "__i").agg(F.collect_list(F.struct("slot", "epoch", "__k", "release", "deadline")).alias("turns"))
-    by_bucket = by_bucket.groupBy("__source", "__bucket").agg(F.map_from_entries(F.collect_list(F.struct("__i", "turns"))).alias("__turns"))
+    dealt = turns.join(firsts, ["__source", "__k"]).withColumn("__part", F.floor(F.col("epoch") / EPOCHS_AT_ONCE))
+    by_block = dealt.groupBy("__source", "__bucket", "__part", "__i").agg(F.collect_list(F.struct("slot", "epoch", "__k", "release", "deadline")).alias("turns"))
+    by_bucket = by_block.groupBy("__source", "__bucket", "__part").agg(F.map_from_entries(F.collect_list(F.struct("__i", "turns"))).alias("__turns"))
     inside = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__order")) - 1
-    numbered = placed.withColumn("__inside", inside).join(by_bucket, ["__source", "__bucket"])
+    numbered = placed.withColumn("__inside", inside)
+    if max(parts.values(), default=1) > 1:
+        numbered = numbered.join(F.broadcast(rounds.select("__source", "__parts")), "__source").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+        numbered = numbered.join(by_bucket, ["__source", "__bucket", "__part"])
+    else:  # rows stay where their numbers were given
+        numbered = numbered.join(by_bucket.drop("__part"), ["__source", "__bucket"])
     turn = F.explode(F.element_at("__turns", F.floor(F.col("__inside") / block_rows).cast("int")))
-    return (
-        numbered.select(*docs.columns, "__inside", turn.alias("__turn"))
-        .select(
+    return named_back(
+        numbered.select(*docs.columns, "__inside", turn.alias("__turn")).select(
             *docs.columns,
             F.col("__turn.slot").alias("mix_slot"),
             F.col("__turn.__k").alias("mix_block"),
