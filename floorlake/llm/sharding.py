@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from floorlake.llm.common import set_aside
+
 SEED = "floorlake-1"
 ROUNDS = 6
 #: Row-number buckets: an even split of the key space, so that each is sorted in one task.
@@ -30,14 +32,15 @@ def number_rows(df: DataFrame, key: str, n_rows: int, out: str) -> DataFrame:
 
     The key space is cut into equal buckets; each bucket is numbered on its own and shifted by
     the rows of the buckets before it, so no task sees more than a bucket. Rows with equal keys
-    take neighbouring numbers in any order.
+    take neighbouring numbers, in the order of a hash of their columns (maps left out).
     """
+    columns = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n_rows / ROWS_PER_BUCKET)))
     df = df.withColumn("__bucket", F.shiftright(hex32(F.col(key)) * F.lit(n_buckets), 32))
     sizes = df.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key, F.xxhash64(*columns))) - 1
     # at most MAX_BUCKETS rows of two longs: the broadcast is bounded
     return (
         df.withColumn("__inside", inside)
@@ -94,9 +97,10 @@ def feistel_shards(df: DataFrame, key: str, n_shards: int = 16, seed: str = SEED
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, seed: str = SEED) -> DataFrame:
-    """Whole documents with ``shard`` and ``slot``."""
+    """Whole documents with ``shard`` and ``slot``; see :func:`feistel_shards`."""
+    docs, named_back = set_aside(docs)
     keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    return feistel_shards(keyed, "__key", n_shards, seed).drop("__key")
+    return named_back(feistel_shards(keyed, "__key", n_shards, seed).drop("__key"))
 
 
 def place_of(doc_index: int, n: int, n_shards: int = 16, seed: str = SEED) -> tuple[int, int]:
