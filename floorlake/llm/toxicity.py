@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from floorlake.llm.shingles import mixed
+from floorlake.staging import scratch, small_batches, staged
 
 U = np.uint64
 SIZES = (3, 4, 5)
@@ -30,6 +32,8 @@ RATE = 0.05
 SEED = 11
 #: The model is fit on so many labelled rows of class 0 and 1 at most, those with the smallest hash of doc_id.
 FIT_ROWS = (3000, 1500)
+#: ... and of those only as many, in that order, as have so many bytes of bags in all: what the driver holds.
+FIT_BYTES = 128 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
@@ -66,12 +70,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(value of each bucket, offset): with two classes, a text's log odds are the offset plus the mean of its buckets' values.
+def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings of the buckets, weights and bias of the softmax over a text's mean embedding.
 
-    Embeddings and softmax are trained together by Adagrad on cross entropy, its classes weighted by the root of their rarity; the
-    mean and the last layer are both linear, so they fold into one value a bucket afterwards.
-    Buckets of fewer than LEAST_ROWS rows keep a zero embedding.
+    They are trained together by Adagrad on cross entropy, its classes weighted by the root of
+    their rarity. Buckets of fewer than LEAST_ROWS rows keep a zero embedding.
     """
     seen = np.zeros(BUCKETS, int)
     for ids in bags:
@@ -109,6 +112,15 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, s
             g_bias += grad_b**2
             weights -= RATE * grad_w / np.sqrt(g_weights)
             bias -= RATE * grad_b / np.sqrt(g_bias)
+    return table, weights, bias
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """(value of each bucket, offset): a text's log odds are the offset plus the mean of its buckets' values.
+
+    With two classes the mean and the last layer of the trained model are both linear, so they fold into that.
+    """
+    table, weights, bias = train(bags, labels, epochs, seed)
     return table @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0])
 
 
@@ -130,23 +142,30 @@ def held_out(doc_id) -> object:  # noqa: ANN001
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Fits on the labelled rows that aren't held out, at most ``fit_rows`` of each class.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, float]:
+    """Fits on the labelled rows that aren't held out, at most ``fit_rows`` of each class and ``fit_bytes`` of bags.
 
     The driver receives those rows' bags. Rows with a null text or label teach nothing. A class
     without rows leaves all scores at what the other one's share says.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(fit_rows[c]) for c in (0, 1)]
     picked = chosen[0].union(chosen[1])
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [bag(t.encode()).tobytes() for t in b["text"]]})
+            made = [bag(t.encode()).tobytes() for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "n": [len(x) for x in made], "ids": made})
 
-    # at most sum(fit_rows) rows: the broadcast is bounded
+    # at most sum(fit_rows) rows: the broadcast is bounded, and so is the running sum, but for rows that repeat an id
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
-    rows = texts.mapInPandas(bags, "doc_id long, toxic int, ids binary").collect()
+    with scratch(docs.sparkSession):
+        made = staged(texts.mapInPandas(bags, "doc_id long, toxic int, n long, ids binary"), "bags")
+        sizes = made.groupBy("doc_id").agg(F.sum("n").alias("n"))
+        running = F.sum("n").over(Window.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        taken = sizes.withColumn("upto", running).filter(F.col("upto") <= fit_bytes).select("doc_id")
+        rows = made.join(F.broadcast(taken), "doc_id").collect()
     rows = sorted((r for r in rows if r["ids"]), key=lambda r: (r["doc_id"], bytes(r["ids"])))
     if not rows:
         return np.zeros(BUCKETS), 0.0
@@ -159,6 +178,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFram
     Null and empty texts get the score of the model's offset; repeated rows score alike; a null
     doc_id counts as held out; an empty table gives no rows; extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
