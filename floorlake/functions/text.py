@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 HANGUL = r"[\x{AC00}-\x{D7A3}\x{3130}-\x{318F}]"
 
-# Texts and patterns that decide whether a label names a room.
+# Fixed values, up to the patterns: texts that decide whether a label names a room.
 KNOWN_WORDS = ["formal", "living", "dining", "kitchen", "bedroom", "bathroom", "office", "room"]
 DESCRIPTORS = [
     "floor plan", "office plan", "building plan", "layout", "suite", "level", "floor", "wing", "zone", "area", "north", "south", "east", "west", "central",
@@ -42,8 +42,9 @@ DESCRIPTIVE_PATTERNS = [
     r"(suite\s*\d+|unit\s*\d+|floor\s*\d+)",
     r"(north|south|east|west|wing)",
 ]
+#: Our own lists from here on, shorter than a full one; a list, or a table of terms, is a parameter of the rules.
 WATERMARKS = ["alamy", "shutterstock", "stock", "getty", "dreamstime", "depositphotos", "istock", "123rf", "watermark", "www.", ".com", "©"]
-#: Terms of the default vocabulary; another one is a parameter of the rules.
+#: Terms of the default vocabulary.
 VOCABULARY_EN = [
     "living room", "bedroom", "master bedroom", "kitchen", "bathroom", "bath", "dining room", "laundry", "closet", "garage", "hall", "foyer", "study", "den", "pantry",
     "office", "porch", "deck", "patio", "family room", "great room", "utility", "storage", "nursery", "library", "balcony", "terrace", "mudroom", "powder room", "conference room",

@@ -18,18 +18,33 @@ def or_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def overall(dets: DataFrame, images: DataFrame) -> DataFrame:
+def class_sums() -> dict[str, Column]:
+    """Aggregates, a struct for each class that :func:`class_summary` lists, under its name."""
+    area = g.area(g.box())
+
+    def of(k: int) -> Column:
+        own = lambda x: F.when(F.col("class_id") == k, x)
+        score = own(F.col("score"))
+        return F.struct(
+            F.count(score).alias("count"), or_zero(F.avg(score)).alias("avg_confidence"), or_zero(F.avg(own(area))).alias("avg_size"), F.min(score).alias("min_confidence"), F.max(score).alias("max_confidence")
+        )
+
+    return {name: of(k) for k, name in PLURALS.items()}
+
+
+def overall(dets: DataFrame, images: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
     """image_id, n, avg_confidence, high, medium, low, coverage_pct for each image, those without detections included.
 
-    Coverage sums up box areas, so it can exceed 100.
+    Coverage sums up box areas, so it can exceed 100. ``more`` are further aggregates of the same pass.
     """
+    more = more or {}
     band = c.confidence_band(F.col("score"))
     sums = dets.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg"), F.sum(g.area(g.box())).alias("area"), *[F.count_if(band == b).alias(b) for b in ("high", "medium", "low")]
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg"), F.sum(g.area(g.box())).alias("area"), *[F.count_if(band == b).alias(b) for b in ("high", "medium", "low")], *[v.alias(k) for k, v in more.items()]
     )
     zero = lambda x: F.coalesce(F.col(x), F.lit(0)).alias(x)
     share = F.try_divide(F.col("area"), F.col("width") * F.col("height")) * 100
-    return images.join(sums, "image_id", "left").select("image_id", zero("n"), or_zero(F.col("avg")).alias("avg_confidence"), zero("high"), zero("medium"), zero("low"), or_zero(share).alias("coverage_pct"))
+    return images.join(sums, "image_id", "left").select("image_id", zero("n"), or_zero(F.col("avg")).alias("avg_confidence"), zero("high"), zero("medium"), zero("low"), or_zero(share).alias("coverage_pct"), *more)
 
 
 def class_summary(dets: DataFrame, images: DataFrame) -> DataFrame:
@@ -76,10 +91,14 @@ def recommendations(n: Column, avg: Column, low: Column, overlaps: Column, anoma
     )
 
 
-def accuracy(dets: DataFrame, images: DataFrame) -> DataFrame:
-    """All figures of the accuracy report, a row an image, before they are nested."""
-    odd = size_anomalies(dets).groupBy("image_id").agg(F.count(F.lit(1)).alias("odd"))
-    joined = overall(dets, images).join(overlap_counts(dets), "image_id", "left").join(odd, "image_id", "left")
+def accuracy(dets: DataFrame, images: DataFrame, more: dict[str, Column] | None = None, anomalies: Column | None = None) -> DataFrame:
+    """All figures of the accuracy report, a row an image, before they are nested.
+
+    ``more`` are further aggregates over an image's detections, ``anomalies`` one over its size anomalies.
+    """
+    listed = [] if anomalies is None else [anomalies]
+    odd = size_anomalies(dets).groupBy("image_id").agg(F.count(F.lit(1)).alias("odd"), *listed)
+    joined = overall(dets, images, more).join(overlap_counts(dets), "image_id", "left").join(odd, "image_id", "left")
     filled = joined.withColumns({"overlaps": F.coalesce("overlaps", F.lit(0)), "anomalies": F.coalesce("odd", F.lit(0))}).drop("odd")
     scored = filled.withColumn("reliability_score", reliability(F.col("n"), F.col("avg_confidence"), F.col("high"), F.col("overlaps")))
     names = ("n", "avg_confidence", "low", "overlaps", "anomalies", "reliability_score")

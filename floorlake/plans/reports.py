@@ -14,11 +14,11 @@ from floorlake.operators import metrics, pairs, paths, raster
 
 def accuracy_report(dets: DataFrame, images: DataFrame) -> DataFrame:
     """image_id with overall, quality, objects, spatial, reliability_score and recommendations."""
-    objects = metrics.class_summary(dets, images).groupBy("image_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("object", F.struct("count", "avg_confidence", "avg_size", "min_confidence", "max_confidence"))))).alias("objects")
-    )
-    odd = metrics.size_anomalies(dets).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("detection_id", "area", "median_area", "reason"))).alias("size_anomalies"))
-    d = metrics.accuracy(dets, images).join(objects, "image_id").join(odd, "image_id", "left")
+    sums = metrics.class_sums()
+    none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("avg_confidence"), F.lit(0.0).alias("avg_size"), *[F.lit(None).cast("double").alias(f"{x}_confidence") for x in ("min", "max")])
+    odd = F.array_sort(F.collect_list(F.struct("detection_id", "area", "median_area", "reason"))).alias("size_anomalies")
+    d = metrics.accuracy(dets, images, sums, odd)
+    d = d.withColumn("objects", F.create_map(*[x for name in sorted(sums) for x in (F.lit(name), F.coalesce(name, none))]))
     return d.select(
         "image_id",
         F.struct(F.col("n").alias("total_detections"), F.col("coverage_pct").alias("image_coverage"), F.col("avg_confidence").alias("average_confidence")).alias("overall"),

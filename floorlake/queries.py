@@ -880,3 +880,36 @@ def nonzero_rows(v: Views) -> DataFrame:
 def wall_parameters(v: Views) -> DataFrame:
     d = reports.wall_parameters(crossing_bars(v), v.images, "R1_", cleaned=False)
     return rounded(d.select("image_id", "wall_id", "length", F.col("thickness.average").alias("thickness"), "orientation_degrees", "box.x1", "box.y2", "start_junction", "segment_area"), "length", "thickness", "orientation_degrees")
+
+
+@query(f"""SELECT r.det_id, row_number() OVER (PARTITION BY image_id ORDER BY r.det_id)::BIGINT AS door_id, round((x1 + x2) / 2 * mm_per_px, 6) AS center_x_mm, round((y1 + y2) / 2 * mm_per_px, 6) AS center_y_mm,
+  round(CASE WHEN h > w THEN w ELSE h END * mm_per_px, 6) AS width_mm, round(CASE WHEN h > w THEN h ELSE w END * mm_per_px, 6) AS height_mm, round(w / h, 6) AS aspect_ratio, CASE WHEN w < h THEN 'interior' ELSE 'entrance' END AS door_use,
+  door_type, swing AS estimated_swing, CASE swing WHEN 'opens_leftward' THEN 'left_edge' WHEN 'opens_rightward' THEN 'right_edge' WHEN 'opens_upward' THEN 'bottom_edge' ELSE 'top_edge' END AS hinge_side,
+  CASE WHEN w * h < 2000 THEN 'small' WHEN w * h < 6000 THEN 'standard' WHEN w * h < 10000 THEN 'large' ELSE 'oversized' END AS size_category, CASE WHEN w > 80 THEN 'ADA_compliant_likely' WHEN w > 60 THEN 'standard_width' ELSE 'narrow_door' END AS accessibility
+FROM {SWING} r JOIN detections d USING (det_id) JOIN images USING (image_id)""")
+def door_records(v: Views) -> DataFrame:
+    d = reports.door_records(v.detections, v.images).drop("image_id", "from_left", "from_top", "notes")
+    return rounded(d, "center_x_mm", "center_y_mm", "width_mm", "height_mm", "aspect_ratio")
+
+
+@query(f"""SELECT det_id, row_number() OVER (PARTITION BY image_id ORDER BY det_id)::BIGINT AS window_id, round((x1 + x2) / 2 * mm_per_px, 6) AS center_x_mm, round((y1 + y2) / 2 * mm_per_px, 6) AS center_y_mm,
+  round(greatest(w, h) * mm_per_px, 6) AS width_mm, CASE WHEN w > h THEN 'horizontal' ELSE 'vertical' END AS window_type, CASE WHEN w * h < 1000 THEN 'small' WHEN w * h < 4000 THEN 'standard' WHEN w * h < 8000 THEN 'large' ELSE 'oversized' END AS size_category,
+  CASE WHEN w * h < 2000 THEN 'single_glazing_likely' WHEN w * h < 6000 THEN 'double_glazing_likely' ELSE 'triple_glazing_likely' END AS glazing_type FROM (SELECT *, x2 - x1 AS w, y2 - y1 AS h {WINDOWS}) JOIN images USING (image_id)""")
+def window_records(v: Views) -> DataFrame:
+    d = reports.window_records(v.detections, v.images).drop("image_id", "from_left", "from_top", "notes")
+    return rounded(d, "center_x_mm", "center_y_mm", "width_mm")
+
+
+@query(f"""SELECT a.region_id AS a_id, b.region_id AS b_id, round(len(list_filter(range(1, least(length(a.text), length(b.text)) + 1), lambda i: substr(a.text, i, 1) = substr(b.text, i, 1))) / greatest(length(a.text), length(b.text)), 9) AS similarity
+FROM text_regions a JOIN text_regions b ON a.image_id = b.image_id AND a.region_id < b.region_id WHERE abs(a.x1 - b.x1) < 50 AND abs(a.y1 - b.y1) < 50""")
+def similarity_nearby(v: Views) -> DataFrame:
+    a, b = v.text_regions.alias("a"), v.text_regions.alias("b")
+    near = (F.abs(F.col("a.x1") - F.col("b.x1")) < 50) & (F.abs(F.col("a.y1") - F.col("b.y1")) < 50)
+    both = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.region_id") < F.col("b.region_id")) & near)
+    return both.select(F.col("a.region_id").alias("a_id"), F.col("b.region_id").alias("b_id"), F.round(t.similarity(F.col("a.text"), F.col("b.text")), 9).alias("similarity"))
+
+
+@query("+ o AS (SELECT unnest(['walls', 'windows', 'doors']) AS object, unnest([1, 2, 3]) AS class_id)\nSELECT image_id, object, count(d.det_id)::BIGINT AS count, round(coalesce(avg(score), 0), 9) AS avg_confidence, round(coalesce(avg((y2 - y1) * (x2 - x1)), 0), 9) AS avg_size, min(score) AS min_confidence, max(score) AS max_confidence FROM images CROSS JOIN o LEFT JOIN detections d USING (image_id, class_id) GROUP BY 1, 2")
+def report_objects(v: Views) -> DataFrame:
+    d = reports.accuracy_report(v.detections, v.images).select("image_id", F.explode("objects").alias("object", "s")).select("image_id", "object", "s.*")
+    return rounded(d, "avg_confidence", "avg_size", digits=9)
