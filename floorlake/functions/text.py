@@ -99,16 +99,17 @@ def in_vocabulary(text: Column, terms: Column, least: int) -> Column:
     return F.exists(terms, lambda t: (t == text) | part(t))
 
 
-def reject_reason(text: Column, confidence: Column, box: dict[str, Column], width: Column, height: Column, english: list[str] | None = None, korean: list[str] | None = None) -> Column:
+def reject_reason(text: Column, confidence: Column, box: dict[str, Column], width: Column, height: Column, english: list[str] | None = None, korean: list[str] | None = None, watermarks: list[str] | None = None) -> Column:
     """The first rule that rejects a label as a room's name, null if none does. ``box`` has x1, y1, x2, y2.
 
-    A null text counts as an empty one, a null confidence as 0.
+    A null text counts as an empty one, a null confidence as 0. The lists are the defaults above where
+    not given; see :mod:`floorlake.sources.vocabulary` for lists from tables.
     """
     t = F.trim(F.coalesce(text, F.lit("")))
     low = F.lower(t)
     n = F.length(t)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    listed = lambda terms: F.array(*map(F.lit, terms))
+    listed = lambda terms: F.split(F.lit("\n".join(terms)), "\n")  # noqa: E731  one constant, however long
     room = (
         low.rlike("|".join(ROOM_PATTERNS))
         | low.rlike(alternation(ROOM_WORDS_KO))
@@ -124,7 +125,7 @@ def reject_reason(text: Column, confidence: Column, box: dict[str, Column], widt
         (n <= 1, "single_character"),
         ((F.coalesce(confidence, F.lit(0.0)) < 0.3) & ~low.rlike(alternation(KNOWN_WORDS)), "low_confidence"),
         (letters * 2 < n, "not_alphanumeric"),
-        (low.rlike(alternation(WATERMARKS)), "watermark"),
+        (low.rlike(alternation(watermarks or WATERMARKS)), "watermark"),
         (t.rlike(r"^\p{Nd}{1,2}$"), "number"),
         (~room & low.rlike("|".join(DESCRIPTIVE_PATTERNS)), "descriptive"),
         (~room & t.rlike(r"\d+.*\d+") & low.rlike(alternation(PLURAL_ROOMS)), "room_count"),
