@@ -60,21 +60,28 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A path for a table in the shared folder. One that no :func:`scratch` removes goes when the driver ends."""
+    """A path for a table in the shared folder, or in that of the :func:`scratch` around."""
     run = None if keep else _RUN.get()
-    path = f"{run or shared_dir(spark)}/floorlake-{name}-{uuid.uuid4().hex}"
-    if not run:
-        fs, where = _folder(spark, path)
-        fs.deleteOnExit(where)
-    return path
+    return f"{run or shared_dir(spark)}/floorlake-{name}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a written table removed when the driver ends."""
+    fs, where = _folder(spark, path)
+    fs.deleteOnExit(where)
 
 
 def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` written as a table in the shared folder, now, and read back, which cuts its lineage."""
+    """``df`` written as a table in the shared folder, now, and read back, which cuts its lineage.
+
+    A :func:`scratch` around removes it at its end, unless ``keep``; otherwise it goes when the driver ends.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = new_folder(spark, name, keep)
     df.write.parquet(path)
+    if keep or not _RUN.get():
+        until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
