@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorlake.staging import broadcast_if_small, new_folder, small_batches, staged
+from floorlake.staging import broadcast_if_small, new_folder, small_batches, staged, until_exit
 
 
 # Fixed values of the Zstandard and WARC formats.
@@ -192,4 +192,5 @@ def archived(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     write_archives(pages, path)
+    until_exit(spark, path)
     return read_archives(spark, path)
