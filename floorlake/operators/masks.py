@@ -99,3 +99,16 @@ def clean_walls(runs: DataFrame, dets: DataFrame, images: DataFrame) -> DataFram
         parts.append(box_runs(dets.filter(F.col("class_id") == class_id), images, margin))
     holes = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return except_runs(runs.filter("class_id = 1"), holes)
+
+
+def flipped_runs(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """Masks mirrored from left to right inside their image."""
+    d = runs.join(images.select("image_id", F.col("width").cast("long").alias("w")), "image_id")
+    return d.withColumns({"x_start": F.col("w") - F.col("x_end"), "x_end": F.col("w") - F.col("x_start")}).select(*runs.columns)
+
+
+def ground_truth(runs: DataFrame, active: list[int] | None = None) -> DataFrame:
+    """image_id, gt_id, class_id, y1, x1, y2, x2 of masks with a pixel or more, of the ``active`` classes where some are named."""
+    own = runs if active is None else runs.filter(F.col("class_id").isin(active))
+    kinds = own.filter("x_end > x_start").select("image_id", "det_id", "class_id").distinct()
+    return mask_boxes(own).join(kinds, ["image_id", "det_id"]).select("image_id", F.col("det_id").alias("gt_id"), "class_id", "y1", "x1", "y2", "x2")

@@ -913,3 +913,10 @@ def similarity_nearby(v: Views) -> DataFrame:
 def report_objects(v: Views) -> DataFrame:
     d = reports.accuracy_report(v.detections, v.images).select("image_id", F.explode("objects").alias("object", "s")).select("image_id", "object", "s.*")
     return rounded(d, "avg_confidence", "avg_size", digits=9)
+
+
+@query("""+ f AS (SELECT image_id, det_id, class_id, y, 1120 - x_end AS a, 1120 - x_start AS b FROM mask_runs WHERE class_id IN (1, 3) AND NOT (det_id % 4 = 0))
+SELECT image_id, det_id AS gt_id, class_id, min(y) AS y1, min(a) AS x1, max(y) + 1 AS y2, max(b) AS x2 FROM f GROUP BY 1, 2, 3""")
+def flipped_ground_truth(v: Views) -> DataFrame:
+    runs = v.mask_runs.withColumn("x_end", F.expr("if(det_id % 4 = 0, x_start, x_end)"))  # every fourth mask is empty
+    return masks.ground_truth(masks.flipped_runs(runs, v.images), [1, 3])

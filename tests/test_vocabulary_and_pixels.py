@@ -1,10 +1,10 @@
-"""Vocabularies from tables, and pixel arrays."""
+"""Vocabularies from tables, pixel arrays, settings and ground truth from masks."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from floorlake import schemas
-from floorlake.operators import pixels, texts
+from floorlake import schemas, settings
+from floorlake.operators import masks, pixels, texts
 from floorlake.sources import vocabulary
 
 
@@ -33,3 +33,17 @@ def test_pixels(spark):
     assert one(pixels.to_rgb(whole(1, 2, 3), F.lit(3))) == [1, 2, 3] and one(pixels.to_rgb(whole(1, 2), F.lit(2))) is None
     assert one(pixels.molded(whole(124, 117, 104, 0, 0, 0))) == pytest.approx([0.3, 0.2, 0.1, -123.7, -116.8, -103.9])
     assert one(pixels.unmolded(pixels.molded(whole(5, 6, 7, 250, 0, 1)))) == [5, 6, 7, 250, 0, 1]
+
+
+def test_settings(spark):
+    assert settings.settings(spark).log_level == "DEBUG" and settings.settings(spark, "nowhere") == settings.DEVELOPMENT
+    spark.conf.set(settings.ENVIRONMENT, "production")
+    assert settings.settings(spark).cache_timeout == 600 and settings.settings(spark, "testing").enable_caching is False
+    spark.conf.unset(settings.ENVIRONMENT)
+
+
+def test_ground_truth_from_masks(spark):
+    runs = spark.createDataFrame([(1, 1, 2, 5, 10, 20), (1, 1, 2, 6, 12, 25), (1, 2, 1, 0, 4, 4), (1, 3, 3, 0, 0, 1)], schemas.MASK_RUNS)
+    images = spark.createDataFrame([(1, 100.0, 50.0, 1.0)], schemas.IMAGES)
+    assert {tuple(r) for r in masks.ground_truth(runs).collect()} == {(1, 1, 2, 5, 10, 7, 25), (1, 3, 3, 0, 0, 1, 1)}
+    assert [tuple(r) for r in masks.ground_truth(masks.flipped_runs(runs, images), [2]).collect()] == [(1, 1, 2, 5, 75, 7, 90)]
