@@ -5,6 +5,10 @@ strings inside it; equal strings have their anchors at the same place. A run of
 strings with one anchor is a context. Contexts whose anchors' GRAM bytes occur once in the corpus
 match nothing; equal contexts match as wholes; the rest, contexts of one anchor that differ
 somewhere, have their strings sorted by :mod:`deepshallow`, equal ones ending up side by side.
+Contexts of a common anchor are narrowed down first: cut into pieces of BLOCK strings, which can
+only have strings in common where they agree in all bytes that each of BLOCK such strings has. What is still
+too many for one task is sorted in runs, in as many tasks, and the runs' distinct strings are then
+merged by their places in the anchor's strings and 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from floorlake.llm.common import broadcast_if_small, staged
 from floorlake.llm.deepshallow import sort_substrings
 from floorlake.llm.shingles import BASE, INVERSE, U, _powers, mixed
+from floorlake.staging import broadcast_if_small, scratch, small_batches, staged
 
 LENGTH = 200
 GRAM = 24
@@ -28,10 +32,10 @@ GRAM = 24
 PIECE = 1 << 20
 #: Bytes of contexts that are sorted at a time, whole buckets of one anchor.
 SLAB_BYTES = 1 << 20
-#: Buckets with more contexts are resolved by counting hashes of their strings, which spreads them over tasks.
-MAX_CONTEXTS = 2000
-#: Texts that a Python worker holds at a time.
-TEXT_ROWS = 1000
+#: Contexts, or pieces of contexts, that make a run. An anchor with more contexts is narrowed down.
+RUN_CONTEXTS = 2000
+#: Strings of a piece.
+BLOCK = 16
 ROW_SCHEMA = "doc_id long, node long, n_bytes long, gram array<long>, context array<long>, first array<long>, strings array<int>, offset array<int>"
 _CACHE: dict[int, np.ndarray] = {}
 
@@ -90,47 +94,115 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").mapInPandas(find, ROW_SCHEMA)
 
 
-def repeated_strings(slab: pd.DataFrame, length: int) -> list[tuple[int, np.ndarray]]:
-    """For contexts that occur once: (row, which of its strings equal one of another context of the slab)."""
-    texts = list(slab["bytes"])
+def _string_hashes(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    raw = np.frombuffer(text, np.uint8)
+    prefix = np.concatenate((np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * _power_table(BASE, len(raw)))))
+    return mixed((prefix[at + length] - prefix[at]) * _power_table(INVERSE, len(raw))[at]).view(np.int64)
+
+
+def _pieces(length: int):  # noqa: ANN202
+    """Contexts cut into pieces of strings whose places in the anchor's strings share a block; ``gram`` becomes a hash of gram, block and the bytes that all of a block's strings have."""
+
+    def cut(b: pd.DataFrame) -> pd.DataFrame:
+        text = b"".join(b["bytes"])
+        raw = np.frombuffer(text, np.uint8)
+        prefix = np.concatenate((np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * _power_table(BASE, len(raw)))))
+        back = _power_table(INVERSE, len(raw) + 1)
+        hashed = lambda x, y: mixed((prefix[y] - prefix[x]) * back[x])
+        begin = np.concatenate(([0], np.cumsum(b["bytes"].str.len())))[:-1]
+        most = b["offset"].to_numpy().astype(np.int64)  # place of the first string; places fall by one a string
+        least = most - b["strings"].to_numpy() + 1
+        n = most // BLOCK - least // BLOCK + 1
+        row = np.repeat(np.arange(len(b)), n)
+        block = (least // BLOCK)[row] + np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(n)))[:-1], n)
+        high, low = np.minimum(most[row], block * BLOCK + BLOCK - 1), np.maximum(least[row], block * BLOCK)
+        anchor = (begin + most)[row]
+        start, end = anchor - high, anchor - low + length
+        core = hashed(anchor - block * BLOCK, anchor - (block * BLOCK + BLOCK - 1) + length)
+        gram = mixed(core ^ mixed(b["gram"].to_numpy().view(U)[row] + block.astype(U)))
+        piece = mixed(hashed(start, end) + (high << 16 | low).astype(U))
+        return pd.DataFrame(
+            {
+                "gram": gram.view(np.int64),
+                "context": piece.view(np.int64),
+                "first": b["first"].to_numpy()[row] + most[row] - high,
+                "strings": high - low + 1,
+                "offset": high,
+                "rows": b["rows"].to_numpy()[row],
+                "node": b["node"].to_numpy()[row],
+                "bytes": [text[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)],
+            }
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                yield cut(b.iloc[at : at + 500])
+
+    return run
+
+
+def sorted_strings(slab: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Sorts all strings of a slab's contexts. node, start, end of those that another context of the same run has too,
+    and for buckets of several runs each distinct string with its gram, place and hash; ``lone`` if only one context of this run has it and only one row that.
+    """
+    if not len(slab):
+        return pd.DataFrame(columns=["node", "start", "end", "gram", "place", "hash", "lone"])
     counts = slab["strings"].to_numpy()
-    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
+    text = b"".join(slab["bytes"])
+    begins = np.concatenate(([0], np.cumsum(slab["bytes"].str.len())))[:-1]
     row = np.repeat(np.arange(len(slab)), counts)
     inside = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(counts)))[:-1], counts)
-    order, group = sort_substrings(b"".join(texts), begins[row] + inside, length)
-    twin = np.zeros(len(row), bool)
-    equal = group[1:] == group[:-1]
-    twin[order[1:][equal]] = True
-    twin[order[:-1][equal]] = True
-    parts = np.split(twin, np.cumsum(counts)[:-1])
-    return [(i, parts[i]) for i in np.flatnonzero(slab["rows"].to_numpy() == 1)]
+    at = begins[row] + inside
+    order, group = sort_substrings(text, at, length)
+    head = np.ones(len(order), bool)
+    head[1:] = group[1:] != group[:-1]
+    first = np.flatnonzero(head)
+    alone = np.repeat(np.diff(np.append(first, len(order))) == 1, np.diff(np.append(first, len(order))))
+    once = slab["rows"].to_numpy() == 1
+    node, start = slab["node"].to_numpy(), slab["first"].to_numpy()
+
+    twin = np.zeros(len(row) + 1, bool)
+    twin[order[~alone]] = True
+    twin[:-1] &= once[row]
+    # runs of marked strings; a context's first string never continues the one before
+    opens = twin[:-1] & ~(np.concatenate(([False], twin[:-2])) & (inside > 0))
+    closes = twin[:-1] & ~(twin[1:] & np.append(inside[1:] > 0, False))
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    spans = pd.DataFrame({"node": node[row[a]], "start": start[row[a]] + inside[a], "end": start[row[b]] + inside[b] + length})
+
+    told = order[first]
+    told = told[slab["runs"].to_numpy()[row[told]] > 1]
+    is_alone = np.zeros(len(row), bool)
+    is_alone[order[alone]] = True
+    r = row[told]
+    heads = pd.DataFrame(
+        {"node": node[r], "start": start[r] + inside[told], "gram": slab["gram"].to_numpy()[r], "place": slab["offset"].to_numpy()[r] - inside[told], "hash": _string_hashes(text, at[told], length), "lone": is_alone[told] & once[r]}
+    )
+    return pd.concat([spans, heads]).astype({"end": "Int64", "gram": "Int64", "place": "Int64", "hash": "Int64", "lone": "boolean"})
 
 
-def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], marked.astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+SORTED = "node long, start long, end long, gram long, place long, hash long, lone boolean"
 
 
 def _sort_slabs(length: int):  # noqa: ANN202
     def solve(slab: pd.DataFrame) -> pd.DataFrame:
         slab = slab.drop_duplicates(["gram", "context"])
-        slab = slab[slab.groupby("gram")["context"].transform("size") > 1].reset_index(drop=True)
-        out: list[tuple] = []
-        for i, marked in repeated_strings(slab, length) if len(slab) else []:
-            a, b = _runs(marked)
-            node, first = slab["node"].iat[i], slab["first"].iat[i]
-            out += [(node, first + x, first + y - 1 + length) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(out, columns=["node", "start", "end"], dtype="int64")
+        alone = (slab.groupby(["gram", "run"])["context"].transform("size") == 1) & (slab["runs"] == 1)
+        return sorted_strings(slab[~alone].reset_index(drop=True), length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
+        last = None
         for b in batches:
-            grams = b["gram"].to_numpy()
+            if not len(b):
+                continue
+            grams, runs = b["gram"].to_numpy(), b["run"].to_numpy()
             lengths = b["bytes"].str.len().to_numpy()
             cut = 0
-            for at in np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(b) else []:
-                if at == 0 and held and held[-1]["gram"].iat[-1] == grams[0]:
+            for at in np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (runs[1:] != runs[:-1]))):
+                if at == 0 and last == (grams[0], runs[0]):
                     continue
                 size_here = size + int(lengths[cut:at].sum())
                 if size_here >= SLAB_BYTES:
@@ -138,37 +210,14 @@ def _sort_slabs(length: int):  # noqa: ANN202
                     held, size, cut = [], 0, at
             held.append(b.iloc[cut:])
             size += int(lengths[cut:].sum())
+            last = (grams[-1], runs[-1])
         if held:
             yield solve(pd.concat(held))
 
     return run
 
 
-def _string_hashes(length: int):  # noqa: ANN202
-    """All strings of a batch's contexts at once: the contexts stand end to end, and strings across a seam are left out."""
-
-    def hashed(b: pd.DataFrame) -> pd.DataFrame:
-        text = b"".join(b["bytes"])
-        raw = np.frombuffer(text, np.uint8)
-        prefix = np.concatenate((np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * _power_table(BASE, len(raw)))))
-        counts = b["strings"].to_numpy()
-        begin = np.concatenate(([0], np.cumsum(b["bytes"].str.len())))[:-1]
-        row = np.repeat(np.arange(len(b)), counts)
-        inside = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(counts)))[:-1], counts)
-        at = begin[row] + inside
-        h = mixed((prefix[at + length] - prefix[at]) * _power_table(INVERSE, len(raw))[at])
-        of = lambda c: b[c].to_numpy()[row]
-        return pd.DataFrame({"gram": of("gram"), "offset": of("offset") - inside, "hash": h.view(np.int64), "node": of("node"), "start": of("first") + inside, "rows": of("rows")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 2000):
-                yield hashed(b.iloc[at : at + 2000])
-
-    return run
-
-
-FIELDS = ("gram", "context", "first", "strings", "offset", "rows", "size")
+FIELDS = ("gram", "context", "first", "strings", "offset", "rows", "runs")
 
 
 def _context_bytes(length: int):  # noqa: ANN202
@@ -198,34 +247,59 @@ def _spans(intervals: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(rows, spans). rows: doc_id, node (64-bit hash of the text), n_bytes. spans: node and its repeated byte ranges, for texts that have some."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    rows = staged(anchored(docs, length), "anchored", TEXT_ROWS)
+    rows = staged(anchored(docs, length), "anchored", keep=True)
+    with scratch(docs.sparkSession):
+        spans = staged(_spans(_intervals(texts, rows, length)), "spans", keep=True)
+    return rows.select("doc_id", "node", "n_bytes"), spans
+
+
+def _intervals(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """node, start, end of repeated ranges. What a join meets by gram or context is staged first, so that Spark can split a hot one."""
     runs = rows.select("node", F.inline(F.arrays_zip("gram", "context", "first", "strings", "offset")))
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
-    shared = staged(runs.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("open")), "gram"), "shared")
-    counted = shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("rows"))
+    grams = staged(grams.select("gram", (F.col("lo") != F.col("hi")).alias("open")), "grams")
+    shared = staged(runs.join(grams, "gram"), "shared")
+    # of each context of an anchor, one row is looked at
+    counted = shared.groupBy("gram", "context", "open").agg(*[F.first(c).alias(c) for c in ("node", "first", "strings", "offset")], F.count(F.lit(1)).alias("rows"))
+    counted = staged(counted, "counted")
     # equal contexts match as wholes
-    whole = shared.join(counted.filter("rows > 1"), ["gram", "context"]).select("node", F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + length).alias("end"))
-    # of each differing context of an anchor, one row is looked at
-    shape = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("rows").alias("least")).filter("size > 1 and least = 1").drop("least")
-    one = shared.filter("open").groupBy("gram", "context").agg(*[F.first(c).alias(c) for c in ("node", "first", "strings", "offset")], F.count(F.lit(1)).alias("rows"))
-    wanted = one.join(shape, "gram").groupBy("node").agg(F.collect_list(F.struct(*FIELDS)).alias("wanted"))
+    equal = counted.filter("rows > 1").select("gram", "context")
+    whole = shared.join(equal, ["gram", "context"]).select("node", F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + length).alias("end"))
+    # anchors whose contexts all occur twice or more have nothing left to find
+    shape = counted.filter("open").groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("rows").alias("least")).filter("least = 1")
+    shape = staged(shape.select("gram", F.ceil(F.col("size") / RUN_CONTEXTS).alias("runs")), "shape")
+    wanted = counted.filter("open").join(shape, "gram").groupBy("node").agg(F.collect_list(F.struct(*FIELDS)).alias("wanted"))
     wanted = wanted.select("node", *[F.col(f"wanted.{c}").alias(c) for c in FIELDS])
     named = rows.groupBy("node").agg(F.min("doc_id").alias("rep"))
     wanted = staged(wanted.join(named, "node"), "wanted")
     # one row of each text, however many copies it has
     sources = texts.join(wanted.withColumnRenamed("node", "key"), (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     made = sources.select("text", "node", *FIELDS).mapInPandas(
-        _context_bytes(length), "gram long, context long, first long, strings int, offset int, rows long, size long, node long, bytes binary"
+        _context_bytes(length), "gram long, context long, first long, strings int, offset int, rows long, runs long, node long, bytes binary"
     )
-    made = staged(made, "contexts", TEXT_ROWS)
-    small = made.filter(F.col("size") <= MAX_CONTEXTS).repartition("gram").sortWithinPartitions("gram", "context")
-    sorted_out = small.mapInPandas(_sort_slabs(length), "node long, start long, end long")
-    large = made.filter(F.col("size") > MAX_CONTEXTS).dropDuplicates(["gram", "context"])
-    hashed = large.mapInPandas(_string_hashes(length), "gram long, offset long, hash long, node long, start long, rows long")
-    twins = hashed.groupBy("gram", "offset", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted_out = hashed.filter("rows = 1").join(twins, ["gram", "offset", "hash"], "left_semi").select("node", "start", (F.col("start") + length).alias("end"))
-    spans = staged(_spans(whole.union(sorted_out).union(counted_out)), "spans")
-    return rows.select("doc_id", "node", "n_bytes"), spans
+    cut = staged(made, "contexts")
+    narrowed, equal_pieces = _narrowed(cut.filter("runs > 1"), length)
+    dealt = cut.filter("runs = 1").unionByName(narrowed).withColumn("run", F.pmod(F.xxhash64(F.lit(9), "context"), "runs"))
+    found = staged(dealt.repartition("gram", "run").sortWithinPartitions("gram", "run", "context").mapInPandas(_sort_slabs(length), SORTED), "sorted")
+    heads = found.filter("end is null")
+    twins = staged(heads.groupBy("gram", "place", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "twins")
+    merged = heads.filter("lone").join(twins, ["gram", "place", "hash"], "left_semi").select("node", "start", (F.col("start") + length).alias("end"))
+    return whole.union(equal_pieces).union(found.filter("end is not null").select("node", "start", "end")).union(merged)
+
+
+def _narrowed(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(pieces, intervals): of each differing piece that agrees with another in its core, one row; and where pieces are equal as wholes."""
+    kind = "gram long, context long, first long, strings int, offset int, rows long, node long, bytes binary"
+    pieces = staged(contexts.mapInPandas(_pieces(length), kind), "pieces")
+    cores = staged(pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "cores")
+    alike = staged(pieces.join(broadcast_if_small(cores), "gram"), "alike")
+    counted = staged(alike.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    equal = broadcast_if_small(staged(counted.filter("n > 1"), "equal-pieces"))
+    intervals = alike.filter("rows = 1").join(equal, ["gram", "context"]).select("node", F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + length).alias("end"))
+    sizes = staged(counted.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("gram", F.ceil(F.col("size") / RUN_CONTEXTS).alias("runs")), "piece-groups")
+    open_ = alike.join(broadcast_if_small(sizes), "gram").dropDuplicates(["gram", "context"])
+    rest = open_.join(equal, ["gram", "context"], "left").withColumn("rows", F.greatest("rows", "n")).drop("n")
+    return rest, intervals
 
 
 def _cut(raw: bytes, spans: list) -> bytes:
@@ -245,6 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     no rows. Strings count as equal when two 64-bit hashes or the bytes themselves do.
     Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     _, spans = repeated_spans(docs, length)
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     joined = texts.join(broadcast_if_small(spans), "node", "left").select("doc_id", "text", "spans")
