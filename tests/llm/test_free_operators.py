@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import struct
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,6 +12,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from pages_by_hand import PAGES
+
 from floorlake.llm import components, deepshallow, html_blocks, html_labeller, html_pages, minhash, shingles, suffix, toxicity, warc
 
 DOCS = "doc_id long, text string, node string, kept string"
@@ -66,9 +71,37 @@ def test_shingle_sets(n):
             assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    r = random.Random(2)
+    texts = [(t or "").encode() for t in ODD] + [b"x" * 50, *[(" " * r.randint(0, 3)).join("".join(r.choices("abCd \n", k=r.randint(0, 9))) for _ in range(r.randint(0, 40))).encode() for _ in range(80)]]
+    whole = [shingles.shingle_sets([t], 4)[0] for t in texts]
+    monkeypatch.setattr(shingles, "FOLD", 5)
+    for size in (1, 3, 7, 16):
+        monkeypatch.setattr(shingles, "CHUNK_BYTES", size)
+        assert all(np.array_equal(a, shingles.long_set(t, 4)) for a, t in zip(whole, texts, strict=True) if len(t) < 1000)
+
+
+def test_a_long_set_takes_a_few_times_its_text():
+    text = " ".join(map(str, range(1_500_000))).encode()
+    tracemalloc.start()
+    assert len(shingles.long_set(text, 4)) == 1_500_000 - 3
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * len(text) + (64 << 20)
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Texts of 50 MB: one and its near copy, and a short one."""
+    numbers = "array_join(transform(sequence(1, {0}), x -> string(x)), ' ')"
+    d = spark.sql(f"SELECT 1L AS doc_id, {numbers.format(6_400_000)} AS text UNION ALL SELECT 2L, {numbers.format(6_300_000)} UNION ALL SELECT 3L, {numbers.format(60)}")
+    d.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/long")
+    got = minhash.near_duplicates(spark.read.parquet(path), 4).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == [(1, 6_399_997, 1, True), (2, 6_299_997, 1, False), (3, 57, 3, True)]
+
+
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 6)
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
     r = random.Random(7)
     texts = list(ODD)
     for _ in range(4):
@@ -146,10 +179,9 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_repeats_against_brute_force(spark, monkeypatch, large):
-    if large:
-        monkeypatch.setattr(suffix, "MAX_CONTEXTS", 1)
+@pytest.mark.parametrize("contexts", [2000, 7, 1])
+def test_repeats_against_brute_force(spark, monkeypatch, contexts):
+    monkeypatch.setattr(suffix, "RUN_CONTEXTS", contexts)
     monkeypatch.setattr(suffix, "SLAB_BYTES", 4000)
     r = random.Random(11)
     passage = sentence(r, 80)
@@ -219,19 +251,52 @@ def test_archive_is_plain_zstandard():
     assert [unpack.decompress(f) for f in frames[1:]] == records
 
 
+@pytest.mark.parametrize("records", [[b"one record"], [b"x" * 3_000_000], [b"same"] * 20, [b"short", b"y" * 2_000_000, *[f"record {i} text".encode() for i in range(300)]]])
+def test_every_archive_has_its_dictionary(records):
+    frames = list(warc.archive(iter(records)))
+    magic, size = struct.unpack_from("<II", frames[0])
+    assert magic == warc.DICTIONARY_MAGIC and size > 0 and len(frames) == len(records) + 1
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(frames[0][8:]))
+    assert [unpack.decompress(f) for f in frames[1:]] == records
+    assert list(warc.archive(iter([]))) == []
+
+
 # pages
 
 
 def test_blocks():
     page = "<p>a &amp; b<br>c</p><!-- x --><script>if (a<b) {}</script><div class='Big box'>one <b>two</b>\n three<ul><li>x<li>y &lt;</ul></div><p>open<p>next <a href='>'>link</a> &nbsp; end<"
     assert [x.text for x in html_blocks.leaves(page)] == ["a & b c", "one two three", "x", "y <", "open", "next link end<"]
-    assert html_blocks.leaves(page)[1].path == ("div", ".big", ".box")
+    names = ("div", ".big", ".box", "in:div", "in:.big", "in:.box")
+    assert html_blocks.leaves(page)[1].ids == tuple(sorted({zlib.crc32(x.encode()) % html_blocks.PATH_DIM for x in names}))
     assert [x.text for x in html_blocks.leaves("<p>a<!-- open <p>b")] == ["a"]
     assert html_blocks.leaves("") == [] == html_blocks.leaves("<style>p{}") == html_blocks.leaves("&nbsp; <p> </p>")
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     assert [x.text for x in html_blocks.leaves(deep)] == ["x"]
 
 
+def test_blocks_inside_blocks():
+    texts = lambda page: [x.text for x in html_blocks.leaves(page)]
+    assert texts("<p>Let <math><mi>x</mi></math> be <b>one</b>.</p>") == ["Let x be one."]
+    assert texts("<p>One <noscript>no script</noscript>two.</p><p>three") == ["no script", "One two.", "three"]
+    assert texts("<div>a<video>none<p>b</div>c<svg><text>d<p>e") == ["none", "b", "a", "d", "c", "e"]
+    assert texts("<select><option>x<option>y") == ["xy"]
+
+
+def test_deep_pages_in_linear_time():
+    began = time.process_time()
+    assert len(html_blocks.leaves("<div class='a b'>t" * 16_000)) == 16_000
+    assert len(html_blocks.leaves("<b>" * 20_000 + "<p>x</i>" * 20_000)) == 20_000
+    assert len({id(x.ids) for x in html_blocks.leaves("<div class='a b'>t" * 1000)}) < 10
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_by_hand(name):
+    page, article = PAGES[name]
+    assert html_labeller.main_texts(html_labeller.default_weights(), [page]) == [article]
+
+
 def test_labeller_on_held_out_pages():
     w = html_labeller.default_weights()
     made = [html_pages.labelled_page(i) for i in range(50_000, 50_150)]
@@ -270,6 +335,54 @@ def test_gradients():
 # toxicity
 
 
+def plain_bag(text):
+    """Buckets of the n-grams of a text, one by one."""
+    raw = bytes(32 if c in b"\t\n\v\f\r" else c for c in b" " + text.lower() + b" ")
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(raw) - n + 1):
+            gram = raw[i : i + n]
+            if 32 in gram[1:-1]:
+                continue
+            h = 0
+            for c in gram:
+                h = (h * 0x100000001B3 + c + 1) % 2**64
+            h = (h + (n << 56)) % 2**64
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> shift)) * factor % 2**64
+            out.add((h ^ (h >> 31)) % toxicity.BUCKETS)
+    return sorted(out)
+
+
+def test_scores_are_those_of_the_softmax_model():
+    r = random.Random(6)
+    texts = [sentence(r, r.randint(1, 30)) + (" nasty nasty word" if i % 3 == 0 else "") for i in range(90)]
+    bags = [toxicity.bag(t.encode()) for t in texts]
+    assert [b.tolist() for b in bags[:8]] == [plain_bag(t.encode()) for t in texts[:8]]
+    assert toxicity.bag("Ünder\tA b\n".encode()).tolist() == plain_bag("Ünder\tA b\n".encode())
+    labels = np.array([int(i % 3 == 0) for i in range(90)])
+    table, weights, bias = toxicity.train(bags, labels, epochs=3)
+    other = [*texts, "", "zzz qqq", "nasty " * 5]
+    want = []
+    for t in other:
+        mean = np.zeros(toxicity.DIM)
+        for k in (ids := plain_bag(t.encode())):
+            mean += table[k] / len(ids)
+        logits = [sum(mean[d] * weights[d, c] for d in range(toxicity.DIM)) + bias[c] for c in (0, 1)]
+        want.append(np.exp(logits[1]) / (np.exp(logits[0]) + np.exp(logits[1])))
+    assert np.allclose(toxicity.score([t.encode() for t in other], *toxicity.fit(bags, labels, epochs=3)), want)
+
+
+def test_fitting_rows_are_bounded_by_bytes(spark, monkeypatch):
+    d = docs_of(spark, [sentence(random.Random(i), 50) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, labels: seen.append(sum(x.nbytes for x in bags)) or (np.zeros(toxicity.BUCKETS), 0.0))
+    toxicity.fit_toxicity(d, labels)
+    toxicity.fit_toxicity(d, labels, fit_bytes=seen[0] // 3)
+    assert seen[0] // 6 < seen[1] <= seen[0] // 3
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     bad = ["idiot", "moron", "worthless"]

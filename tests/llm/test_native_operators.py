@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from floorlake.llm import chat, decontaminate, mixing, quality, sharding
+from floorlake.llm import chat, decontaminate, minhash, mixing, quality, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, mix_slot string, kept string"
 
@@ -237,3 +237,29 @@ def test_mix_defaults_and_errors(spark):
         mixing.mix_sources(d, {"s": 0.0, None: 1.0})
     most = mixing.default_weights({"a": 10**6, "b": 1})
     assert most["b"] == mixing.MAX_EPOCHS
+
+
+def test_a_small_source_with_a_large_weight(spark):
+    d = spark.createDataFrame([(i, f"t{i}", "a" if i == 0 else "b") for i in range(10_001)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(d, {"a": 1.0, "b": 1.0}, block_rows=1)
+    rows = out.filter("source = 'a'").orderBy("mix_epoch").collect()
+    assert abs(len(rows) - 10_000) <= 1 and [x["mix_epoch"] for x in rows] == list(range(len(rows)))
+    assert all(x["mix_release"] <= x["mix_slot"] < x["mix_deadline"] for x in rows)
+    assert out.filter("source = 'b' and mix_epoch = 0").select("doc_id").distinct().count() == 10_000
+
+
+def test_columns_named_like_the_operators_own(spark):
+    names = ["__source", "__bucket", "__w", "__lang", "__key", "__items", "__doc", "__node", "__n_words", "__part", "__turns", "kept"]
+    r = random.Random(8)
+    rows = [(i, sentence(r, 80), "en", f"s{i % 2}", *([str(i)] * len(names))) for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    items = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    for out in (quality.keep_good(d), decontaminate.drop_contaminated(d, items), minhash.drop_near_duplicates(d), mixing.mix_sources(d), sharding.shard_documents(d)):
+        assert out.columns[: len(d.columns)] == d.columns
+        assert all(x[c] == str(x["doc_id"]) for x in out.collect() for c in names)
+
+
+def test_shards_of_rows_that_share_id_and_text(spark):
+    d = spark.createDataFrame([(1, "same", str(i)) for i in range(40)], "doc_id long, text string, extra string")
+    one, two = ({(x["extra"], x["shard"], x["slot"]) for x in sharding.shard_documents(d.repartition(n)).collect()} for n in (1, 7))
+    assert one == two
