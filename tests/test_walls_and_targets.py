@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from floorlake import schemas
 from floorlake.functions import classify, units
-from floorlake.operators import evaluate, prepare, raster, selection
+from floorlake.operators import evaluate, prepare, raster, selection, texts
 from floorlake.plans import reports
 from test_text_and_raster import drawn, runs_of
 
@@ -124,6 +124,23 @@ def test_sampled_targets(spark):
     assert evaluate.detection_targets(rois.limit(0), gt).count() == 0
 
 
+def test_random_rois(spark):
+    gt = spark.createDataFrame([(1, i, 1, 40.0 * i, 50.0, 40.0 * i + 20, 80.0) for i in range(4)], "image_id long, gt_id long, class_id int, y1 double, x1 double, y2 double, x2 double")
+    images = spark.createDataFrame([(1, 300.0, 200.0, 1.0), (2, 100.0, 90.0, 1.0)], schemas.IMAGES)
+    rows = evaluate.random_rois(gt, images, 100).collect()
+    assert {tuple(r) for r in rows} == {tuple(r) for r in evaluate.random_rois(gt.repartition(3), images, 100).collect()}
+    by = {i: [r for r in rows if r["image_id"] == i] for i in (1, 2)}
+    assert all(90 <= len(v) <= 100 and sorted(r["roi_id"] for r in v) == list(range(1, len(v) + 1)) for v in by.values())
+    limits = {1: (200, 300), 2: (90, 100)}
+    assert all(0 <= r["y1"] <= r["y2"] - 1 and r["y2"] <= limits[r["image_id"]][0] and 0 <= r["x1"] <= r["x2"] - 1 and r["x2"] <= limits[r["image_id"]][1] for r in rows)
+    assert sum(20 <= r["x1"] and r["x2"] <= 110 for r in by[1]) >= 85 and len({(r["y1"], r["x1"]) for r in by[1]}) > 80
+
+
+def test_passes_of_recognition(spark):
+    one_ = spark.createDataFrame([(1, 1, "Bath", 0.0, 0.0, 1.0, 1.0, 0.9, None)], schemas.TEXT_REGIONS)
+    assert sorted(r["method"] for r in texts.recognised({"original": one_, "enhanced": one_.drop("method")}).collect()) == ["enhanced", "original"]
+
+
 def test_losses(spark):
     p = F.array(F.lit(0.2), F.lit(0.8))
     assert abs(one(spark, evaluate.sparse_cross_entropy(F.lit(1), p)) + math.log(0.8)) < 1e-12
