@@ -138,11 +138,15 @@ def exact_links(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, per
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
-    """One pair a node: with the centre of one of its buckets, the member that shares most buckets with others, so the text that a group of copies was made from."""
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    shared = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("shared"))
-    centres = members.join(shared, "node").groupBy("band").agg(F.max(F.struct("shared", "node")).alias("c")).select("band", F.col("c.node").alias("centre"))
-    one = members.join(centres, "band").filter("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
+    """One pair a node: with the centre of one of its buckets, the member that shares most buckets with others, so the text that a group of copies was made from.
+
+    What buckets are joined with is staged, here and below: a small table is broadcast, and with a large one Spark can split a hot bucket.
+    """
+    sizes = staged(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    shared = members.join(broadcast_if_small(sizes), "band").groupBy("node").agg(F.sum("n").alias("shared"))
+    best = members.join(shared, "node").groupBy("band").agg(F.max(F.struct("shared", "node")).alias("c"))
+    centres = staged(best.select("band", F.col("c.node").alias("centre")), "centres")
+    one = members.join(broadcast_if_small(centres), "band").filter("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
     return one.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
 
 
@@ -169,7 +173,7 @@ def _own_shingles(members: DataFrame, known: DataFrame, docs: DataFrame, n: int)
 def _open_members(members: DataFrame) -> DataFrame:
     """``members`` of the buckets that lie in two components or more, with the bucket's size."""
     shape = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-    return members.drop("size").join(shape.select("band", "size"), "band")
+    return members.drop("size").join(broadcast_if_small(staged(shape.select("band", "size"), "shape")), "band")
 
 
 def _may_share(nu, ou, nv, ov, percent: int):  # noqa: ANN001, ANN202
@@ -250,7 +254,7 @@ def linked_nodes(docs: DataFrame, signs: DataFrame, n: int, percent: int = PERCE
     """
     banded = signs.select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("band")
-    members = staged(banded.join(shared, "band").distinct(), "members")
+    members = staged(banded.join(broadcast_if_small(staged(shared, "shared")), "band").distinct(), "members")
     if members.isEmpty():
         return signs.sparkSession.createDataFrame([], "node long, root long")
     known = known_nodes(members, signs)
