@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorlake.llm import chat, decontaminate, html_labeller, minhash, mixing, quality, sharding, suffix, toxicity, warc
+from floorlake.llm import alignment, chat, decontaminate, html_labeller, licenses, minhash, mixing, quality, repair, sharding, suffix, toxicity, warc
 from floorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_conversations(rows, F.col("copies"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
@@ -114,6 +127,11 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     return base + (final or "\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM f")
 
 
+CRC_TABLE = "t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i)))"
+#: CRC-32 of a list ``bytes``, beside the table ``t``.
+CRC = "CASE WHEN len(bytes) = 0 THEN 0 ELSE xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) END"
+
+
 def _op6_sql() -> str:
     net = "SELECT key, l0 AS l, r0 AS r, n, rows, cols FROM ({0})"
     hashed = lambda x, k: f"(('0x' || substr(md5('{sharding.SEED}:{k}:' || {x}), 1, 8))::BIGINT)"
@@ -123,14 +141,14 @@ def _op6_sql() -> str:
     net = f"SELECT key, l * cols + r AS x, n, rows, cols FROM ({net})"
     step = lambda source, where: net.format(f"SELECT key, x // cols AS l0, x % cols AS r0, n, rows, cols FROM {source} {where}")
     return f"""
-WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i))),
+WITH RECURSIVE {CRC_TABLE},
 d AS (SELECT doc_id, text, octet_length(encode(text)) + 1 AS size, md5(doc_id::VARCHAR || '|1' || text) AS key,
   list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
 e AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS x, count(*) OVER () AS n FROM d),
 s AS (SELECT key, x, n, floor(sqrt(n - 1))::BIGINT + 1 AS rows FROM e),
 u AS (SELECT key, x, n, rows, greatest(1, (n + rows - 1) // rows) AS cols FROM s),
 walk AS (SELECT * FROM ({step("u", "")}) UNION ALL SELECT * FROM ({step("walk", "WHERE x >= n")}))
-SELECT doc_id, size::BIGINT AS size, CASE WHEN len(bytes) = 0 THEN 0 ELSE xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) END::BIGINT AS text_crc32,
+SELECT doc_id, size::BIGINT AS size, {CRC}::BIGINT AS text_crc32,
   'rows' AS law, (walk.x % 16)::INTEGER AS shard, (walk.x // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM e JOIN walk USING (key), t WHERE walk.x < walk.n"""
 
@@ -178,6 +196,65 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.v FROM r JOIN e
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) USING (doc_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html, op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op8_suffix, op9_minhash, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op5_warc": OP5_SQL, "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL, "op8_suffix": OP8_SQL, "op9_minhash": OP9_SQL}
+def _op11_sql() -> str:
+    """One pass over a conversation's rows with the cheapest 'cost:audit' of each state; at most one insert before a row and what the end needs after it."""
+    least = lambda *x: f"least({', '.join(x)})"
+    added = lambda state, cost, edit: f"(lpad((substr({state}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{edit}')"
+    none = "'999999999:'"
+    # states after an insert, where there is one: a user's from start, system and assistant, an assistant's from user
+    user, assistant = least("p.u", added("p.z", 5, "I"), added("p.s", 5, "I"), added("p.a", 5, "I")), least("p.a", added("p.u", 5, "I"))
+    keep = lambda state, wanted: f"CASE WHEN movable AND initial = '{wanted}' THEN {added(state, 'late', 'K')} ELSE {none} END"
+    reroled = lambda state: f"CASE WHEN movable THEN {added(state, '1 + late', 'R')} ELSE {none} END"
+    deleted = lambda state: added(state, 2, "D")
+    to_user = [f(x, *w) for x in ("p.z", "p.s", assistant) for f, w in ((keep, ["u"]), (reroled, []))]
+    done = least("z", "a", added("u", 5, "I"), added("s", 10, "II"))
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+c AS (SELECT conv_id, turn, role, text, list_transform(regexp_extract_all(hex(encode(conv_id || ':' || turn)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM conversations),
+k AS (SELECT *, {CRC} % 20 AS kind FROM c, t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+e AS (SELECT *, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS stop, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn, copy) AS same,
+  lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS two FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn, copy)),
+f AS (SELECT *, CASE WHEN stop = '' THEN 'blank' WHEN same > 1 THEN 'duplicate' WHEN stop NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM e),
+g AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS movable, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late FROM f),
+n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+  count_if(two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+w AS (SELECT conv_id, 0::BIGINT AS i, '000000000:' AS z, {none} AS s, {none} AS u, {none} AS a FROM n
+  UNION ALL SELECT p.conv_id, g.i, {deleted("p.z")}, {least(deleted("p.s"), keep("p.z", "s"))}, {least(deleted(user), *to_user)}, {least(deleted(assistant), keep(user, "a"), reroled(user))}
+  FROM w p JOIN g ON g.conv_id = p.conv_id AND g.i = p.i + 1),
+r AS (SELECT conv_id, substr(b, 1, 9)::BIGINT AS cost, substr(b, 11) AS audit FROM (SELECT conv_id, {done} AS b FROM w JOIN n USING (conv_id) WHERE w.i = n.n)),
+x AS (SELECT conv_id, p, substr(audit, p::INT, 1) AS edit, length(replace(substr(audit, 1, p::INT), 'I', '')) AS i FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM r)),
+y AS (SELECT x.conv_id, p, edit, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, count(*) OVER o - count_if(edit = 'K' AND initial = 's') OVER o AS j
+  FROM x LEFT JOIN g ON g.conv_id = x.conv_id AND g.i = x.i WHERE edit <> 'D' WINDOW o AS (PARTITION BY x.conv_id ORDER BY p)),
+m AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN j % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS said FROM y GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n USING (conv_id) LEFT JOIN r USING (conv_id) LEFT JOIN m USING (conv_id)"""
+
+
+def _op12_sql() -> str:
+    rows = [(label, text, "true") for label, text in licenses.PHRASES] + [(label, text, "false") for label, text in licenses.NOTICES]
+    listed = ", ".join(f"({i}, '{label}', '{text.replace(chr(39), chr(39) * 2)}', {phrase})" for i, (label, text, phrase) in enumerate(rows))
+    said = lambda x: f"list_filter(regexp_split_to_array(translate({x}, '{licenses.UPPER}', '{licenses.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH m AS (SELECT template_id, label, phrase, {said("text")} AS w FROM (VALUES {listed}) v(template_id, label, text, phrase)),
+mg AS (SELECT template_id, label, phrase, n, k, i - 1 AS t, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT *, len(w) AS n, least(len(w), {licenses.K}) AS k, unnest(range(1, len(w) - least(len(w), {licenses.K}) + 2)) AS i FROM m)),
+d AS (SELECT doc_id, {said("text")} AS w FROM documents),
+dg AS (SELECT doc_id, i - 1 AS i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM mg))),
+h AS (SELECT doc_id, template_id, label, phrase, n, k, t, i - t AS d FROM dg JOIN mg USING (k, gram)),
+p AS (SELECT doc_id, label, d AS first FROM h WHERE phrase GROUP BY doc_id, template_id, label, n, k, d HAVING count(*) = n - k + 1),
+o AS (SELECT *, coalesce(d - lag(d) OVER (PARTITION BY doc_id, template_id ORDER BY d) > least({licenses.SLACK}, n - 1), true)::INT AS new FROM (SELECT DISTINCT doc_id, template_id, label, n, d FROM h WHERE NOT phrase)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template_id ORDER BY d) AS span FROM o),
+c AS (SELECT doc_id, template_id, label, n, span, min(d + t) AS first, max(d + t + k - 1) AS last, count(DISTINCT x) AS words
+  FROM (SELECT s.*, h.t, h.k, unnest(range(h.t, h.t + h.k)) AS x FROM s JOIN h USING (doc_id, template_id, d)) GROUP BY doc_id, template_id, label, n, span),
+f AS (SELECT doc_id, label, words / n AS share FROM c WHERE words / n >= CASE WHEN n < {licenses.SHORT} THEN 1 ELSE {licenses.MIN_SHARE} END AND last - first + 1 <= n * {licenses.MAX_STRETCH}),
+a AS (SELECT doc_id, label, first, true AS base, 1.0::DOUBLE AS share FROM p UNION ALL SELECT doc_id, label, NULL, false, share FROM f),
+b AS (SELECT doc_id, count_if(base) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM a GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id)"""
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html, op2_mixing, op3_decontamination, op4_quality, op5_warc, op6_sharding, op7_chat, op8_suffix, op9_minhash, op10_toxicity, op11_repair, op12_licenses, op13_alignment)}
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _op3_sql(), "op4_quality": _op4_sql(), "op5_warc": OP5_SQL, "op6_sharding": _op6_sql(), "op7_chat": OP7_SQL, "op8_suffix": OP8_SQL, "op9_minhash": OP9_SQL, "op11_repair": _op11_sql(), "op12_licenses": _op12_sql()}

@@ -9,7 +9,7 @@ import pytest
 from floorlake.llm import queries
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["op1_html", "op2_mixing", "op3_decontamination", "op4_quality", "op5_warc", "op6_sharding", "op7_chat", "op8_suffix", "op9_minhash", "op10_toxicity"]
+NAMES = ["op1_html", "op2_mixing", "op3_decontamination", "op4_quality", "op5_warc", "op6_sharding", "op7_chat", "op8_suffix", "op9_minhash", "op10_toxicity", "op11_repair", "op12_licenses", "op13_alignment"]
 
 
 def normal(df):
