@@ -11,8 +11,12 @@ from floorlake.staging import broadcast_if_small, scratch, staged
 
 #: Templates of so many words or more are looked up by k-grams of so many words, shorter ones by a single k-gram.
 K = 4
+#: Places are looked up by the hash of so many words, the first ones of a k-gram, or fewer where a template has fewer.
+LEAD = 2
 #: Diagonals that are at most so far apart belong to one span: words left out or put in move a match to a neighbouring one.
 SLACK = 4
+#: Places are looked up by the hash of so many words, the first ones of a k-gram, or fewer where a template has fewer.
+LEAD = 2
 #: A span is a match where its k-grams cover so much of the template's words.
 MIN_SHARE = 0.7
 #: Templates of fewer words say something else where a word differs ("version 2"), so all their words must be covered.
@@ -21,6 +25,7 @@ SHORT = 12
 MAX_STRETCH = 1.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CASED_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Phrases whose every place counts, with their labels.
 PHRASES = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license")]
@@ -56,49 +61,50 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], TEMPLATES)
 
 
-def _gram(w: Column, i: Column, k: Column) -> Column:
-    return F.array_join(F.slice(w, i + 1, k), " ")
+def count_words(text: Column) -> Column:
+    """How many words :func:`scan_words` finds; only the ends of a split text can be empty."""
+    ends = lambda w: F.size(w) - (F.get(w, F.lit(0)) == "").cast("int") - ((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == "")).cast("int")
+    return let(F.split(F.coalesce(text, F.lit("")), CASED_BREAK), ends).cast("long")
 
 
-def _hashed(words: Column, k: int) -> Column:
-    """(i, k, h) of every run of ``k`` words."""
+def _gram(w: Column, i: Column, k: Column) -> Column:
+    return F.array_join(F.slice(w, i + 1, k), " ")
 
-    def runs(h: Column) -> Column:
-        one = lambda i: F.struct(i.alias("i"), F.lit(k).alias("k"), F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("h"))
-        return F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.size(h) - k), one)).otherwise(F.array().cast("array<struct<i: int, k: int, h: bigint>>"))
 
-    return let(F.transform(words, lambda x: F.xxhash64(x)), runs)
+def _places(texts: DataFrame, lead: int) -> DataFrame:
+    """``texts`` with words ``w``, at every place i from 0 that has ``lead`` words, and their hash h."""
+    at = texts.filter(F.size("w") >= lead).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - lead)))
+    return at.withColumn("h", F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(lead)]))
 
 
-def template_grams(templates: DataFrame) -> DataFrame:
+def template_grams(templates: DataFrame, lead: int) -> DataFrame:
     """h, k, gram, template_id, t: the k-grams of every template at their positions ``t`` from 0, with n, the template's number of words.
 
-    k is the template's number of words, ``K`` at most. Templates without words have none.
+    k is the template's number of words, ``K`` at most; h the hash of a gram's first ``lead``
+    words, no more than the shortest template has. Templates without words have none.
     """
-    w = templates.select("template_id", scan_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    parts = [w.filter(F.least(F.size("w"), F.lit(K)) == k).select("template_id", "w", F.inline(_hashed(F.col("w"), k))) for k in range(1, K + 1)]
-    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return every.select("h", "k", _gram(F.col("w"), F.col("i"), F.col("k")).alias("gram"), "template_id", F.col("i").alias("t"), F.size("w").alias("n"))
+    w = templates.select("template_id", scan_words(F.col("text")).alias("w"))
+    k = F.least(F.size("w"), F.lit(K))
+    own = _places(w.filter(F.size("w") > 0), lead).filter(F.col("i") <= F.size("w") - k)
+    return own.select("h", k.alias("k"), _gram(F.col("w"), F.col("i"), k).alias("gram"), "template_id", F.col("i").alias("t"), F.size("w").alias("n"))
 
 
-def _hits(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+def _hits(docs: DataFrame, grams: DataFrame, lead: int) -> DataFrame:
     """key, template_id, n, k, t, d: word places of texts (by ``key``) that hold a template's k-gram at its position t, d being the offset between both.
 
-    The join is on hash and size, and the words themselves are compared. While the templates fit a
-    broadcast, words are compared in place; beyond, they are shuffled with their hashes.
+    All rolling hashes of ``lead`` words are joined, one lookup a place for k-grams of every size;
+    then all k words are compared. While the templates fit a broadcast they are compared in
+    place; beyond, the words ahead are shuffled with the hash.
     """
-    w = docs.select(text_key(F.col("text")).alias("key"), scan_words(F.col("text")).alias("w"))
-    parts = [_hashed(F.col("w"), k) for k in sizes]
-    at = w.select("key", "w", F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
-    said = _gram(F.col("w"), F.col("i"), F.col("k"))
+    at = _places(docs.select(text_key(F.col("text")).alias("key"), scan_words(F.col("text")).alias("w")), lead)
     small = broadcast_if_small(grams)
     if small is grams:
-        met = at.select("key", "i", "k", "h", said.alias("gram")).join(grams, ["h", "k", "gram"])
+        at, said = at.select("key", "i", "h", F.slice("w", F.col("i") + 1, K).alias("ahead")), _gram(F.col("ahead"), F.lit(0), F.col("k"))
     else:
-        g = small.withColumnsRenamed({"k": "__k", "h": "__h"})
-        # not an equality, or words would be put together for every row instead of those that meet
-        same = F.array_contains(F.array("gram"), said)
-        met = at.join(g, (F.col("h") == F.col("__h")) & (F.col("k") == F.col("__k")) & same)
+        said = _gram(F.col("w"), F.col("i"), F.col("k"))
+    # not an equality, or words would be put together for every place instead of those that meet
+    same = F.array_contains(F.array("gram"), said)
+    met = at.join(small.withColumnRenamed("h", "__h"), (F.col("h") == F.col("__h")) & same)
     return met.select("key", "template_id", "n", "k", "t", (F.col("i") - F.col("t")).alias("d"))
 
 
@@ -146,9 +152,10 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFra
     templates = default_templates(spark) if templates is None else templates
     with scratch(spark):
         templates = staged(templates.select("template_id", "label", "text", "phrase"), "templates", keep=True)
-        grams = staged(template_grams(templates), "grams", keep=True)
-        sizes = sorted(r["k"] for r in grams.select("k").distinct().collect())  # of 1 to K
-        votes = staged(diagonals(_hits(docs, grams, sizes or [K])), "votes", keep=True)
+        shortest = templates.select(F.size(scan_words(F.col("text"))).alias("n")).filter("n > 0").agg(F.min("n")).first()[0]
+        lead = min(shortest or K, LEAD)
+        grams = staged(template_grams(templates, lead), "grams")
+        votes = staged(diagonals(_hits(docs, grams, lead)), "votes", keep=True)
     kinds = templates.select("template_id", "label", "phrase")
     by_votes = votes.join(broadcast_if_small(kinds), "template_id")
     places = by_votes.filter(F.col("phrase") & (F.size("at") == F.col("n") - F.col("k") + 1)).select(
@@ -166,7 +173,7 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFra
         F.max("share").alias("score"),
         F.array_sort(F.collect_list(F.struct("first", "last", "label", "share"))).alias("spans"),
     )
-    ids = docs.select("doc_id", F.size(scan_words(F.col("text"))).cast("long").alias("n_words"), text_key(F.col("text")).alias("key"))
+    ids = docs.select("doc_id", count_words(F.col("text")).alias("n_words"), text_key(F.col("text")).alias("key"))
     empty = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     filled = ids.join(broadcast_if_small(staged(by_text, "licenses")), "key", "left").withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
     return filled.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
