@@ -1,26 +1,29 @@
-"""Pixel operators on an image's wall mask, in numpy, one image a group: components, distances, skeletons, wall segments.
+"""Wall segments of masks: regions come from :mod:`floorlake.operators.regions`; what one region needs, thinning, cutting and walking, is numpy here.
 
-A mask arrives as runs and leaves as rows; Spark deals images over tasks. Rows are the image's
-own, so a group is as large as one mask.
+A group is the runs of one region, and takes as much memory as its box.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from floorlake.operators.regions import connected_runs, large_regions
 
 NEIGHBOURS = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 MIN_COMPONENT, MIN_REGION, MIN_PIECE, MIN_SEGMENT = 50, 20, 3, 5
 
 
-def painted(runs: pd.DataFrame) -> tuple[np.ndarray, int, int]:
-    """(mask, first row, first column) with two empty pixels around what the runs cover."""
+def painted(runs: pd.DataFrame, pad: int = 2) -> tuple[np.ndarray, int, int]:
+    """(mask, first row, first column) with ``pad`` empty pixels around what the runs cover."""
     full = runs[runs["x_end"] > runs["x_start"]]
     if full.empty:
         return np.zeros((5, 5), bool), 0, 0
-    top, left = int(full["y"].min()) - 2, int(full["x_start"].min()) - 2
-    mask = np.zeros((int(full["y"].max()) - top + 3, int(full["x_end"].max()) - left + 2), bool)
+    top, left = int(full["y"].min()) - pad, int(full["x_start"].min()) - pad
+    mask = np.zeros((int(full["y"].max()) - top + pad + 1, int(full["x_end"].max()) - left + pad), bool)
     for y, a, b in full[["y", "x_start", "x_end"]].itertuples(index=False):
         mask[y - top, a - left : b - left] = True
     return mask, top, left
@@ -231,37 +234,26 @@ def validated(line: list[tuple[float, float]], mask: np.ndarray) -> list[tuple[f
     return kept if len(kept) > 1 else line
 
 
-def _cropped(label: np.ndarray, k: int, pad: int = 4) -> tuple[np.ndarray, int, int]:
-    """One component with ``pad`` empty pixels around it, and where it starts."""
-    ys, xs = np.nonzero(label == k)
-    top, left = ys.min() - pad, xs.min() - pad
-    out = np.zeros((np.ptp(ys) + 2 * pad + 1, np.ptp(xs) + 2 * pad + 1), bool)
-    out[ys - top, xs - left] = True
-    return out, int(top), int(left)
-
-
-def segmented(mask: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, int] | None = None, cleaned: bool = True) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
-    """Wall segments as pixel lists in raster order, and junctions: regions thinned, cut at their branch points."""
-    segments, junctions = [], []
-    label = components(drop_small(mask, MIN_COMPONENT))
-    for k in range(1, label.max() + 1):
-        region, y0, x0 = _cropped(label, k)
-        if region.sum() < MIN_REGION:
-            continue
-        bones = drop_small(skeleton(improved(region)) & region, MIN_PIECE)
-        joints = branch_points(bones, top + y0, left + x0, size, cleaned=cleaned)
-        junctions += [(y + y0, x + x0) for y, x in joints]
-        cut = bones.copy()
-        for y, x in joints:
-            cut[y - 1 : y + 2, x - 1 : x + 2] = False
-        pieces = components(cut)
-        for i in range(1, pieces.max() + 1):
-            points = list(zip(*(v.tolist() for v in np.nonzero(pieces == i)), strict=True))
-            if len(points) > MIN_SEGMENT:
-                kept = [(q[0] + y0, q[1] + x0) for p in points if (q := nearest_inside(region, *p, 5))]
-                if len(kept) >= 2:
-                    segments.append(kept)
-    return segments, junctions
+def segmented(region: np.ndarray, top: int = 0, left: int = 0, size: tuple[int, int] | None = None, cleaned: bool = True) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
+    """Wall segments of one region as pixel lists in raster order, and its junctions: thinned, cut at its branch points."""
+    if region.sum() < MIN_REGION:
+        return [], []
+    bones = drop_small(skeleton(improved(region)) & region, MIN_PIECE)
+    joints = branch_points(bones, top, left, size, cleaned=cleaned)
+    cut = bones.copy()
+    for y, x in joints:
+        cut[y - 1 : y + 2, x - 1 : x + 2] = False
+    segments, pieces = [], components(cut)
+    ys, xs = np.nonzero(pieces)
+    order = np.argsort(pieces[ys, xs], kind="stable")
+    starts = np.searchsorted(pieces[ys, xs][order], np.arange(1, pieces.max() + 2)).tolist()
+    places = list(zip(ys[order].tolist(), xs[order].tolist(), strict=True))
+    for i, j in zip(starts, starts[1:]):
+        if j - i > MIN_SEGMENT:
+            kept = [q for p in places[i:j] if (q := nearest_inside(region, *p, 5))]
+            if len(kept) >= 2:
+                segments.append(kept)
+    return segments, joints
 
 
 def _dealt(runs: DataFrame, *keys: str) -> DataFrame:
@@ -269,43 +261,90 @@ def _dealt(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
 
 
-def wall_segments(runs: DataFrame, cleaned: bool = True) -> DataFrame:
-    """image_id, wall_seq, pos, y, x: the ordered centerline points of every wall segment of each image's mask."""
+POINT = "struct<x: double, y: double>"
+SEGMENT = f"struct<line: array<{POINT}>, profile: array<double>, box: struct<x1: double, y1: double, x2: double, y2: double>, area: double>"
+
+
+def wall_parts(runs: DataFrame, images: DataFrame | None = None, cleaned: bool = True) -> DataFrame:
+    """image_id, region, segments, joints of each region of ``MIN_COMPONENT`` pixels or more of each image's mask.
+
+    A segment is its line in walking order, twice the distance to the region's edge along it, its
+    box and its number of pixels. Joints keep off the borders of ``images`` (image_id, width,
+    height); without them there is no lower and right one. A pixel's nearest pixel outside its
+    region lies outside all regions, so distances need the region alone.
+    """
+    found = large_regions(connected_runs(runs), MIN_COMPONENT)
+    if images is None:
+        sized = found.withColumns({"width": F.lit(None).cast("double"), "height": F.lit(None).cast("double")})
+    else:
+        sized = found.join(images.select("image_id", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), "image_id", "left")
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
-        mask, top, left = painted(df)
-        segments, _ = segmented(mask, top, left, cleaned=cleaned)
-        rows = [(df["image_id"].iloc[0], s + 1, i, y + top, x + left) for s, points in enumerate(segments) for i, (y, x) in enumerate(walk(points))]
-        return pd.DataFrame(rows, columns=["image_id", "wall_seq", "pos", "y", "x"])
+        mask, top, left = painted(df, pad=4)
+        width, height = df["width"].iloc[0], df["height"].iloc[0]
+        size = None if pd.isna(width) or pd.isna(height) else (int(height), int(width))
+        segments, joints = segmented(mask, top, left, size, cleaned)
+        deep = distances(mask) if segments else mask
+        rows = []
+        for points in segments:
+            line = walk(points)
+            ys, xs = [float(y + top) for y, _ in points], [float(x + left) for _, x in points]
+            rows.append({
+                "line": [{"x": float(x + left), "y": float(y + top)} for y, x in line],
+                "profile": [float(2 * deep[p]) for p in line] if len(line) > 1 else [],
+                "box": {"x1": min(xs), "y1": min(ys), "x2": max(xs), "y2": max(ys)},
+                "area": float(len(points)),
+            })
+        at = [{"x": float(x + left), "y": float(y + top)} for y, x in joints]
+        return pd.DataFrame({"image_id": df["image_id"].iloc[:1], "region": df["region"].iloc[:1], "segments": [rows], "joints": [at]})
 
-    return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, wall_seq int, pos int, y long, x long")
+    return _dealt(sized, "image_id", "region").applyInPandas(solve, f"image_id long, region long, segments array<{SEGMENT}>, joints array<{POINT}>")
 
 
-def raster_junctions(runs: DataFrame, cleaned: bool = True) -> DataFrame:
-    """image_id, j_seq, x, y: junctions of each image's wall mask."""
+def _numbered(parts: DataFrame, items: str, name: str) -> DataFrame:
+    """An image's ``items`` as rows, numbered from 1 as ``name`` in the order of their regions."""
+    flat = parts.select("image_id", "region", F.posexplode(items).alias("pos", "item"))
+    return flat.withColumn(name, F.row_number().over(Window.partitionBy("image_id").orderBy("region", "pos")))
 
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
-        mask, top, left = painted(df)
-        rows = [(df["image_id"].iloc[0], i + 1, float(x + left), float(y + top)) for i, (y, x) in enumerate(segmented(mask, top, left, cleaned=cleaned)[1])]
-        return pd.DataFrame(rows, columns=["image_id", "j_seq", "x", "y"])
 
-    return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, j_seq int, x double, y double")
+def wall_rows(parts: DataFrame) -> DataFrame:
+    """Every wall segment of :func:`wall_parts`, in pixels: image_id, wall_seq, line, ends sx, sy, ex, ey, thickness, box and area (its number of pixels)."""
+    line, profile = F.col("item.line"), F.col("item.profile")
+    mean = F.aggregate(profile, F.lit(0.0), lambda s, x: s + x) / F.size(profile)
+    some = lambda c: F.when(F.size(profile) > 0, c).otherwise(0.0)
+    thickness = F.struct(some(mean).alias("average"), some(F.array_min(profile)).alias("min"), some(F.array_max(profile)).alias("max"), profile.alias("profile"))
+    end = lambda k, c: F.element_at(line, k)[c]
+    return _numbered(parts, "segments", "wall_seq").select(
+        "image_id", "wall_seq", line.alias("line"), end(1, "x").alias("sx"), end(1, "y").alias("sy"), end(-1, "x").alias("ex"), end(-1, "y").alias("ey"), thickness.alias("thickness"), "item.box", "item.area"
+    )
 
 
-def wall_thickness(runs: DataFrame, cleaned: bool = True) -> DataFrame:
-    """image_id, wall_seq, average, minimum, maximum, profile: twice the distance to the wall's edge along each centerline; zeros for one point."""
+def joint_rows(parts: DataFrame) -> DataFrame:
+    """image_id, j_seq, x, y: the junctions of :func:`wall_parts`."""
+    return _numbered(parts, "joints", "j_seq").select("image_id", "j_seq", "item.x", "item.y")
 
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
-        mask, top, left = painted(df)
-        deep = distances(mask)
-        rows = []
-        for s, points in enumerate(segmented(mask, top, left, cleaned=cleaned)[0]):
-            line = walk(points)
-            profile = [float(2 * deep[p]) for p in line] if len(line) > 1 else [0.0]
-            rows.append((df["image_id"].iloc[0], s + 1, float(np.mean(profile)), min(profile), max(profile), profile))
-        return pd.DataFrame(rows, columns=["image_id", "wall_seq", "average", "minimum", "maximum", "profile"])
 
-    return _dealt(runs, "image_id").applyInPandas(solve, "image_id long, wall_seq int, average double, minimum double, maximum double, profile array<double>")
+def wall_table(runs: DataFrame, cleaned: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """Every wall segment of each image's mask, as :func:`wall_rows`."""
+    return wall_rows(wall_parts(runs, images, cleaned))
+
+
+def wall_segments(runs: DataFrame, cleaned: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """image_id, wall_seq, pos, y, x: the ordered centerline points of every wall segment of each image's mask."""
+    flat = wall_table(runs, cleaned, images).select("image_id", "wall_seq", F.posexplode("line").alias("pos", "p"))
+    return flat.select("image_id", "wall_seq", "pos", F.col("p.y").cast("long").alias("y"), F.col("p.x").cast("long").alias("x"))
+
+
+def raster_junctions(runs: DataFrame, cleaned: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """image_id, j_seq, x, y: junctions of each image's wall mask."""
+    return joint_rows(wall_parts(runs, images, cleaned))
+
+
+def wall_thickness(runs: DataFrame, cleaned: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """image_id, wall_seq, average, minimum, maximum, profile: twice the distance to the wall's edge along each centerline; zeros for one point."""
+    t = F.col("thickness")
+    profile: Column = F.when(F.size(t["profile"]) > 0, t["profile"]).otherwise(F.array(F.lit(0.0)))
+    return wall_table(runs, cleaned, images).select("image_id", "wall_seq", t["average"].alias("average"), t["min"].alias("minimum"), t["max"].alias("maximum"), profile.alias("profile"))
 
 
 def centered_line(mask: np.ndarray, reach: float = 15.0, least: int = 10, snap: int = 10) -> list[tuple[float, float]]:
@@ -355,30 +394,6 @@ def inner_line(points: list[tuple[int, int]], mask: np.ndarray, least: int = 2)
     return kept if len(kept) >= least else []
 
 
-def wall_table(runs: DataFrame, cleaned: bool = True) -> DataFrame:
-    """Every wall segment of each image's mask, in pixels: image_id, wall_seq, line (x, y of its pixels in walking order), ends sx, sy, ex, ey, thickness, box and area (its number of pixels)."""
-    schema = (
-        "image_id long, wall_seq int, line array<struct<x: double, y: double>>, sx double, sy double, ex double, ey double, "
-        "thickness struct<average: double, min: double, max: double, profile: array<double>>, box struct<x1: double, y1: double, x2: double, y2: double>, area double"
-    )
-
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
-        mask, top, left = painted(df)
-        deep = distances(mask)
-        rows = []
-        for s, points in enumerate(segmented(mask, top, left, cleaned=cleaned)[0]):
-            line = walk(points)
-            profile = [float(2 * deep[p]) for p in line]
-            thick = {"average": float(np.mean(profile)), "min": min(profile), "max": max(profile), "profile": profile} if len(line) > 1 else {"average": 0.0, "min": 0.0, "max": 0.0, "profile": []}
-            at = [{"x": float(x + left), "y": float(y + top)} for y, x in line]
-            ys, xs = [y + top for y, _ in points], [x + left for _, x in points]
-            box = {"x1": float(min(xs)), "y1": float(min(ys)), "x2": float(max(xs)), "y2": float(max(ys))}
-            rows.append((df["image_id"].iloc[0], s + 1, at, at[0]["x"], at[0]["y"], at[-1]["x"], at[-1]["y"], thick, box, float(len(points))))
-        return pd.DataFrame(rows, columns=["image_id", "wall_seq", "line", "sx", "sy", "ex", "ey", "thickness", "box", "area"])
-
-    return _dealt(runs, "image_id").applyInPandas(solve, schema)
-
-
 def centered_lines(runs: DataFrame) -> DataFrame:
     """image_id, det_id, pos, x, y: the centered line of each wall mask."""
 

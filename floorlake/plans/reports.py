@@ -10,6 +10,7 @@ from floorlake.functions import classify as c
 from floorlake.functions import geometry as g
 from floorlake.functions import units
 from floorlake.operators import metrics, pairs, paths, raster
+from floorlake.staging import staged
 
 
 def accuracy_report(dets: DataFrame, images: DataFrame) -> DataFrame:
@@ -129,8 +130,9 @@ def wall_parameters(runs: DataFrame, images: DataFrame, prefix: str = "", cleane
 
     ``prefix`` names the region that the masks are of.
     """
-    table, scale = raster.wall_table(runs, cleaned), F.col("mm_per_px")
-    ends = pairs.wall_connections(table, raster.raster_junctions(runs, cleaned)).select("image_id", "wall_seq", "start_junction", "end_junction")
+    parts, scale = staged(raster.wall_parts(runs, images, cleaned), "walls"), F.col("mm_per_px")
+    table = raster.wall_rows(parts)
+    ends = pairs.wall_connections(table, raster.joint_rows(parts)).select("image_id", "wall_seq", "start_junction", "end_junction")
     steps = F.zip_with(F.slice("line", 1, F.size("line") - 1), F.slice("line", 2, F.size("line") - 1), lambda a, b: g.distance(a["x"], a["y"], b["x"], b["y"]))
     length = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
     d = table.join(ends, ["image_id", "wall_seq"]).join(images.select("image_id", "mm_per_px"), "image_id")

@@ -725,23 +725,23 @@ def crossing_bars(v: Views) -> DataFrame:
 
 @query()
 def wall_segmentation(v: Views) -> DataFrame:
-    return raster.wall_segments(crossing_bars(v)).groupBy("image_id", "wall_seq").agg(F.count(F.lit(1)).alias("points"), F.min("y").alias("y1"), F.max("y").alias("y2"))
+    return raster.wall_segments(crossing_bars(v), images=v.images).groupBy("image_id", "wall_seq").agg(F.count(F.lit(1)).alias("points"), F.min("y").alias("y1"), F.max("y").alias("y2"))
 
 
 @query()
 def raster_junctions(v: Views) -> DataFrame:
-    return raster.raster_junctions(crossing_bars(v), cleaned=False)
+    return raster.raster_junctions(crossing_bars(v), cleaned=False, images=v.images)
 
 
 @query()
 def skeleton_walk(v: Views) -> DataFrame:
-    points = raster.wall_segments(crossing_bars(v)).select(F.concat_ws("-", "image_id", "wall_seq").alias("path_id"), "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = raster.wall_segments(crossing_bars(v), images=v.images).select(F.concat_ws("-", "image_id", "wall_seq").alias("path_id"), "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return rounded(paths.path_length(points), "length")
 
 
 @query()
 def wall_thickness(v: Views) -> DataFrame:
-    return rounded(raster.wall_thickness(crossing_bars(v)).select("image_id", "wall_seq", "average", "minimum", "maximum"), "average", "minimum", "maximum")
+    return rounded(raster.wall_thickness(crossing_bars(v), images=v.images).select("image_id", "wall_seq", "average", "minimum", "maximum"), "average", "minimum", "maximum")
 
 
 @query()
