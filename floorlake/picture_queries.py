@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorlake.adapters import Views
-from floorlake.operators import regions
+from floorlake.operators import pictures, regions
 from floorlake.queries import ISLANDS, PIXELS, query
 
 #: Regions of each image's masks together: runs that touch in neighbouring rows reach one another.
@@ -41,3 +41,86 @@ def large_regions(v: Views) -> DataFrame:
 SELECT image_id, y, x_start, x_end FROM runs r WHERE EXISTS (SELECT 1 FROM runs s JOIN px p ON p.image_id = s.image_id AND p.y = s.y AND p.x >= s.x_start AND p.x < s.x_end AND p.class_id = 3 WHERE s.image_id = r.image_id AND s.region = r.region)""", recursive=True)
 def strong_regions(v: Views) -> DataFrame:
     return regions.strong_regions(v.mask_runs, v.mask_runs.filter("class_id = 3")).drop("region")
+
+
+SIDE, CELL = 32, 35
+
+
+def small_images(v: Views) -> DataFrame:
+    return v.images.select("image_id", F.lit(float(SIDE)).alias("width"), F.lit(float(SIDE)).alias("height"))
+
+
+def small_pictures(v: Views) -> DataFrame:
+    """Grey pictures of 32 x 32 pixels, the darker the more boxes lie over a pixel's middle."""
+    cell = lambda c: F.ceil((F.col(c) - CELL // 2) / CELL)
+    cells = lambda a, b: F.filter(F.sequence(F.least(cell(a), cell(b) - 1), cell(b) - 1), lambda k: (k >= cell(a)) & (k >= 0) & (k < SIDE))
+    boxes = v.detections.select("image_id", "det_id", F.explode(cells("y1", "y2")).alias("y"), cells("x1", "x2").alias("xs")).select("image_id", "det_id", "y", F.explode("xs").alias("x"))
+    dark = boxes.groupBy("image_id", "y", "x").agg(F.sum(30 + F.col("det_id") % 11).alias("dark"))
+    line = F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))
+    grid = v.images.select("image_id", F.explode(line).alias("y")).select("image_id", "y", F.explode(line).alias("x"))
+    return grid.join(dark, ["image_id", "y", "x"], "left").select("image_id", "y", "x", (255 - F.least(F.lit(255), F.coalesce("dark", F.lit(0)))).cast("long").alias("value"))
+
+
+PICTURES = f"""cells AS (SELECT image_id, y, x, sum(30 + det_id % 11) AS dark FROM detections, range({SIDE}) r(y), range({SIDE}) c(x)
+  WHERE {CELL} * y + {CELL // 2} >= y1 AND {CELL} * y + {CELL // 2} < y2 AND {CELL} * x + {CELL // 2} >= x1 AND {CELL} * x + {CELL // 2} < x2 GROUP BY 1, 2, 3),
+pixels AS MATERIALIZED (SELECT image_id, y, x, (255 - least(255, coalesce(dark, 0)))::BIGINT AS value FROM (SELECT image_id, y, x FROM images, range({SIDE}) r(y), range({SIDE}) c(x)) LEFT JOIN cells USING (image_id, y, x))"""
+NEAR = "least(greatest({0} + {1}, 0), " + str(SIDE - 1) + ")"
+
+
+@query(f"""+ {PICTURES}, across AS (SELECT p.image_id, p.y, p.x, sum(q.value) AS s FROM pixels p, range(-5, 6) o(k) JOIN pixels q ON q.image_id = p.image_id AND q.y = p.y AND q.x = {NEAR.format("p.x", "k")} GROUP BY 1, 2, 3)
+SELECT p.image_id, p.y, p.x, sum(q.s)::BIGINT AS total FROM across p, range(-5, 6) o(k) JOIN across q ON q.image_id = p.image_id AND q.x = p.x AND q.y = {NEAR.format("p.y", "k")} GROUP BY 1, 2, 3""")
+def window_sums(v: Views) -> DataFrame:
+    return pictures.window_sums(small_pictures(v)).drop("value")
+
+
+def _weighted_sql(source: str, fixed: str, moving: str) -> str:
+    """The weighted sum along ``moving`` of ``m``, term by term in the order of the window."""
+    term = lambda k, w: f"coalesce({'lag' if k < 0 else 'lead'}(m, {abs(k)}) OVER w, {'first' if k < 0 else 'last'}_value(m) OVER l) * {w!r}::DOUBLE"
+    total = " + ".join(term(k - 5, w) for k, w in enumerate(pictures.gaussian_weights()))
+    return f"SELECT image_id, y, x, value, {total} AS m FROM {source} WINDOW w AS (PARTITION BY image_id, {fixed} ORDER BY {moving}), l AS (PARTITION BY image_id, {fixed} ORDER BY {moving} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+DARK = f"""{PICTURES}, smooth AS (SELECT image_id, y, x, value, value::DOUBLE AS m FROM pixels), flat AS ({_weighted_sql("smooth", "y", "x")}), mean AS ({_weighted_sql("flat", "x", "y")}),
+dark AS (SELECT image_id, y, x FROM mean WHERE value <= round_even(m, 0) - 2)"""
+
+
+@query(f"+ {DARK}\n{ISLANDS.format('dark')}")
+def adaptive_threshold(v: Views) -> DataFrame:
+    return pictures.runs_of(pictures.dark_pixels(small_pictures(v)))
+
+
+@query(f"""+ {PICTURES}, s AS (SELECT p.image_id, p.y, p.x, p.value, sum(q.value) AS total FROM pixels p, range(-5, 6) a(i), range(-5, 6) b(j) JOIN pixels q ON q.image_id = p.image_id AND q.y = {NEAR.format("p.y", "i")} AND q.x = {NEAR.format("p.x", "j")} GROUP BY 1, 2, 3, 4)
+SELECT image_id, y, x, value FROM s WHERE value <= round(total / 121) - 2""")
+def mean_threshold(v: Views) -> DataFrame:
+    return pictures.dark_pixels(small_pictures(v), gaussian=False)
+
+
+@query(f"""+ {PICTURES}, b AS (SELECT image_id, det_id, floor(y1 / {CELL})::BIGINT AS y1, floor(x1 / {CELL})::BIGINT AS x1, least(floor(y2 / {CELL}), {SIDE})::BIGINT AS y2, least(floor(x2 / {CELL}), {SIDE})::BIGINT AS x2 FROM detections)
+SELECT b.det_id AS box_id, count(value)::BIGINT AS pixels, coalesce(sum(value), 0)::BIGINT AS total, round(avg(value), 9) AS mean FROM b LEFT JOIN pixels p ON p.image_id = b.image_id AND y >= y1 AND y < y2 AND x >= x1 AND x < x2 GROUP BY 1""")
+def box_brightness(v: Views) -> DataFrame:
+    boxes = v.detections.select("image_id", F.col("det_id").alias("box_id"), *[(F.col(c) / CELL).alias(c) for c in ("y1", "x1", "y2", "x2")])
+    d = pictures.box_means(pictures.summed_area(small_pictures(v), "value"), boxes, small_images(v))
+    return d.select("box_id", F.col("pixels").cast("long").alias("pixels"), "total", F.round("mean", 9).alias("mean"))
+
+
+def _taken(name: str, source: str, size: int, least: bool) -> str:
+    """Masks ``source`` (image_id, y, x) shrunk or grown, by the pixels of a square that begins size // 2 before."""
+    count = f"SELECT g.image_id, g.y, g.x, count(s.x) AS n, count_if(g.y + i BETWEEN 0 AND {SIDE - 1} AND g.x + j BETWEEN 0 AND {SIDE - 1}) AS inside FROM (SELECT image_id, y, x FROM pixels) g, range({-(size // 2)}, {size - size // 2}) a(i), range({-(size // 2)}, {size - size // 2}) b(j) LEFT JOIN {source} s ON s.image_id = g.image_id AND s.y = g.y + i AND s.x = g.x + j GROUP BY 1, 2, 3"
+    return f"{name} AS (SELECT image_id, y, x FROM ({count}) WHERE {'n = inside' if least else 'n > 0'})"
+
+
+@query(f"+ {DARK}, {_taken('a', 'dark', 2, True)}, {_taken('b', 'a', 2, False)}, {_taken('c', 'b', 8, False)}, {_taken('d', 'c', 7, False)}, {_taken('e', 'd', 7, True)}\n{ISLANDS.format('e')}")
+def office_lines(v: Views) -> DataFrame:
+    return pictures.office_lines(small_pictures(v), small_images(v))
+
+
+@query(f"""+ {PICTURES}, h AS (SELECT image_id, y // 4 AS ty, x // 4 AS tx, value, count(*) AS n FROM pixels GROUP BY 1, 2, 3, 4),
+bins AS (SELECT t.image_id, t.ty, t.tx, v, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id, ty, tx FROM h) t CROSS JOIN range(256) r(v) LEFT JOIN h ON h.image_id = t.image_id AND h.ty = t.ty AND h.tx = t.tx AND h.value = v),
+k AS (SELECT *, sum(greatest(n - 1, 0)) OVER (PARTITION BY image_id, ty, tx) AS cut FROM bins),
+c AS (SELECT image_id, ty, tx, v, least(n, 1) + cut // 256 + CASE WHEN cut % 256 > 0 AND v % greatest(256 // (cut % 256), 1) = 0 AND v // greatest(256 // (cut % 256), 1) < cut % 256 THEN 1 ELSE 0 END AS n FROM k),
+m AS (SELECT image_id, ty, tx, v, least(round_even(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY v) * (255.0::DOUBLE / 16), 0), 255) AS t FROM c),
+p AS (SELECT *, y * 0.25::DOUBLE - 0.5 AS fy, x * 0.25::DOUBLE - 0.5 AS fx FROM pixels),
+f AS (SELECT image_id, y, x, value, least(greatest(floor(fy) + i, 0), 7) AS ty, least(greatest(floor(fx) + j, 0), 7) AS tx, abs(1 - i - (fy - floor(fy))) * abs(1 - j - (fx - floor(fx))) AS share FROM p, range(2) a(i), range(2) b(j))
+SELECT f.image_id, y, x, round_even(sum(round(share * t * 1e6)::BIGINT) / 1e6::DOUBLE, 0)::INTEGER AS value FROM f JOIN m ON m.image_id = f.image_id AND m.ty = f.ty AND m.tx = f.tx AND m.v = f.value GROUP BY 1, 2, 3""")
+def equalised_pixels(v: Views) -> DataFrame:
+    return pictures.equalised(small_pictures(v), small_images(v))
