@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorlake.adapters import Views
-from floorlake.operators import pictures, regions
+from floorlake.operators import matching, pictures, regions
 from floorlake.queries import ISLANDS, PIXELS, query
 
 #: Regions of each image's masks together: runs that touch in neighbouring rows reach one another.
@@ -124,3 +124,30 @@ f AS (SELECT image_id, y, x, value, least(greatest(floor(fy) + i, 0), 7) AS ty,
 SELECT f.image_id, y, x, round_even(sum(round(share * t * 1e6)::BIGINT) / 1e6::DOUBLE, 0)::INTEGER AS value FROM f JOIN m ON m.image_id = f.image_id AND m.ty = f.ty AND m.tx = f.tx AND m.v = f.value GROUP BY 1, 2, 3""")
 def equalised_pixels(v: Views) -> DataFrame:
     return pictures.equalised(small_pictures(v), small_images(v))
+
+
+#: (template_id, height, width, what is dark in it): edges, a corner, opposite quarters and a middle.
+ICONS = [(1, 6, 5, "2 * x < w"), (2, 4, 6, "2 * y < h"), (3, 6, 6, "2 * x < w AND 2 * y < h"), (4, 5, 5, "(2 * x < w) = (2 * y < h)"), (5, 8, 7, "x > 0 AND y > 0 AND x < w - 1 AND y < h - 1")]
+ICON_SQL = " UNION ALL ".join(f"SELECT {i} AS template_id, y, x, CASE WHEN {dark} THEN 40 ELSE 200 END + (3 * y + 5 * x) % 7 AS value, {h} AS h, {w} AS w FROM (SELECT *, {h} AS h, {w} AS w FROM range({h}) r(y), range({w}) c(x))" for i, h, w, dark in ICONS)
+
+
+def icons(v: Views) -> DataFrame:
+    spark, found = v.events.sparkSession, None
+    for i, h, w, dark in ICONS:
+        one = spark.range(h * w).selectExpr(f"{i}L template_id", f"id div {w} y", f"id % {w} x", f"{h} h", f"{w} w").selectExpr("template_id", "y", "x", f"cast(if({dark}, 40, 200) + (3 * y + 5 * x) % 7 as long) value")
+        found = one if found is None else found.union(one)
+    return found
+
+
+HITS = f"""{PICTURES}, icon AS ({ICON_SQL}), tm AS (SELECT template_id, h, w, avg(value) AS m, sum(value * value) - avg(value) * sum(value) AS e FROM icon GROUP BY 1, 2, 3),
+place AS (SELECT image_id, template_id, y, x, h, w, m, e FROM pixels, tm WHERE y + h <= {SIDE} AND x + w <= {SIDE}),
+c AS (SELECT p.image_id, p.template_id, p.y, p.x, p.h, p.w, any_value(e) AS e, sum((i.value - m) * q.value) AS n, sum(q.value * q.value) - avg(q.value) * sum(q.value) AS o
+  FROM place p JOIN icon i ON i.template_id = p.template_id JOIN pixels q ON q.image_id = p.image_id AND q.y = p.y + i.y AND q.x = p.x + i.x GROUP BY 1, 2, 3, 4, 5, 6),
+hits AS (SELECT *, n / sqrt(e * o) AS score FROM c WHERE o > 1e-6 AND n / sqrt(e * o) >= 0.85::DOUBLE)"""
+
+
+@query(f"""+ {HITS}
+SELECT image_id, template_id::BIGINT AS template_id, y, x, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, template_id ORDER BY round(score, 9) DESC, y, x) AS place FROM hits) WHERE place <= 200""")
+def template_hits(v: Views) -> DataFrame:
+    d = matching.template_hits(small_pictures(v), icons(v))
+    return d.select("image_id", "template_id", "y", "x", F.round("score", 6).alias("score"))
