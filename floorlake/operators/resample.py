@@ -72,41 +72,59 @@ def _cut(d: DataFrame) -> DataFrame:
     return inside.withColumns(moved).drop("__y1", "__x1", "__y2", "__x2")
 
 
-def _bilinear(pieces: DataFrame) -> DataFrame:
-    """image_id, det_id, y, x, weight of the cells of new grids that pieces (KEYS, y, x_start, x_end, value, h, w, nh, nw) of old ones reach.
+def _place(c: Column, old: Column, n: Column) -> Column:
+    """2 n times the place, on an old side ``old``, of the middle of cell ``c`` of a new side ``n``."""
+    return (2 * c + 1) * old - n
 
-    A new cell's middle lies at ((2 c + 1) s / n - 1) / 2 of an old side s made n; the cells around
-    it count by their nearness, and nothing lies beyond the edges. ``weight`` is 4 nh nw times the value.
+
+def _by_row(pieces: DataFrame, item: Column, *more: str) -> DataFrame:
+    """Pieces (KEYS, y, h, w, nh, nw) of old grids gathered by the rows ``r`` of new ones that they reach, as ``items`` of __wy, 2 nh times their nearness, and ``item``.
+
+    A new cell's middle lies at ((2 c + 1) s / n - 1) / 2 of an old side s made n; the two old cells
+    around it count by their nearness, and nothing lies beyond the edges.
     """
-    y, a, b = F.col("y"), F.col("x_start"), F.col("x_end")
-    h, w, nh, nw = (F.col(c) for c in ("h", "w", "nh", "nw"))
-    lowest = lambda edge, old, n: F.greatest(_up(2 * n * edge + n - old, 2 * old), F.lit(0))
-    highest = lambda edge, old, n: F.least(_up(2 * n * edge + n - old, 2 * old) - 1, n - 1)
-    spans = pieces.withColumns({"__y1": lowest(y - 1, h, nh), "__y2": highest(y + 1, h, nh), "__x1": lowest(a - 1, w, nw), "__x2": highest(b, w, nw)})
-    spans = spans.filter("__y1 <= __y2 and __x1 <= __x2")
-    place = lambda c, old, n: (2 * F.col(c) + 1) * old - n  # noqa: E731  (2 n times the middle's place)
-    rows = spans.withColumn("__r", F.explode(F.sequence("__y1", "__y2")))
-    rows = rows.withColumn("__wy", 2 * nh - F.abs(place("__r", h, nh) - 2 * nh * y)).filter("__wy > 0")
-    cells = rows.withColumn("__c", F.explode(F.sequence("__x1", "__x2")))
-    at = place("__c", w, nw)
-    cells = cells.withColumn("__wx", F.least(2 * nw, at - 2 * nw * (a - 1), 2 * nw * b - at)).filter("__wx > 0")
-    return cells.groupBy(*KEYS, F.col("__r").alias("y"), F.col("__c").alias("x")).agg(F.sum(F.col("__wy") * F.col("__wx") * F.col("value")).alias("weight"))
+    y, h, nh = F.col("y"), F.col("h"), F.col("nh")
+    lowest = F.greatest(_up(2 * nh * (y - 1) + nh - h, 2 * h), F.lit(0))
+    highest = F.least(_up(2 * nh * (y + 1) + nh - h, 2 * h) - 1, nh - 1)
+    spans = pieces.withColumns({"__low": lowest, "__high": highest}).filter("__low <= __high")
+    rows = spans.withColumn("r", F.explode(F.sequence("__low", "__high")))
+    rows = rows.withColumn("__wy", 2 * nh - F.abs(_place(F.col("r"), h, nh) - 2 * nh * y)).filter("__wy > 0")
+    # over as many tasks as the session has: adaptive execution would sum many cells of few bytes in one
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS, "r")
+    return rows.groupBy(*KEYS, "r", "h", "w", "nh", "nw", *more).agg(F.collect_list(F.struct("__wy", item.alias("item"))).alias("items"))
+
+
+def _summed(rows: DataFrame, nearness) -> DataFrame:  # noqa: ANN001
+    """``weights`` of each row's cells: 4 nh nw times their values. ``nearness(item, z)``: 2 nw times what an item gives a cell whose middle is at z."""
+    cells = F.sequence(F.lit(0).cast("long"), F.col("nw") - 1)
+    one = lambda z: F.aggregate("items", F.lit(0).cast("long"), lambda s, i: s + i["__wy"] * nearness(i["item"], z))
+    return rows.withColumn("weights", F.transform(cells, lambda c: one(_place(c, F.col("w"), F.col("nw"))))).drop("items")
 
 
 def _boxed(boxes: DataFrame) -> DataFrame:
     return boxes.select(*KEYS, *[F.col(k).cast("long").alias(f"__{k}") for k in ("y1", "x1", "y2", "x2")])
 
 
-def _cell_runs(cells: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*KEYS, "y").orderBy("x")
-    islands = cells.select(*KEYS, "y", "x", (F.col("x") - F.row_number().over(order)).alias("__island"))
-    return islands.groupBy(*KEYS, "y", "__island").agg(F.min("x").alias("x_start"), (F.max("x") + 1).alias("x_end")).drop("__island")
+def _row_runs(rows: DataFrame, kept) -> DataFrame:  # noqa: ANN001
+    """Rows with ``weights`` as the runs of cells whose weight is ``kept``; an array's neighbours need no window."""
+
+    def found(on: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(on) - 1)
+        edge = lambda step: F.filter(at, lambda i: F.get(on, i) & ~F.coalesce(F.get(on, i + step), F.lit(False)))
+        return F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.cast("long").alias("x_start"), (b + 1).cast("long").alias("x_end")))
+
+    # inside a list of one, so that the cells are summed once and not at every look at one
+    once = F.get(F.transform(F.array(F.transform("weights", kept)), found), F.lit(0))
+    return rows.withColumn("runs", once).drop("weights")
 
 
 def _shrunk(runs: DataFrame, boxes: DataFrame, height: int, width: int) -> DataFrame:
     d = runs.select(*KEYS, "y", "x_start", "x_end").join(_boxed(boxes), KEYS)
-    sides = {"h": F.col("__y2") - F.col("__y1"), "w": F.col("__x2") - F.col("__x1"), "nh": F.lit(height).cast("long"), "nw": F.lit(width).cast("long"), "value": F.lit(1).cast("long")}
-    return _bilinear(_cut(d.withColumns(sides)))
+    sides = {"h": F.col("__y2") - F.col("__y1"), "w": F.col("__x2") - F.col("__x1"), "nh": F.lit(height).cast("long"), "nw": F.lit(width).cast("long")}
+    rows = _by_row(_cut(d.withColumns(sides)), F.struct("x_start", "x_end"))
+    n = 2 * width
+    # a run counts fully for middles between its outer cells' middles, and less up to a cell beyond
+    return _summed(rows, lambda i, z: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), z - n * (i["x_start"] - 1), n * i["x_end"] - z)))
 
 
 def mask_values(runs: DataFrame, boxes: DataFrame, height: int = TARGET, width: int = TARGET) -> DataFrame:
@@ -114,17 +132,22 @@ def mask_values(runs: DataFrame, boxes: DataFrame, height: int = TARGET, width:
 
     The sum goes over runs, row by row of the grid; a mask isn't painted. A box without area has no cells.
     """
-    return _shrunk(runs, boxes, height, width).select(*KEYS, "y", "x", (F.col("weight") / (4 * height * width)).alias("value"))
+    flat = _shrunk(runs, boxes, height, width).select(*KEYS, F.col("r").alias("y"), F.posexplode("weights").alias("x", "weight")).filter("weight > 0")
+    return flat.select(*KEYS, "y", F.col("x").cast("long").alias("x"), (F.col("weight") / (4 * height * width)).alias("value"))
 
 
 def mini_masks(runs: DataFrame, boxes: DataFrame, height: int = MINI, width: int = MINI) -> DataFrame:
     """Runs of each mask inside its box on a ``height`` x ``width`` grid: the cells with a value above a half."""
-    return _cell_runs(_shrunk(runs, boxes, height, width).filter(F.col("weight") > 2 * height * width))
+    found = _row_runs(_shrunk(runs, boxes, height, width), lambda v: v > 2 * height * width)
+    return found.select(*KEYS, F.col("r").alias("y"), F.inline("runs"))
 
 
 def expanded(minis: DataFrame, boxes: DataFrame, height: int = MINI, width: int = MINI) -> DataFrame:
     """Runs in the picture of mini-masks put back into their boxes: pixels with a value above a half."""
-    return _placed(minis.select(*KEYS, "y", "x_start", "x_end", F.lit(1).cast("long").alias("value")), boxes, height, width, lambda weight, whole: 2 * weight > whole)
+    in_run = lambda i: F.exists("__runs", lambda r: (i >= r["x_start"]) & (i < r["x_end"]))
+    rows = minis.groupBy(*KEYS, "y").agg(F.collect_list(F.struct("x_start", "x_end")).alias("__runs"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: in_run(i).cast("long"))
+    return _placed(rows.select(*KEYS, "y", values.alias("values")), boxes, height, width, lambda weight, whole: 2 * weight > whole)
 
 
 def unmolded(values: DataFrame, boxes: DataFrame, height: int = TARGET, width: int = TARGET) -> DataFrame:
@@ -132,17 +155,27 @@ def unmolded(values: DataFrame, boxes: DataFrame, height: int = TARGET, width: i
 
     Values are taken to millionths, so that the order of a sum doesn't matter.
     """
-    pieces = values.select(*KEYS, "y", F.col("x").alias("x_start"), (F.col("x") + 1).alias("x_end"), F.round(F.col("value") * 1_000_000).cast("long").alias("value"))
-    return _placed(pieces, boxes, height, width, lambda weight, whole: 2 * weight >= whole * 1_000_000)
+    entry = F.struct(F.col("x").cast("int").alias("x"), F.round(F.col("value") * 1_000_000).cast("long").alias("value"))
+    rows = values.groupBy(*KEYS, "y").agg(F.map_from_entries(F.collect_list(entry)).alias("__cells"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("__cells", i), F.lit(0).cast("long")))
+    return _placed(rows.select(*KEYS, "y", dense.alias("values")), boxes, height, width, lambda weight, whole: 2 * weight >= whole * 1_000_000)
 
 
-def _placed(pieces: DataFrame, boxes: DataFrame, height: int, width: int, kept) -> DataFrame:  # noqa: ANN001
+def _placed(rows: DataFrame, boxes: DataFrame, height: int, width: int, kept) -> DataFrame:  # noqa: ANN001
+    """Runs in the picture of grids, given as rows of ``values``, stretched over their boxes."""
     b = _boxed(boxes).filter("__y2 > __y1 and __x2 > __x1")
     sides = {"h": F.lit(height).cast("long"), "w": F.lit(width).cast("long"), "nh": F.col("__y2") - F.col("__y1"), "nw": F.col("__x2") - F.col("__x1")}
-    cells = _bilinear(pieces.join(b, KEYS).withColumns(sides)).join(b, KEYS)
-    whole = 4 * (F.col("__y2") - F.col("__y1")) * (F.col("__x2") - F.col("__x1"))
-    found = _cell_runs(cells.filter(kept(F.col("weight"), whole)).select(*KEYS, (F.col("y") + F.col("__y1")).alias("y"), (F.col("x") + F.col("__x1")).alias("x")))
-    return found
+    by_row = _by_row(rows.join(b, KEYS).withColumns(sides), F.col("values"), "__y1", "__x1")
+
+    def nearness(values: Column, z: Column) -> Column:
+        x = F.floor(z / (2 * F.col("nw"))).cast("int")
+        right = z - 2 * F.col("nw") * x
+        at = lambda i: F.coalesce(F.get(values, i), F.lit(0).cast("long"))
+        return at(x) * (2 * F.col("nw") - right) + at(x + 1) * right
+
+    whole = 4 * F.col("nh") * F.col("nw")
+    found = _row_runs(_summed(by_row, nearness), lambda v: kept(v, whole))
+    return found.select(*KEYS, (F.col("r") + F.col("__y1")).alias("y"), "__x1", F.inline("runs")).select(*KEYS, "y", *[(F.col(c) + F.col("__x1")).alias(c) for c in ("x_start", "x_end")])
 
 
 def transposed(runs: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorlake.adapters import Views
-from floorlake.operators import matching, pictures, regions
-from floorlake.queries import ISLANDS, PIXELS, query
+from floorlake.operators import masks, matching, pictures, prepare, regions, resample
+from floorlake.queries import ISLANDS, PIXELS, query, rounded
 
 #: Regions of each image's masks together: runs that touch in neighbouring rows reach one another.
 REGIONS = f"""{PIXELS}, own AS ({ISLANDS.format("(SELECT DISTINCT image_id, y, x FROM px)")}), named AS (SELECT *, y * 4294967296 + x_start AS k FROM own),
@@ -151,3 +151,70 @@ SELECT image_id, template_id::BIGINT AS template_id, y, x, round(score, 6) AS sc
 def template_hits(v: Views) -> DataFrame:
     d = matching.template_hits(small_pictures(v), icons(v))
     return d.select("image_id", "template_id", "y", "x", F.round("score", 6).alias("score"))
+
+
+def mask_boxes(v: Views) -> DataFrame:
+    return masks.mask_boxes(v.mask_runs)
+
+
+BOXES = "mb AS (SELECT image_id, det_id, min(y) AS y1, min(x_start) AS x1, max(y) + 1 AS y2, max(x_end) AS x2 FROM mask_runs GROUP BY 1, 2)"
+BY_MASK = "SELECT image_id, det_id, y, min(x) AS x_start, max(x) + 1 AS x_end FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, det_id, y ORDER BY x) AS k FROM {0}) GROUP BY image_id, det_id, y, k"
+
+
+def _shrunk_sql(n: int) -> str:
+    """cells: each mask in its box on a grid of n x n, sampled at four old cells; weight is 4 n n times the value. Fixture masks have one run a row."""
+    middle = "(2 * {0} + 1) * {1} - " + str(n)
+    return f"""{BOXES}, m AS (SELECT r.image_id, r.det_id, y - y1 AS y, x_start - x1 AS a, x_end - x1 AS b, y2 - y1 AS h, x2 - x1 AS w FROM mask_runs r JOIN mb USING (image_id, det_id)),
+t AS (SELECT image_id, det_id, h, w, r, i, floor(({middle.format("r", "h")}) / {2 * n}::DOUBLE)::BIGINT + i AS y FROM (SELECT image_id, det_id, y2 - y1 AS h, x2 - x1 AS w FROM mb), range({n}) rr(r), range(2) ii(i)),
+v AS (SELECT t.image_id, t.det_id, t.w, r, a, b, {2 * n} - abs({middle.format("r", "t.h")} - {2 * n} * t.y) AS wy FROM t JOIN m ON m.image_id = t.image_id AND m.det_id = t.det_id AND m.y = t.y),
+u AS (SELECT image_id, det_id, r, c, wy, a, b, {middle.format("c", "w")} AS z, floor(({middle.format("c", "w")}) / {2 * n}::DOUBLE)::BIGINT AS x FROM v, range({n}) cc(c)),
+cells AS (SELECT image_id, det_id, r AS y, c AS x, sum(wy * (CASE WHEN x >= a AND x < b THEN {2 * n} - (z - {2 * n} * x) ELSE 0 END + CASE WHEN x + 1 >= a AND x + 1 < b THEN z - {2 * n} * x ELSE 0 END)) AS weight FROM u GROUP BY 1, 2, 3, 4)"""
+
+
+def _placed_sql(source: str, n: int, kept: str) -> str:
+    """Runs of grids ``source`` (image_id, det_id, y, x, value) of n x n put into their boxes: every pixel samples four cells."""
+    return f"""p AS (SELECT image_id, det_id, y1, x1, y2 - y1 AS h, x2 - x1 AS w, r, c, (2 * r + 1) * {n} - (y2 - y1) AS fy, (2 * c + 1) * {n} - (x2 - x1) AS fx FROM (SELECT *, unnest(range(y2 - y1)) AS r FROM mb) CROSS JOIN LATERAL (SELECT unnest(range(x2 - x1)) AS c)),
+q AS (SELECT *, floor(fy / (2 * h))::BIGINT + i AS y, floor(fx / (2 * w))::BIGINT + j AS x FROM p, range(2) ii(i), range(2) jj(j)),
+s AS (SELECT q.image_id, q.det_id, r + y1 AS y, c + x1 AS x, h, w, sum((2 * h - abs(fy - 2 * h * q.y)) * (2 * w - abs(fx - 2 * w * q.x)) * s.value) AS weight FROM q JOIN {source} s ON s.image_id = q.image_id AND s.det_id = q.det_id AND s.y = q.y AND s.x = q.x GROUP BY 1, 2, 3, 4, 5, 6),
+kept AS (SELECT image_id, det_id, y, x FROM s WHERE {kept})
+{BY_MASK.format("kept")}"""
+
+
+@query(f"+ {_shrunk_sql(resample.MINI)}, small AS (SELECT image_id, det_id, y, x FROM cells WHERE weight > {2 * resample.MINI**2})\n{BY_MASK.format('small')}")
+def mini_masks(v: Views) -> DataFrame:
+    return resample.mini_masks(v.mask_runs, mask_boxes(v))
+
+
+@query(f"+ {_shrunk_sql(resample.TARGET)}\nSELECT image_id, det_id, y, x, round(weight / {4 * resample.TARGET**2}::DOUBLE, 9) AS value FROM cells WHERE weight > 0")
+def mask_values(v: Views) -> DataFrame:
+    return rounded(resample.mask_values(v.mask_runs, mask_boxes(v)), "value", digits=9)
+
+
+@query(f"+ {_shrunk_sql(resample.MINI)}, small AS (SELECT image_id, det_id, y, x, 1 AS value FROM cells WHERE weight > {2 * resample.MINI**2}),\n{_placed_sql('small', resample.MINI, '2 * weight > 4 * h * w')}")
+def expanded_masks(v: Views) -> DataFrame:
+    return resample.expanded(resample.mini_masks(v.mask_runs, mask_boxes(v)), mask_boxes(v))
+
+
+@query(f"+ {_shrunk_sql(resample.TARGET)}, small AS (SELECT image_id, det_id, y, x, round(weight / {4 * resample.TARGET**2}::DOUBLE * 1000000)::BIGINT AS value FROM cells),\n{_placed_sql('small', resample.TARGET, '2 * weight >= 4000000 * h * w')}")
+def unmolded_masks(v: Views) -> DataFrame:
+    return resample.unmolded(resample.mask_values(v.mask_runs, mask_boxes(v)), mask_boxes(v))
+
+
+@query(f"""+ o AS (SELECT image_id, round_even(1120 * f, 0)::BIGINT AS n FROM (SELECT image_id, 1600 / 1120::DOUBLE AS f FROM images)), s AS (SELECT image_id, o, (2 * o * 1119 + n - 1) // (2 * (n - 1)) AS z FROM (SELECT image_id, n, unnest(range(n)) AS o FROM o)),
+px2 AS (SELECT m.image_id, m.det_id, a.o AS y, b.o AS x FROM mask_runs m JOIN s a ON a.image_id = m.image_id AND a.z = m.y JOIN s b ON b.image_id = m.image_id AND b.z >= m.x_start AND b.z < m.x_end)
+{BY_MASK.format("px2")}""")
+def resized_masks(v: Views) -> DataFrame:
+    return resample.resized(v.mask_runs, v.images, prepare.resize_plan(v.images, min_dim=1600))
+
+
+PIXELS_BY_MASK = "pm AS (SELECT image_id, det_id, y, unnest(range(x_start, x_end)) AS x FROM mask_runs)"
+
+
+@query(f"+ {PIXELS_BY_MASK}, tp AS (SELECT image_id, det_id, x AS y, y AS x FROM pm)\n{BY_MASK.format('tp')}")
+def transposed_masks(v: Views) -> DataFrame:
+    return resample.transposed(v.mask_runs)
+
+
+@query(f"+ {PIXELS_BY_MASK}, tp AS (SELECT image_id, det_id, 1119 - x AS y, y AS x FROM pm)\n{BY_MASK.format('tp')}")
+def turned_masks(v: Views) -> DataFrame:
+    return resample.turned(v.mask_runs, v.images, 1)
