@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floorlake.adapters import Views
 from floorlake.operators import masks, matching, pictures, prepare, regions, resample
-from floorlake.queries import ISLANDS, PIXELS, query, rounded
+from floorlake.queries import ISLANDS, PIXELS, query
 
 #: Regions of each image's masks together: runs that touch in neighbouring rows reach one another.
 REGIONS = f"""{PIXELS}, own AS ({ISLANDS.format("(SELECT DISTINCT image_id, y, x FROM px)")}), named AS (SELECT *, y * 4294967296 + x_start AS k FROM own),
@@ -185,9 +185,12 @@ def mini_masks(v: Views) -> DataFrame:
     return resample.mini_masks(v.mask_runs, mask_boxes(v))
 
 
-@query(f"+ {_shrunk_sql(resample.TARGET)}\nSELECT image_id, det_id, y, x, round(weight / {4 * resample.TARGET**2}::DOUBLE, 9) AS value FROM cells WHERE weight > 0")
+@query(f"""+ {_shrunk_sql(resample.TARGET)}
+SELECT image_id, det_id, y, string_agg(x || ':' || round(weight / {4 * resample.TARGET**2}::DOUBLE * 1000000)::BIGINT, ' ' ORDER BY x) AS cells FROM cells WHERE weight > 0 GROUP BY 1, 2, 3""")
 def mask_values(v: Views) -> DataFrame:
-    return rounded(resample.mask_values(v.mask_runs, mask_boxes(v)), "value", digits=9)
+    d = resample.mask_values(v.mask_runs, mask_boxes(v)).withColumn("millionths", F.round(F.col("value") * 1_000_000).cast("long"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("x", "millionths"))), lambda c: F.concat_ws(":", c["x"], c["millionths"]))
+    return d.groupBy("image_id", "det_id", "y").agg(F.array_join(cells, " ").alias("cells"))
 
 
 @query(f"+ {_shrunk_sql(resample.MINI)}, small AS (SELECT image_id, det_id, y, x, 1 AS value FROM cells WHERE weight > {2 * resample.MINI**2}),\n{_placed_sql('small', resample.MINI, '2 * weight > 4 * h * w')}")
