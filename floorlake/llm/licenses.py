@@ -57,8 +57,10 @@ def scan_words(text: Column) -> Column:
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
+    """The phrases and notices above as a table of literals."""
     rows = [(label, text, True) for label, text in PHRASES] + [(label, text, False) for label, text in NOTICES]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], TEMPLATES)
+    one = lambda i, r: F.struct(F.lit(i).alias("template_id"), *[F.lit(v).alias(c) for c, v in zip(("label", "text", "phrase"), r, strict=True)])
+    return spark.range(1).select(F.inline(F.array(*[one(i, r) for i, r in enumerate(rows)])))
 
 
 def count_words(text: Column) -> Column:
