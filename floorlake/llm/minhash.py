@@ -97,7 +97,7 @@ def known_nodes(members: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def bayes_pruned(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) that no batch of signature values gave up and whose set sizes allow the similarity."""
+    """u, v, nu, nv of the pairs that no batch of signature values gave up and whose set sizes allow the similarity."""
 
     @F.pandas_udf("boolean")
     def keeps(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -105,7 +105,7 @@ def bayes_pruned(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) ->
 
     side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
     sized = pairs.join(side("u"), "u").join(side("v"), "v").filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    return sized.filter(keeps("su", "sv")).select("u", "v")
+    return sized.filter(keeps("su", "sv")).select("u", "v", "nu", "nv")
 
 
 def _texts_of(nodes: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
@@ -129,16 +129,36 @@ def _sets(nodes: DataFrame, known: DataFrame, docs: DataFrame, n: int) -> DataFr
 
 
 def exact_links(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose whole shingle sets have the similarity; no set goes through Python a second time."""
-    nodes = staged(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
-    made = _sets(nodes, known, docs, n)
-    joined = pairs.join(made.toDF("u", "su"), "u").join(made.toDF("v", "sv"), "v")
-    both = F.size(F.array_intersect("su", "sv"))
-    return joined.filter(both * 100 >= (F.size("su") + F.size("sv") - both) * percent).select("u", "v")
+    """The pairs, smaller node first, whose whole shingle sets have the similarity.
+
+    The partners of a ``u`` are dealt into parts by their sets' sizes, a part at least four times as large as the set of ``u``,
+    which is sent to each part and sorted ahead of the partners' sets. So no row holds two sets, a much-named ``u`` is
+    no single key, and a task holds one set and a batch of others.
+    """
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.empty(0, np.int64)
+        for b in batches:
+            out = []
+            for u, v, s in zip(b["u"], b["v"], b["shingles"], strict=True):
+                if u == v:
+                    held = s.copy()
+                elif shingles.jaccard_at_least(held, s, percent):
+                    out.append((min(u, v), max(u, v)))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    made = _sets(staged(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes"), known, docs, n)
+    room = F.greatest(F.lit(BLOCK_SHINGLES), 4 * F.max("nu"))
+    parts = staged(pairs.groupBy("u").agg(F.ceil(F.sum("nv") / room).alias("parts")), "parts")
+    dealt = pairs.join(broadcast_if_small(parts), "u").select("u", F.pmod(F.xxhash64(F.lit(5), "v"), "parts").alias("part"), "v")
+    every = parts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("u").alias("v"))
+    sets = dealt.union(every).join(made.toDF("v", "shingles"), "v")
+    ordered = sets.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v") != F.col("u"))
+    return ordered.select("u", "v", "shingles").mapInPandas(compare, "u long, v long").distinct()
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
-    """One pair a node: with the centre of one of its buckets, the member that shares most buckets with others, so the text that a group of copies was made from.
+    """One pair (centre, node) a node: with the centre of one of its buckets, the member that shares most buckets with others, so the text that a group of copies was made from.
 
     What buckets are joined with is staged, here and below: a small table is broadcast, and with a large one Spark can split a hot bucket.
     """
@@ -147,7 +167,7 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     best = members.join(shared, "node").groupBy("band").agg(F.max(F.struct("shared", "node")).alias("c"))
     centres = staged(best.select("band", F.col("c.node").alias("centre")), "centres")
     one = members.join(broadcast_if_small(centres), "band").filter("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
-    return one.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    return one.select(F.col("centre").alias("u"), F.col("node").alias("v"))
 
 
 def _own_shingles(members: DataFrame, known: DataFrame, docs: DataFrame, n: int) -> DataFrame:

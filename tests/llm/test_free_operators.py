@@ -117,6 +117,34 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert kept == {i for i in range(len(texts)) if want[i] == i}
 
 
+def test_many_near_copies_of_one_text(spark):
+    r = random.Random(8)
+    words = sentence(r, 60).split()
+    texts = [" ".join(words)] + [" ".join([*words[:k], f"new{i}", *words[k + 1 :]]) for i, k in enumerate(r.choices(range(1, 4), k=10_000))]
+    texts += [" ".join([*words, f"more{i}"]) for i in range(10_000)]
+    got = minhash.near_duplicates(docs_of(spark, [*texts, sentence(r, 60)])).orderBy("doc_id").collect()
+    assert {x["component_id"] for x in got[:-1]} == {0} and [x["doc_id"] for x in got if x["kept"]] == [0, len(texts)]
+
+
+@pytest.mark.parametrize("block", [60, 1 << 18])
+def test_exact_links_in_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    r = random.Random(9)
+    words = sentence(r, 30).split()
+    texts = [" ".join(words)] + [" ".join([*words[: 30 - k], *sentence(r, k).split()]) for k in range(12) for _ in range(4)]
+    signs = minhash.signed(docs_of(spark, texts), 5)
+    rows = {x["doc_id"]: x for x in signs.collect()}
+    known = spark.createDataFrame([(x["node"], i, x["n_shingles"], x["signature"]) for i, x in rows.items()], "node long, rep long, n long, signature binary").dropDuplicates(["node"])
+    size = lambda i: rows[i]["n_shingles"]
+    named = [(u, v) for u in (0, 5) for v in range(len(texts)) if texts[u] != texts[v]]
+    pairs = spark.createDataFrame([(rows[u]["node"], rows[v]["node"], size(u), size(v)) for u, v in named], "u long, v long, nu long, nv long")
+    cut = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {tuple(sorted((rows[u]["node"], rows[v]["node"]))) for u, v in named if near(cut(texts[u]), cut(texts[v]))}
+    got = minhash.exact_links(pairs, known, docs_of(spark, texts), 5).collect()
+    assert len(got) == len(want) > 3 and {tuple(x) for x in got} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = "one two three four five six seven"
     d = docs_of(spark, ["other words entirely here, not those", text]).union(spark.createDataFrame([(None, text, "x", "y"), (None, "alone with no id at all", "x", "y"), (1, text, "x", "y")], DOCS))
