@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorlake.adapters import Views
-from floorlake.operators import masks, matching, pictures, prepare, regions, resample
-from floorlake.queries import ISLANDS, PIXELS, query
+from floorlake.operators import descriptors, masks, matching, pictures, prepare, regions, resample
+from floorlake.queries import ISLANDS, PIXELS, query, rounded
 
 #: Regions of each image's masks together: runs that touch in neighbouring rows reach one another.
 REGIONS = f"""{PIXELS}, own AS ({ISLANDS.format("(SELECT DISTINCT image_id, y, x FROM px)")}), named AS (SELECT *, y * 4294967296 + x_start AS k FROM own),
@@ -153,6 +153,90 @@ def template_hits(v: Views) -> DataFrame:
     return d.select("image_id", "template_id", "y", "x", F.round("score", 6).alias("score"))
 
 
+#: Key points of two icons of 20 points each, by point i of icon t: a place and 16 words of 16 bits.
+ICON_X, ICON_Y = "(i * 37 + t * 11) % 61", "(i * 23 + t * 29) % 53"
+
+
+def _word(b: int) -> str:
+    root = f"(i * 40503 + {b * 30011} + t * 9973 + 17)"
+    return f"{root} * {root} % 65521"
+
+
+def _seen(b: int, xor: str) -> str:
+    """A word as a picture shows it: a bit is off here and there, one of each word's at some points, two at others."""
+    off = f"cast(case when e % 13 = 0 then 1 when e % 17 = 0 then 3 when (e + {b}) % 7 = 0 then pow(2, e % 16) else 0 end as int)"
+    return xor.format(f"cast({_word(b)} as int)", off)
+
+
+#: Event e shows point i of icon t, or, for i of 40 and more, none of them.
+SHOWN = "(CASE WHEN e * 7919 % 43 < 40 THEN e * 7919 % 43 // 20 ELSE 9 END)"
+PLACED = {
+    "x": f"cast(CASE WHEN t = 9 OR e % 11 = 0 THEN e * 131 % 900 ELSE 100 + image_id % 50 + 300 * t + 1.5 * ({ICON_X}) - 0.25 * ({ICON_Y}) + e % 3 - 1 END as double)",
+    "y": f"cast(CASE WHEN t = 9 OR e % 11 = 0 THEN e * 173 % 900 ELSE 60 + image_id % 70 + 0.25 * ({ICON_X}) + 1.5 * ({ICON_Y}) + 0.5 * (e % 5) - 1 END as double)",
+}
+
+
+def icon_points(v: Views) -> DataFrame:
+    d = v.images.sparkSession.range(40).selectExpr("id div 20 t", "id % 20 i")
+    return d.selectExpr("t template_id", "i t_id", f"cast({ICON_X} as double) x", f"cast({ICON_Y} as double) y", f"array({', '.join(f'cast({_word(b)} as int)' for b in range(16))}) words")
+
+
+def picture_points(v: Views) -> DataFrame:
+    d = v.events.selectExpr("image_id", "e", f"{SHOWN.replace('//', 'div')} t").selectExpr("*", "if(t = 9, e, e * 7919 % 43 % 20) i")
+    return d.selectExpr("image_id", "e p_id", *[f"{x} {c}" for c, x in PLACED.items()], f"array({', '.join(_seen(b, '({} ^ {})') for b in range(16))}) words")
+
+
+def icon_kinds(v: Views) -> DataFrame:
+    return v.images.sparkSession.range(2).selectExpr("id template_id", "cast(4 + id as int) class_id", "53L h", "61L w")
+
+
+MATCHES = f"""tp AS (SELECT t AS template_id, i AS t_id, ({ICON_X})::DOUBLE AS tx, ({ICON_Y})::DOUBLE AS ty, [{", ".join(f"({_word(b)})::INT" for b in range(16))}] AS tw FROM range(2) a(t), range(20) b(i)),
+shown AS (SELECT *, CASE WHEN t = 9 THEN e ELSE e * 7919 % 43 % 20 END AS i FROM (SELECT image_id, det_id AS e, {SHOWN} AS t FROM detections)),
+pp AS (SELECT image_id, e AS p_id, {PLACED["x"]} AS px, {PLACED["y"]} AS py, [{", ".join(_seen(b, "xor({}, {})") for b in range(16))}] AS pw FROM shown),
+every AS (SELECT image_id, template_id, t_id, p_id, tx, ty, px, py, {" + ".join(f"bit_count(xor(tw[{k}], pw[{k}]))::INT" for k in range(1, 17))} AS distance FROM pp, tp),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, template_id, t_id ORDER BY distance, p_id) AS a, row_number() OVER (PARTITION BY image_id, template_id, p_id ORDER BY distance, t_id) AS b FROM every),
+matched AS (SELECT image_id, template_id, t_id, p_id, distance, tx, ty, px, py FROM ranked WHERE a = 1 AND b = 1 AND distance <= 31)"""
+
+
+@query(f"+ {MATCHES}\nSELECT image_id, template_id, t_id, p_id, distance::INT AS distance, tx, ty, px, py FROM matched")
+def descriptor_matches(v: Views) -> DataFrame:
+    return descriptors.descriptor_matches(picture_points(v), icon_points(v))
+
+
+def _area(a: str, b: str, c: str, s: str) -> str:
+    return f"(({b}.{s}x - {a}.{s}x) * ({c}.{s}y - {a}.{s}y) - ({c}.{s}x - {a}.{s}x) * ({b}.{s}y - {a}.{s}y))"
+
+
+CORNERS = {"0": ("m3", "m1", "m2"), "1": ("m0", "m3", "m2"), "2": ("m0", "m1", "m3"), "3": ("m0", "m1", "m2")}
+AREAS = ", ".join(f"{_area(*abc, s)} AS {s}{k}" for s in "tp" for k, abc in CORNERS.items())
+SOUND = " AND ".join([f"abs({s}{k}) >= 1" for s in "tp" for k in range(4)] + [f"sign(t{k} * p{k}) = sign(t3 * p3)" for k in range(3)])
+LINES = [(f"(m{a}.ty - m{b}.ty)", f"(m{b}.tx - m{a}.tx)", f"(m{a}.tx * m{b}.ty - m{b}.tx * m{a}.ty)") for a, b in ((1, 2), (2, 0), (0, 1))]
+ENTRIES = ", ".join(" + ".join(f"{end.format(k)} * (p{k} / t{k}) * {LINES[k][c]}" for k in range(3)) + f" AS h{r}{c}" for r, end in enumerate(("m{}.px", "m{}.py", "1.0::DOUBLE")) for c in range(3))
+ROW = "(h{0}0 * {1} + h{0}1 * {2} + h{0}2)"
+
+
+def _at(r: int, x: str, y: str) -> str:
+    return f"{ROW.format(r, x, y)} / (CASE WHEN abs({ROW.format(2, x, y)}) > 1e-9 THEN {ROW.format(2, x, y)} END)"
+
+
+def _outer(f: str, r: int) -> str:
+    return f"{f}(" + ", ".join(_at(r, x, y) for x in ("0", "61") for y in ("0", "53")) + ")"
+
+
+@query(f"""+ {MATCHES}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, template_id ORDER BY distance, t_id) AS place FROM matched) WHERE place <= 50),
+lists AS (SELECT image_id, template_id, count(*) AS n, list({{'tx': tx, 'ty': ty, 'px': px, 'py': py}} ORDER BY place) AS m FROM top GROUP BY 1, 2 HAVING count(*) >= 15),
+steps AS (SELECT k AS h, [((k * 4 + s) * 48271 % 2147483647) * ((k * 4 + s) * 48271 % 2147483647) % 2147483647 // 64 for s in [1, 2, 3, 4]] AS d FROM range(500) r(k)),
+tried AS (SELECT image_id, template_id, n, h, m[d[1] % n + 1] AS m0, m[d[2] % n + 1] AS m1, m[d[3] % n + 1] AS m2, m[d[4] % n + 1] AS m3 FROM lists, steps),
+turned AS (SELECT *, {AREAS} FROM tried), maps AS (SELECT image_id, template_id, n, h, {ENTRIES} FROM turned WHERE {SOUND}),
+off AS (SELECT g.*, ({_at(0, "tx", "ty")} - px) ** 2 + ({_at(1, "tx", "ty")} - py) ** 2 AS e FROM maps g JOIN top USING (image_id, template_id)),
+agreed AS (SELECT image_id, template_id, h, count(*) FILTER (e <= 25) AS score, round(coalesce(sum(e) FILTER (e <= 25), 0), 3) AS error FROM off GROUP BY 1, 2, 3),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, template_id ORDER BY score DESC, error, h) AS place FROM agreed) WHERE place = 1),
+boxes AS (SELECT image_id, template_id, n, score, {_outer("least", 1)} AS y1, {_outer("least", 0)} AS x1, {_outer("greatest", 1)} AS y2, {_outer("greatest", 0)} AS x2 FROM best JOIN maps USING (image_id, template_id, h) WHERE score >= 5 AND score >= 0.25 * n)
+SELECT image_id, template_id, (4 + template_id)::INT AS class_id, n::INT AS n_matches, score::DOUBLE AS score, round(y1, 3) AS y1, round(x1, 3) AS x1, round(y2, 3) AS y2, round(x2, 3) AS x2 FROM boxes WHERE x2 - x1 BETWEEN 10 AND 200 AND y2 - y1 BETWEEN 10 AND 200""")
+def descriptor_icons(v: Views) -> DataFrame:
+    return rounded(descriptors.icons_by_descriptors(picture_points(v), icon_points(v), icon_kinds(v)), "y1", "x1", "y2", "x2", digits=3)
+
+
 def mask_boxes(v: Views) -> DataFrame:
     return masks.mask_boxes(v.mask_runs)
 
