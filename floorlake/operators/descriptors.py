@@ -120,13 +120,14 @@ def icons_by_descriptors(points: DataFrame, templates: DataFrame, kinds: DataFra
     t, p = ([F.col(f"{s}_turns")[k] for k in range(4)] for s in "tp")
     sound = reduce(lambda a, b: a & b, [F.abs(x) >= 1 for x in (*t, *p)])
     same = reduce(lambda a, b: a & b, [F.signum(t[k] * p[k]) == F.signum(t[3] * p[3]) for k in range(3)])
-    tried = tried.filter(sound & same).withColumn("map", _projection(m, t, p))
+    # no filter here: Spark would move it down and copy all that its columns are made of into it, once a reference
+    tried = tried.withColumn("map", F.when(sound & same, _projection(m, t, p)))
 
     def squared(x: Column) -> Column:
         at = _mapped(F.col("map"), x["tx"], x["ty"])
         return (at[0] - x["px"]) * (at[0] - x["px"]) + (at[1] - x["py"]) * (at[1] - x["py"])
 
-    tried = tried.withColumn("errors", F.filter(F.transform("matches", squared), lambda e: e <= REACH * REACH))
+    tried = tried.withColumn("errors", F.when(F.col("map").isNotNull(), F.filter(F.transform("matches", squared), lambda e: e <= REACH * REACH)))
     error = F.round(F.aggregate("errors", F.lit(0.0), lambda a, e: a + e), 3)
     chosen = tried.groupBy(*keys).agg(F.max("n").alias("n_matches"), F.max_by("map", F.struct(F.size("errors"), -error, -F.col("hypothesis"))).alias("map"), F.max(F.size("errors")).alias("score"))
     chosen = chosen.filter((F.col("score") >= LEAST_INLIERS) & (F.col("score") >= LEAST_SHARE * F.col("n_matches")))
