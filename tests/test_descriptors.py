@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from floorlake import picture_queries
+from floorlake.adapters import Views
 from floorlake.operators import descriptors
 
 POINTS = "image_id long, p_id long, x double, y double, words array<int>"
@@ -97,3 +99,16 @@ def test_words_of_bytes(spark):
     w = words(r)
     raw = bytearray(b"".join(x.to_bytes(2, "big") for x in w))
     assert spark.createDataFrame([(raw,)], "d binary").select(descriptors.words_of(F.col("d")).alias("w")).first()["w"] == w
+
+
+def test_words_of_points_with_large_numbers(spark, tmp_path):
+    # the square of such a point's number is beyond a long
+    found = [10**9 + k for k in range(43)]
+    rows = [(e, 1, "view") for e in found]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["p_id"]: r["words"] for r in picture_queries.picture_points(Views(spark, str(tmp_path))).collect()}
+    for e in found:
+        shown = e * 7919 % 43
+        t, i = (shown // 20, shown % 20) if shown < 40 else (9, e)
+        off = [1 if e % 13 == 0 else 3 if e % 17 == 0 else 1 << e % 16 if (e + b) % 7 == 0 else 0 for b in range(16)]
+        assert got[e] == [(i * 40503 + b * 30011 + t * 9973 + 17) ** 2 % 65521 ^ off[b] for b in range(16)]
