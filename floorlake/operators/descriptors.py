@@ -108,7 +108,10 @@ def icons_by_descriptors(points: DataFrame, templates: DataFrame, kinds: DataFra
     """
     keys = ["image_id", "template_id"]
     best = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "t_id"))
-    top = descriptor_matches(points, templates, most).withColumn("place", best).filter(F.col("place") <= MOST_MATCHES)
+    matches = descriptor_matches(points, templates, most)
+    # as many tasks as the session has: adaptive execution would put the few bytes of costly hypotheses into one
+    dealt = matches.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    top = dealt.withColumn("place", best).filter(F.col("place") <= MOST_MATCHES)
     d = lambda c: F.col(c).cast("double").alias(c)
     lists = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", d("tx"), d("ty"), d("px"), d("py")))).alias("matches"))
     lists = lists.filter(F.size("matches") >= LEAST_MATCHES)

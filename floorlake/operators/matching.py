@@ -105,7 +105,8 @@ def template_hits(pixels: DataFrame, templates: DataFrame, threshold: float = TH
         cells = templates.select("template_id", F.col("y").alias("dy"), F.col("x").alias("dx"), F.col("value").alias("t"))
         looked = places.join(broadcast_if_small(cells), "template_id").select("*", (F.col("y") + F.col("dy")).alias("py"), (F.col("x") + F.col("dx")).alias("px"))
         p = pixels.select(F.col("image_id").alias("__image"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("value").alias("v"))
-        met = looked.join(p, (F.col("image_id") == F.col("__image")) & (F.col("py") == F.col("__y")) & (F.col("px") == F.col("__x")))
+        # Spark takes exploded pixels for as small as what they come from and would broadcast them
+        met = looked.join(p.hint("merge"), (F.col("image_id") == F.col("__image")) & (F.col("py") == F.col("__y")) & (F.col("px") == F.col("__x")))
         product = F.sum((F.col("t") - F.col("mean")) * F.col("v"))
         scored = met.groupBy("image_id", "template_id", "y", "x", "h", "w", "energy", "window").agg(product.alias("product"))
         hits = scored.withColumn("score", F.col("product") / F.sqrt(F.col("energy") * F.col("window"))).filter(F.col("score") >= threshold)

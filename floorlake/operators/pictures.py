@@ -15,6 +15,14 @@ from floorlake.operators.masks import dilate_runs, except_runs
 from floorlake.staging import broadcast_if_small
 
 
+def by_picture(df: DataFrame) -> DataFrame:
+    """``df`` dealt by image_id over as many tasks as the session shuffles to, so that windows and groups inside a picture need no shuffle.
+
+    Adaptive execution would size tasks by the few bytes of what is yet to become pixels.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+
+
 def _along(fixed: str, moving: str):  # noqa: ANN202
     return Window.partitionBy("image_id", fixed).orderBy(moving)
 
@@ -43,7 +51,8 @@ def box_means(table: DataFrame, boxes: DataFrame, images: DataFrame) -> DataFram
     pixels = F.greatest(F.col("y2") - F.col("y1"), F.lit(0)) * F.greatest(F.col("x2") - F.col("x1"), F.lit(0))
     corner = lambda y, x, sign: F.struct((F.col(y) - 1).alias("y"), (F.col(x) - 1).alias("x"), F.lit(sign).alias("sign"))
     at = d.select("image_id", "box_id", pixels.alias("pixels"), F.inline(F.array(corner("y2", "x2", 1), corner("y1", "x2", -1), corner("y2", "x1", -1), corner("y1", "x1", 1))))
-    met = at.join(table.select("image_id", "y", "x", "value_total"), ["image_id", "y", "x"], "left")
+    # Spark takes exploded pixels for as small as what they come from and would broadcast them
+    met = at.join(table.select("image_id", "y", "x", "value_total").hint("merge"), ["image_id", "y", "x"], "left")
     out = met.groupBy("image_id", "box_id", "pixels").agg(F.coalesce(F.sum(F.col("sign") * F.col("value_total")), F.lit(0)).alias("total"))
     return out.withColumn("total", F.when(F.col("pixels") > 0, F.col("total")).otherwise(0)).withColumn("mean", F.try_divide("total", "pixels"))
 
@@ -185,6 +194,7 @@ def equalised(pixels: DataFrame, images: DataFrame, clip: float = 3.0, tiles: in
 
     by_row = sides.select("image_id", "y", "x", "value", F.explode(pair("fy")).alias("b"), pair("fx").alias("a"))
     four = by_row.select("image_id", "y", "x", "value", F.col("b.t").alias("ty"), F.col("b.share").alias("sy"), F.explode("a").alias("a")).select("image_id", "y", "x", "value", "ty", F.col("a.t").alias("tx"), (F.col("sy") * F.col("a.share")).alias("share"))
-    met = four.join(mapped, ["image_id", "ty", "tx", "value"])
+    # 256 values a tile, which Spark takes for as few bytes as their pictures had
+    met = four.join(mapped.hint("merge"), ["image_id", "ty", "tx", "value"])
     # summed in a whole number of parts, so that the order of the four doesn't matter
     return met.groupBy("image_id", "y", "x").agg(F.bround(F.sum(F.round(F.col("share") * F.col("to") * 1e6).cast("long")) / 1e6).cast("int").alias("value"))
