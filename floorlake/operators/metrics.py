@@ -154,7 +154,8 @@ def wall_insights(walls: DataFrame, junctions: DataFrame, images: DataFrame) ->
     long_wall = F.col("length") > F.col("mean") * 1.5
     o = F.col("orientation")
     w = walls.join(means, "image_id").groupBy("image_id").agg(
-        F.stddev_pop(F.when(F.col("thickness") > 0, F.col("thickness"))).alias("spread"),
+        # rounded, so that the order of rows doesn't decide on which side of 2 a spread of 2 lies
+        F.round(F.stddev_pop(F.when(F.col("thickness") > 0, F.col("thickness"))), 9).alias("spread"),
         F.count_if(long_wall).alias("long"),
         F.count_if(F.col("start_junction").isNull() & F.col("end_junction").isNull()).alias("alone"),
         F.count_if((o <= 30) | (o >= 150)).alias("h"),
