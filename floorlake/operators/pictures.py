@@ -15,14 +15,6 @@ from floorlake.operators.masks import dilate_runs, except_runs
 from floorlake.staging import broadcast_if_small
 
 
-def by_picture(df: DataFrame) -> DataFrame:
-    """``df`` dealt by image_id over as many tasks as the session shuffles to, so that windows and groups inside a picture need no shuffle.
-
-    Adaptive execution would size tasks by the few bytes of what is yet to become pixels.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
-
-
 def _along(fixed: str, moving: str):  # noqa: ANN202
     return Window.partitionBy("image_id", fixed).orderBy(moving)
 
