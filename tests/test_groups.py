@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from floorlake import staging
-from floorlake.operators import regions
+from floorlake.operators import raster, regions
 
 
 def test_groups_are_whole_and_share_calls(spark):
@@ -15,7 +15,7 @@ def test_groups_are_whole_and_share_calls(spark):
         n = len(staging.group_starts(c, ["g"]))
         first = staging.group_starts(c, ["g"])
         assert (np.diff(c["g"]) >= 0).all()
-        return pa.RecordBatch.from_pydict({"g": c["g"][first], "n": np.diff(np.append(first, len(c["g"]))), "groups": np.full(n, n)})
+        yield pa.RecordBatch.from_pydict({"g": c["g"][first], "n": np.diff(np.append(first, len(c["g"]))), "groups": np.full(n, n)})
 
     key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     sizes = {g: sum(r[0] == g for r in rows) for g in range(40)}
@@ -46,3 +46,41 @@ def test_least_linked_of_many_sets():
                 want[a] = want[b] = min(want[a], want[b])
         assert regions.least_linked(n, u, v).tolist() == want
     assert (regions.least_linked(5000, np.arange(4999), np.arange(1, 5000)) == 0).all()
+
+
+def test_groups_stay_whole_after_a_join_on_their_keys(spark):
+    d = spark.createDataFrame([(g, k) for g in range(40) for k in range(5)], "g long, k long").hint("merge")
+    joined = d.join(spark.createDataFrame([(g,) for g in range(40)], "g long"), "g", "left_semi")
+    got = staging.by_groups(joined, ["g"], ["k"], lambda c: [], "g long")
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regions_on_one_sheet_are_solved_as_alone():
+    draw, runs = np.random.default_rng(5), []
+    for g in range(30):
+        m = np.zeros((70, 70), bool)
+        for _ in range(4):
+            y, x, h = draw.integers(5, 40, 3) + (0, 0, 10)
+            m[y : y + 9, x : min(x + h, 65)] = True
+            m[x : min(x + h, 65), y : y + 7] = True
+        m = raster.largest_component(m)
+        for y in range(70):
+            edges = np.flatnonzero(np.diff(np.pad(m[y], 1).astype(np.int8)))
+            runs += [(g // 7, g, y + 200 * (g % 3), a - 30, b - 30) for a, b in zip(edges[::2], edges[1::2])]
+    d = dict(zip(("image_id", "region", "y", "x_start", "x_end"), (np.array(c) for c in zip(*runs))))
+
+    def solved(d, cleaned):
+        out, seen = [], 0
+        for sheet, first in raster.sheets(d, ["image_id", "region"], 4):
+            out += raster._sheet_parts(sheet, d["image_id"][first], d["region"][first], [(600, 600)] * len(first), cleaned).to_pylist()
+            seen = max(seen, len(first))
+            at = np.flatnonzero(sheet.full)
+            for k in range(len(first)):
+                alone = sheet.own(sheet.full, k)
+                assert (raster.depths(sheet.full, at[sheet.owner.ravel()[at] == k]) == raster.distances(alone)[alone]).all()
+        return out, seen
+
+    for cleaned in (True, False):
+        got, together = solved(d, cleaned)
+        alone = [solved({c: v[d["region"] == g] for c, v in d.items()}, cleaned)[0][0] for g in range(30)]
+        assert got == alone and together > 1 and any(len(r["segments"]) > 1 for r in got)
