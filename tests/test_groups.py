@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from floorlake import staging
-from floorlake.operators import raster, regions
+from floorlake.operators import raster, regions, texts
 
 
 def test_groups_are_whole_and_share_calls(spark):
@@ -84,3 +84,36 @@ def test_regions_on_one_sheet_are_solved_as_alone():
         got, together = solved(d, cleaned)
         alone = [solved({c: v[d["region"] == g] for c, v in d.items()}, cleaned)[0][0] for g in range(30)]
         assert got == alone and together > 1 and any(len(r["segments"]) > 1 for r in got)
+
+
+def test_texts_of_many_images_share_calls_and_none_is_lost(spark):
+    draw = np.random.default_rng(8)
+    words = ["formal", "dining", "room", "bath", "master", "Bedroom", "Bedrom", "x", None, "@@"]
+    rows = [(g, k, words[draw.integers(10)], float(x), float(y), float(x + 9), float(y + 5), float(draw.integers(100)) / 100, None) for g in range(12) for k, (x, y) in enumerate(draw.integers(0, 160, (1 + 40 * g, 2)))]
+    d = spark.createDataFrame(rows, texts.SCHEMA)
+
+    def plain(rows, near, like):
+        used, groups = set(), []
+        for i in range(len(rows)):
+            if i not in used and like(rows[i], rows[i]) is not None:
+                groups.append([i, *(j for j in range(i + 1, len(rows)) if j not in used and near(rows[i], rows[j]) and like(rows[i], rows[j]))])
+                used |= set(groups[-1])
+        return groups
+
+    centre = lambda r: ((r[3] + r[5]) / 2, (r[4] + r[6]) / 2)
+    apart = lambda a, b: (abs(centre(a)[0] - centre(b)[0]), abs(centre(a)[1] - centre(b)[1]))
+    text = lambda r: (r[2] or "").strip().lower()
+    joins = lambda a, b: len(text(a)) > 1 and len(text(b)) > 1 and texts._joins(text(a), text(b))
+    same = lambda a, b: texts._same_label(text(a), text(b)) if len(text(a)) > 1 and text(a).isalnum() else None
+    merged, clustered = [], []
+    for g in range(12):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[4], r[3], r[1]))
+        merged += [(g, own[p[0]][1], len(p)) for p in plain(own, lambda a, b: apart(a, b)[0] < 150 and apart(a, b)[1] < 30, joins)]
+        own = sorted(own, key=lambda r: r[1])
+        parts = plain(own, lambda a, b: sum(v * v for v in apart(a, b)) < 900, same)
+        clustered += [(g, own[max(p, key=lambda k: (own[k][7], len(own[k][2] or "")))][1]) for p in parts]
+    got = [(r["image_id"], r["region_id"], len(r["text"].split()) if "+" in (r["method"] or "") or " " in (r["text"] or "") else 1) for r in texts.merge_regions(d).collect()]
+    assert sorted(got) == sorted(merged) and any(n > 2 for *_, n in merged)
+    assert sorted((r["image_id"], r["region_id"]) for r in texts.cluster_regions(d).collect()) == sorted(clustered)
+    for f in (texts.merge_regions, texts.cluster_regions):
+        assert "FlatMapGroupsInPandas" not in f(d)._jdf.queryExecution().executedPlan().toString()
