@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from floorlake import picture_queries, queries
 from floorlake.adapters import Views
-from floorlake.operators import masks, metrics
+from floorlake.operators import masks, matching, metrics
 
 IMAGES = "image_id long, width double, height double"
 
@@ -61,3 +61,12 @@ def test_a_spread_of_two_is_no_matter_of_order(spark):
             got = metrics.wall_insights(walls, junctions, walls.select("image_id").distinct()).select(F.explode("insights").alias("i"))
             said |= {r["i"] for r in got.collect() if "thickness" in r["i"]}
     assert said == {"Variable wall thickness detected - may indicate different wall types"}
+
+
+def test_templates_meet_pixels_without_a_broadcast_of_these(spark):
+    pixels = spark.createDataFrame([(1, y, x, (y * 5 + x * 3) % 17 * 10) for y in range(6) for x in range(6)], "image_id long, y long, x long, value long")
+    templates = spark.createDataFrame([(1, y, x, (y * 5 + x * 3) % 17 * 10) for y in range(3) for x in range(3)], "template_id long, y long, x long, value long")
+    found = matching.template_hits(pixels, templates)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in text.splitlines() if "BroadcastHashJoin" in line and "__y" in line] and "SortMergeJoin" in text
+    assert (1, 0, 0) in [(r["template_id"], r["y"], r["x"]) for r in found.collect()]
