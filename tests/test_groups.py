@@ -117,3 +117,13 @@ def test_texts_of_many_images_share_calls_and_none_is_lost(spark):
     assert sorted((r["image_id"], r["region_id"]) for r in texts.cluster_regions(d).collect()) == sorted(clustered)
     for f in (texts.merge_regions, texts.cluster_regions):
         assert "FlatMapGroupsInPandas" not in f(d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_an_image_are_one_group(spark):
+    rows = [(g, k, t, 9.0 * k, 5.0, 9.0 * k + 8, 9.0, 0.5, "original") for g in (1, None) for k, t in enumerate(("dining", "room", "Kitchen"))]
+    d = spark.createDataFrame(rows, texts.SCHEMA)
+    got = {(r["image_id"], r["region_id"], r["text"]) for r in texts.merge_regions(d).collect()}
+    assert got == {(g, k, t) for g in (1, None) for k, t in ((0, "dining room"), (2, "Kitchen"))}
+    runs = spark.createDataFrame([(g, y, 0, 5) for g in (1, None) for y in (3, 4, 9)], "image_id long, y long, x_start long, x_end long")
+    named = {(r["image_id"], r["y"], r["region"]) for r in regions.connected_runs(runs).collect()}
+    assert named == {(g, y, first << 32) for g in (1, None) for y, first in ((3, 3), (4, 3), (9, 9))}
