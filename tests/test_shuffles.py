@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from floorlake import picture_queries, queries
 from floorlake.adapters import Views
-from floorlake.operators import masks, matching, metrics
+from floorlake.operators import evaluate, masks, matching, metrics
 
 IMAGES = "image_id long, width double, height double"
 
@@ -70,3 +70,21 @@ def test_templates_meet_pixels_without_a_broadcast_of_these(spark):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in text.splitlines() if "BroadcastHashJoin" in line and "__y" in line] and "SortMergeJoin" in text
     assert (1, 0, 0) in [(r["template_id"], r["y"], r["x"]) for r in found.collect()]
+
+
+def test_levels_are_dealt_before_they_are_boxes(spark, tmp_path):
+    rows = [(e, e % 40, "view") for e in range(200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "many" / "events.parquet"))
+    found = queries.QUERIES["anchor_pyramid"](spark, str(tmp_path / "many"))
+    by_task = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("image_id").alias("images")).collect()
+    assert len(by_task) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["images"] for r in by_task) == 40
+
+
+def test_anchors_rounded_by_grid_line_are_those_rounded_by_box(spark):
+    shapes = evaluate.backbone_shapes(spark.createDataFrame([(1, 100.0, 70.0), (2, 4.0, 9.0)], IMAGES))
+    scales = {4: 32.0, 8: 64.0, 16: 128.0, 32: 256.0, 64: 512.0}
+    sides = ("y1", "x1", "y2", "x2")
+    for step in (1, 3):
+        want = evaluate.anchor_boxes(shapes, scales, step=step).withColumns({c: F.round(c, 3) for c in sides})
+        got = evaluate.anchor_boxes(shapes, scales, step=step, digits=3)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
