@@ -1,14 +1,17 @@
-"""Templates found in pictures: normalised correlation, with places ruled out by coarse sums before any pixels are joined."""
+"""Templates found in pictures: normalised correlation in bands of lines, with places ruled out by coarse sums before their pixels are looked at."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from floorlake.operators.pictures import summed_area
 from floorlake.operators.suppress import suppress_boxes
-from floorlake.staging import broadcast_if_small, scratch, staged
+from floorlake.staging import broadcast_if_small, small_batches
 
 #: A template is cut into so many blocks each way for the bound.
 BLOCKS = 4
@@ -17,6 +20,11 @@ SLIP = 1e-6
 #: Hits that stay of a template in a picture.
 MOST_HITS = 200
 THRESHOLD = 0.85
+#: Lines of a picture in which the places of a band begin; a band goes on as far down as templates reach.
+BAND = 64
+#: Pixels that are looked at together.
+CELLS = 1 << 20
+PLACES = "image_id long, template_id long, y long, x long, h long, w long, energy double, window double, product double"
 
 
 def _cuts(side: int, blocks: int) -> list[int]:
@@ -24,94 +32,109 @@ def _cuts(side: int, blocks: int) -> list[int]:
     return [side * k // n for k in range(n + 1)]
 
 
-def template_blocks(templates: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """template_id, h, w, mean, energy, parts, rest of each template (template_id, y, x, value).
+def template_sizes(templates: DataFrame) -> DataFrame:
+    """h, w, ids, cells: the templates (template_id, y, x, value) of each size, their values line by line, one after the other."""
+    value = F.struct("y", "x", F.col("value").cast("double").alias("v"))
+    each = templates.groupBy("template_id").agg((F.max("y") + 1).cast("long").alias("h"), (F.max("x") + 1).cast("long").alias("w"), F.array_sort(F.collect_list(value))["v"].alias("cells"))
+    sized = each.groupBy("h", "w").agg(F.array_sort(F.collect_list(F.struct("template_id", "cells"))).alias("t"))
+    return sized.select("h", "w", F.col("t.template_id").alias("ids"), F.flatten("t.cells").alias("cells"))
+
+
+def picture_bands(pixels: DataFrame, reach: DataFrame, height: int = BAND) -> DataFrame:
+    """image_id, band, lines: the lines of values from ``height`` * band on, ``height`` and as many more as ``reach`` (one row, reach) says.
 
-    With values less their mean: energy is the sum of squares; parts the sums of the blocks, row
-    by row; rest the square root of what is left of the energy when each block is its mean. Cut k
-    of a side s into n lies at s * k div n.
+    Pictures are whole: each row has every column. Spark takes exploded pixels for as small as what
+    they come from and would broadcast them.
     """
-    sized = templates.groupBy("template_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.avg("value").alias("mean"))
-    d = templates.join(broadcast_if_small(sized), "template_id").withColumn("v", F.col("value") - F.col("mean"))
-    # block of a place: the last cut at or before it
-    part = lambda c, s: F.floor(((F.col(c) + 1) * F.least(F.col(s), F.lit(blocks)) - 1) / F.col(s))
-    by_block = d.groupBy("template_id", "h", "w", "mean", part("y", "h").alias("by"), part("x", "w").alias("bx")).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("e"), F.count(F.lit(1)).alias("n"))
-    held = by_block.groupBy("template_id", "h", "w", "mean").agg(
-        F.sum("e").alias("energy"), F.array_sort(F.collect_list(F.struct("by", "bx", "s", "n"))).alias("b"), F.sum(F.col("e") - F.col("s") * F.col("s") / F.col("n")).alias("rest")
-    )
-    return held.select("template_id", "h", "w", "mean", "energy", F.transform("b", lambda x: x["s"]).alias("parts"), F.sqrt(F.greatest("rest", F.lit(0.0))).alias("rest"))
-
-
-def _corner_sums(table: DataFrame, h: int, w: int, blocks: int) -> DataFrame:
-    """image_id, y, x, sums, squares: at each place of a ``h`` x ``w`` window the sums of its blocks, row by row, and the sum of its squares."""
-    ys, xs = _cuts(h, blocks), _cuts(w, blocks)
-    across, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    # a window's corner k to the right of the pixel before it: totals of the place that much farther on
-    d = table.withColumn("__row", F.array(*[F.coalesce(F.lead("value_total", b - 1).over(across) if b else F.lag("value_total", 1).over(across), F.lit(0)) for b in xs]))
-    d = d.withColumns({"__end": F.lead("square_total", w - 1).over(across), "__before": F.coalesce(F.lag("square_total", 1).over(across), F.lit(0))})
-    d = d.withColumns({"__rows": F.array(*[F.lead("__row", a - 1).over(down) if a else F.lag("__row", 1).over(down) for a in ys])})
-    d = d.withColumn("squares", F.lead("__end", h - 1).over(down) - F.coalesce(F.lag("__end", 1).over(down), F.lit(0)) - F.lead("__before", h - 1).over(down) + F.coalesce(F.lag("__before", 1).over(down), F.lit(0)))
-    at = lambda j, k: F.coalesce(F.col("__rows")[j][k], F.lit(0))
-    sums = [at(j + 1, k + 1) - at(j, k + 1) - at(j + 1, k) + at(j, k) for j in range(len(ys) - 1) for k in range(len(xs) - 1)]
-    return d.filter("squares is not null").select("image_id", "y", "x", F.array(*sums).alias("sums"), "squares")
-
-
-def possible_places(pixels: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
-    """image_id, template_id, y, x, energy, mean, window, h, w of places whose correlation may reach ``threshold``.
+    lines = pixels.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", F.col("value").cast("double").alias("v"))))["v"].alias("line"))
+    bands = lines.select("image_id", F.floor(F.col("y") / height).alias("band")).distinct().crossJoin(F.broadcast(reach))
+    within = (F.col("y") >= F.col("band") * height) & (F.col("y") < (F.col("band") + 1) * height + F.col("reach"))
+    met = bands.join(lines.withColumnRenamed("image_id", "__image").hint("merge"), (F.col("image_id") == F.col("__image")) & within)
+    return met.groupBy("image_id", "band").agg(F.array_sort(F.collect_list(F.struct("y", "line")))["line"].alias("lines"))
+
+
+class _Size:
+    """Templates of one size, less their means, and their blocks."""
+
+    def __init__(self, h: int, w: int, ids: np.ndarray, cells: np.ndarray, blocks: int) -> None:
+        self.h, self.w, self.ids = h, w, ids
+        cells = cells.reshape(len(ids), h, w)
+        self.own = cells - cells.mean((1, 2), keepdims=True)
+        self.energy = (self.own * self.own).sum((1, 2))
+        self.ys, self.xs = _cuts(h, blocks), _cuts(w, blocks)
+        self.areas = np.outer(np.diff(self.ys), np.diff(self.xs)).ravel().astype(float)
+        self.parts = np.add.reduceat(np.add.reduceat(self.own, self.ys[:-1], 1), self.xs[:-1], 2).reshape(len(ids), -1)
+        self.rest = np.sqrt(np.maximum(self.energy - (self.parts * self.parts / self.areas).sum(1), 0.0))
+
+    def places(self, picture: np.ndarray, threshold: float, height: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """template's number, y, x, window, product of the places that may match, of those that begin in the first ``height`` lines."""
+        h, w = self.h, self.w
+        down, right = min(height, len(picture) - h + 1), picture.shape[1] - w + 1
+        if down < 1 or right < 1:
+            return
+        totals = np.zeros((2, len(picture) + 1, picture.shape[1] + 1))
+        totals[:, 1:, 1:] = np.stack([picture, picture * picture]).cumsum(1).cumsum(2)
+
+        def sums(table: np.ndarray, y1: int, y2: int, x1: int, x2: int) -> np.ndarray:
+            at = lambda y, x: table[y : y + down, x : x + right]
+            return (at(y2, x2) - at(y1, x2) - at(y2, x1) + at(y1, x1)).ravel()
+
+        blocks = np.stack([sums(totals[0], a, b, c, d) for a, b in zip(self.ys, self.ys[1:]) for c, d in zip(self.xs, self.xs[1:])])
+        average = blocks.sum(0) / (h * w)
+        window = sums(totals[1], 0, h, 0, w) - average * average * (h * w)
+        blocks -= self.areas[:, None] * average
+        left = np.sqrt(np.maximum(window - (blocks * blocks / self.areas[:, None]).sum(0), 0.0))
+        # the product of block means is known, that of the rests is at most the product of their lengths
+        bound = (self.parts / self.areas) @ blocks + self.rest[:, None] * left
+        able = (window > 1e-9) & (self.energy[:, None] > 1e-9)
+        kind, place = np.nonzero(able & (bound >= (threshold - SLIP) * np.sqrt(self.energy[:, None] * np.maximum(window, 0.0))))
+        y, x = np.divmod(place, right)
+        around = np.lib.stride_tricks.sliding_window_view(picture, (h, w))
+        many = max(1, CELLS // (h * w))
+        for k in range(0, len(kind), many):
+            t, a, b = kind[k : k + many], y[k : k + many], x[k : k + many]
+            yield t, a, b, window[place[k : k + many]], np.einsum("kij,kij->k", around[a, b], self.own[t])
+
+
+def possible_places(pixels: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, height: int = BAND) -> DataFrame:
+    """image_id, template_id, y, x, h, w, energy, window, product of places whose correlation may reach ``threshold``.
 
     Both window and template are split into block means and what is left of them. The means'
     product is known from summed areas; the rests' is at most the product of their lengths. Places
-    where both together stay below the threshold are dropped; no place that reaches it is. ``window``:
-    the window's energy about its mean.
+    where both together stay below the threshold are dropped; no place that reaches it is.
+    ``energy`` and ``window``: the template's and the window's energy about their means, ``product`` that of both.
     """
-    table = staged(summed_area(pixels.withColumn("square", F.col("value") * F.col("value")), "value", "square"), "sums", keep=True)
-    kinds = staged(template_blocks(templates, blocks), "templates", keep=True)
-    found = None
-    # as many plans as there are sizes; templates of a size share one
-    for h, w in sorted((r["h"], r["w"]) for r in kinds.select("h", "w").distinct().collect()):
-        ys, xs = _cuts(h, blocks), _cuts(w, blocks)
-        areas = F.array(*[F.lit(float((b - a) * (d - c))) for a, b in zip(ys, ys[1:]) for c, d in zip(xs, xs[1:])])
-        places = _corner_sums(table, h, w, blocks)
-        total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-        mean = total("sums") / (h * w)
-        centred = F.zip_with("sums", areas, lambda s, a: s - a * F.col("average"))
-        places = places.withColumn("average", mean).withColumn("window", F.col("squares") - F.col("average") * F.col("average") * (h * w))
-        places = places.filter("window > 1e-9").withColumn("own", centred)
-        places = places.withColumn("left", F.sqrt(F.greatest(F.col("window") - total(F.zip_with("own", areas, lambda s, a: s * s / a)), F.lit(0.0))))
-        # the templates of this size as one list beside every place; only those that may match there become rows
-        one = F.struct("template_id", "mean", "energy", "parts", "rest")
-        same = kinds.filter((F.col("h") == h) & (F.col("w") == w) & (F.col("energy") > 1e-9)).groupBy("h", "w").agg(F.collect_list(one).alias("kinds"))
-
-        def bound(t: Column) -> Column:
-            coarse = total(F.zip_with(F.zip_with("own", t["parts"], lambda a, b: a * b), areas, lambda p, a: p / a))
-            return (coarse + F.col("left") * t["rest"]) / F.sqrt(F.col("window") * t["energy"])
-
-        met = places.withColumns({"h": F.lit(h).cast("long"), "w": F.lit(w).cast("long")}).join(broadcast_if_small(same), ["h", "w"])
-        kept = met.select("image_id", "y", "x", "window", "h", "w", F.explode(F.filter("kinds", lambda t: bound(t) >= threshold - SLIP)).alias("t"))
-        kept = kept.select("image_id", "t.template_id", "y", "x", "t.energy", "t.mean", "window", "h", "w")
-        found = kept if found is None else found.union(kept)
-    if found is None:
-        return pixels.sparkSession.createDataFrame([], "image_id long, template_id long, y long, x long, energy double, mean double, window double, h long, w long")
-    return found
-
-
-def template_hits(pixels: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, most: int = MOST_HITS) -> DataFrame:
+    small_batches(pixels.sparkSession)
+    sizes = template_sizes(templates)
+    bands = picture_bands(pixels, sizes.agg((F.max("h") - 1).alias("reach")), height)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], _Size] = {}
+        for batch in batches:
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                image, band, h, w = (column[c][r].as_py() for c in ("image_id", "band", "h", "w"))
+                if (h, w) not in known:
+                    known[h, w] = _Size(h, w, *(column[c][r].values.to_numpy(zero_copy_only=False) for c in ("ids", "cells")), blocks)
+                size, lines = known[h, w], column["lines"][r].values
+                for t, y, x, window, product in size.places(lines.flatten().to_numpy(zero_copy_only=False).reshape(len(lines), -1), threshold, height):
+                    alike = [np.full(len(t), v) for v in (h, w)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v) for v in (np.full(len(t), image), size.ids[t], y + band * height, x, *alike, size.energy[t], window, product)],
+                        names=["image_id", "template_id", "y", "x", "h", "w", "energy", "window", "product"],
+                    )
+
+    return bands.crossJoin(broadcast_if_small(sizes)).mapInArrow(run, PLACES)
+
+
+def template_hits(pixels: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, most: int = MOST_HITS, height: int = BAND) -> DataFrame:
     """image_id, template_id, y, x, h, w, score: places where the correlation of picture and template, both less their means, is ``threshold`` or more.
 
     Of more than ``most`` of a template in a picture the best stay, of equal ones the first. Flat windows and flat templates match nowhere.
     """
-    with scratch(pixels.sparkSession):
-        places = staged(possible_places(pixels, templates, threshold), "places", keep=True)
-        cells = templates.select("template_id", F.col("y").alias("dy"), F.col("x").alias("dx"), F.col("value").alias("t"))
-        looked = places.join(broadcast_if_small(cells), "template_id").select("*", (F.col("y") + F.col("dy")).alias("py"), (F.col("x") + F.col("dx")).alias("px"))
-        p = pixels.select(F.col("image_id").alias("__image"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("value").alias("v"))
-        # Spark takes exploded pixels for as small as what they come from and would broadcast them
-        met = looked.join(p.hint("merge"), (F.col("image_id") == F.col("__image")) & (F.col("py") == F.col("__y")) & (F.col("px") == F.col("__x")))
-        product = F.sum((F.col("t") - F.col("mean")) * F.col("v"))
-        scored = met.groupBy("image_id", "template_id", "y", "x", "h", "w", "energy", "window").agg(product.alias("product"))
-        hits = scored.withColumn("score", F.col("product") / F.sqrt(F.col("energy") * F.col("window"))).filter(F.col("score") >= threshold)
-        place = F.row_number().over(Window.partitionBy("image_id", "template_id").orderBy(F.desc(F.round("score", 9)), "y", "x"))
-        return hits.withColumn("__place", place).filter(F.col("__place") <= most).select("image_id", "template_id", "y", "x", "h", "w", "score")
+    scored = possible_places(pixels, templates, threshold, height=height).withColumn("score", F.col("product") / F.sqrt(F.col("energy") * F.col("window")))
+    place = F.row_number().over(Window.partitionBy("image_id", "template_id").orderBy(F.desc(F.round("score", 9)), "y", "x"))
+    return scored.filter(F.col("score") >= threshold).withColumn("__place", place).filter(F.col("__place") <= most).select("image_id", "template_id", "y", "x", "h", "w", "score")
 
 
 def icon_boxes(hits: DataFrame, scale: Column | None = None, smallest: float = 10.0, largest: float = 150.0, threshold: float = 0.3) -> DataFrame:

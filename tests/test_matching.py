@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from floorlake import picture_queries, queries  # noqa: F401  (registers its queries)
 from floorlake.operators import matching
 
 PIXELS = "image_id long, y long, x long, value long"
@@ -74,3 +75,27 @@ def test_icon_boxes(spark):
     d = spark.createDataFrame(hits, "image_id long, template_id long, y long, x long, h long, w long, score double, class_id int")
     got = matching.icon_boxes(d, F.lit(0.5)).collect()
     assert sorted((r["class_id"], r["score"], r["y1"], r["x1"], r["y2"], r["x2"]) for r in got) == [(4, 0.88, 200.0, 200.0, 240.0, 260.0), (4, 0.95, 10.0, 22.0, 50.0, 82.0), (5, 0.86, 10.0, 22.0, 50.0, 82.0)]
+
+
+def test_a_picture_of_several_bands(spark):
+    r = random.Random(7)
+    pictures = {1: grid(r, 23, 9, [0, 10, 250]), 2: grid(r, 10, 7, [0, 3, 9])}
+    templates = {k: (h, 3, {(a, b): pictures[1][2][y + a, x + b] for a in range(h) for b in range(3)}) for k, h, y, x in ((1, 3, 4, 2), (2, 8, 1, 5), (3, 12, 11, 0), (4, 3, 20, 6))}
+    p, t = tables(spark, pictures, templates)
+    got = sorted(tuple(x) for x in matching.template_hits(p, t, 0.5, height=5).withColumn("score", F.round("score", 6)).collect())
+    want = plain_hits(pictures, templates, 0.5, 200)
+    assert [g[:6] for g in got] == [w[:6] for w in want] and {1, 2, 3, 4} <= {g[1] for g in got if g[6] > 0.999}
+
+
+def test_pixels_are_shuffled_by_no_window_and_nothing_runs_before(spark, tmp_path):
+    rows = [(e, e % 3, ("view", "signup", "purchase")[e % 3]) for e in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan of template_hits", "")
+    found = queries.QUERIES["template_hits"](spark, str(tmp_path))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    jobs = tracker.getJobIdsForGroup("plan of template_hits")
+    spark.sparkContext.setJobGroup("", "")
+    # a job each that reads the schema of events aside, only the running of the result is work
+    assert len(jobs) <= 1 and len(text) < 40000
+    assert not [line for line in text.splitlines() if "Exchange hashpartitioning" in line and " y#" in line]
