@@ -166,27 +166,33 @@ def equalised(pixels: DataFrame, images: DataFrame, clip: float = 3.0, tiles: in
     every = _with_mirror(_with_mirror(d, "x", F.col("w"), F.col("tw") * tiles), "y", F.col("h"), F.col("th") * tiles)
     tile = [F.floor(F.col("y") / F.col("th")).alias("ty"), F.floor(F.col("x") / F.col("tw")).alias("tx")]
     counts = every.groupBy("image_id", *tile, (F.col("tw") * F.col("th")).alias("area"), "value").agg(F.count(F.lit(1)).alias("n"))
-    # all 256 values of a tile in one row: a map of its values' numbers, then an array
-    held = counts.groupBy("image_id", "ty", "tx", "area").agg(F.map_from_entries(F.collect_list(F.struct(F.col("value").cast("int"), "n"))).alias("m"))
-    bins = held.select("image_id", "ty", "tx", "area", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.try_element_at("m", v), F.lit(0).cast("long"))).alias("bins"))
     limit = F.greatest(F.lit(1).cast("long"), F.floor(clip * F.col("area") / 256))
-    bins = bins.withColumn("limit", limit).withColumn("cut", F.aggregate("bins", F.lit(0).cast("long"), lambda s, n: s + F.greatest(n - F.col("limit"), F.lit(0))))
+    order, whole = Window.partitionBy("image_id", "ty", "tx").orderBy("value"), Window.partitionBy("image_id", "ty", "tx")
+    kept = F.sum(F.least(F.col("n"), limit)).over(_upto(order)).cast("int")
+    steps = counts.select("image_id", "ty", "tx", "area", F.col("value").cast("int").alias("value"), kept.alias("kept"), F.coalesce(F.lead("value").over(order), F.lit(256)).cast("int").alias("next"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).over(whole).alias("cut"))
+    held = steps.groupBy("image_id", "ty", "tx", "area", "cut").agg(F.array_sort(F.collect_list(F.struct("value", "next", "kept"))).alias("s"))
+    # running sums stand still between the values of a tile, so all 256 need no rows
+    first = F.array_repeat(F.lit(0), F.get("s", F.lit(0))["value"])
+    upto = F.flatten(F.concat(F.array(first), F.transform("s", lambda e: F.array_repeat(e["kept"], e["next"] - e["value"]))))
     rest = F.col("cut") % 256
-    step = F.when(rest > 0, F.greatest(F.floor(256 / rest), F.lit(1)))
-    more = lambda v: F.floor(F.col("cut") / 256) + F.when((rest > 0) & (v % step == 0) & (F.floor(v / step) < rest), 1).otherwise(0)
-    clipped = bins.select("image_id", "ty", "tx", "area", F.posexplode(F.transform("bins", lambda n, v: F.least(n, F.col("limit")) + more(v))).alias("value", "n"))
-    mapped = clipped.select("image_id", "ty", "tx", "value", F.least(F.bround(F.sum("n").over(_upto(Window.partitionBy("image_id", "ty", "tx").orderBy("value"))) * (255.0 / F.col("area"))), F.lit(255.0)).alias("to"))
+    one = F.struct(upto.alias("upto"), F.floor(F.col("cut") / 256).alias("even"), rest.alias("rest"), F.greatest(F.floor(256 / F.greatest(rest, F.lit(1))), F.lit(1)).alias("step"), (255.0 / F.col("area")).alias("scale"))
+    maps = held.select("image_id", F.struct((F.col("ty") * tiles + F.col("tx")).cast("int").alias("tile"), one.alias("map")).alias("m")).groupBy("image_id").agg(F.map_from_entries(F.collect_list("m")).alias("maps"))
     near = lambda c, t: F.col(c) * (1.0 / F.col(t)) - 0.5
-    sides = d.select("image_id", "y", "x", F.col("value").cast("int").alias("value"), near("y", "th").alias("fy"), near("x", "tw").alias("fx"))
+    # a picture's maps in one row, tiles x tiles x 256 numbers whatever its size, beside its pixels, which stay where they are
+    met = d.withColumns({"fy": near("y", "th"), "fx": near("x", "tw"), "value": F.col("value").cast("int")}).join(maps.withColumnRenamed("image_id", "__image").hint("merge"), F.col("image_id") == F.col("__image"))
 
-    def pair(f: str) -> Column:
+    def pair(f: str) -> list[tuple[Column, Column]]:
         low = F.floor(f)
         share = F.col(f) - low
-        return F.array(F.struct(F.greatest(low, F.lit(0)).alias("t"), (1 - share).alias("share")), F.struct(F.least(low + 1, F.lit(tiles - 1)).alias("t"), share.alias("share")))
+        return [(F.greatest(low, F.lit(0)), 1 - share), (F.least(low + 1, F.lit(tiles - 1)), share)]
+
+    def part(ty: Column, tx: Column, share: Column) -> Column:
+        m, v = F.try_element_at("maps", (ty * tiles + tx).cast("int")), F.col("value")
+        # what was cut off: the same for each value, and one more for every step-th until none is left
+        more = m["even"] * (v + 1) + F.least(F.floor(v / m["step"]) + 1, m["rest"])
+        to = F.least(F.bround((F.get(m["upto"], v) + more) * m["scale"]), F.lit(255.0))
+        return F.coalesce(F.round(share * to * 1e6).cast("long"), F.lit(0).cast("long"))
 
-    by_row = sides.select("image_id", "y", "x", "value", F.explode(pair("fy")).alias("b"), pair("fx").alias("a"))
-    four = by_row.select("image_id", "y", "x", "value", F.col("b.t").alias("ty"), F.col("b.share").alias("sy"), F.explode("a").alias("a")).select("image_id", "y", "x", "value", "ty", F.col("a.t").alias("tx"), (F.col("sy") * F.col("a.share")).alias("share"))
-    # 256 values a tile, which Spark takes for as few bytes as their pictures had
-    met = four.join(mapped.hint("merge"), ["image_id", "ty", "tx", "value"])
     # summed in a whole number of parts, so that the order of the four doesn't matter
-    return met.groupBy("image_id", "y", "x").agg(F.bround(F.sum(F.round(F.col("share") * F.col("to") * 1e6).cast("long")) / 1e6).cast("int").alias("value"))
+    total = sum((part(ty, tx, sy * sx) for ty, sy in pair("fy") for tx, sx in pair("fx")), F.lit(0).cast("long"))
+    return met.select("image_id", "y", "x", F.bround(total / 1e6).cast("int").alias("value"))
