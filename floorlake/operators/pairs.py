@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorlake.functions import geometry as g
+from floorlake.staging import by_image
 
 
 def _pairs(dets: DataFrame, condition: Column) -> DataFrame:
@@ -76,10 +77,15 @@ def uncovered_walls(walls: DataFrame, doors: DataFrame, share: float = 0.35) ->
 
 def first_windows(segments: DataFrame, windows: DataFrame, margin: float = 6.0) -> DataFrame:
     """image_id, seg_id, det_id and box of the first window in order that each segment meets, ``margin`` added around it."""
-    s, w = segments.alias("s"), windows.alias("w")
+    # few bytes, but many pairs: those of a file would be one task
+    s, w = by_image(segments).alias("s"), by_image(windows).alias("w")
     box = g.Box(F.col("w.y1") - margin, F.col("w.x1") - margin, F.col("w.y2") + margin, F.col("w.x2") + margin)
     segment = g.Segment(*(F.col(f"s.{c}") for c in ("x1", "y1", "x2", "y2")))
-    pairs = s.join(w, (F.col("s.image_id") == F.col("w.image_id")) & g.segment_meets_box(segment, box))
+    # lines beyond a box by a pixel meet it only by rounding, which moves a crossing so far on lines that are all but level or upright
+    apart = lambda a, b, low, high: (F.greatest(a, b) < low - 1) | (F.least(a, b) > high + 1)
+    steep = lambda a, b: (a != b) & (F.abs(a - b) < 1)
+    near = ~(apart(segment.x1, segment.x2, box.x1, box.x2) | apart(segment.y1, segment.y2, box.y1, box.y2)) | steep(segment.x1, segment.x2) | steep(segment.y1, segment.y2)
+    pairs = s.join(w, (F.col("s.image_id") == F.col("w.image_id")) & near & g.segment_meets_box(segment, box))
     found = F.struct(F.col("w.det_id").alias("det_id"), *[v.alias(c) for c, v in box._asdict().items()])
     return pairs.groupBy("s.image_id", "s.seg_id").agg(F.min(found).alias("w")).select("image_id", "seg_id", "w.*")
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from floorlake import picture_queries, queries
 from floorlake.adapters import Views
-from floorlake.operators import evaluate, masks, matching, metrics
+from floorlake.functions import geometry as g
+from floorlake.operators import evaluate, masks, matching, metrics, pairs
 
 IMAGES = "image_id long, width double, height double"
 
@@ -88,3 +89,26 @@ def test_anchors_rounded_by_grid_line_are_those_rounded_by_box(spark):
         want = evaluate.anchor_boxes(shapes, scales, step=step).withColumns({c: F.round(c, 3) for c in sides})
         got = evaluate.anchor_boxes(shapes, scales, step=step, digits=3)
         assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_segments_meet_windows_in_many_tasks_and_far_ones_are_not_compared(spark, tmp_path):
+    rows = [(e, e % 40, ("view", "signup")[e % 2]) for e in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    v = Views(spark, str(tmp_path))
+    met = pairs.first_windows(v.segments.filter("seg_id % 4 = 0 or image_id % 2 = 0"), v.detections.withColumn("image_id", F.col("image_id") - F.col("image_id") % 2).filter("class_id = 2"))
+    text = plan(met)
+    # dealt by image whatever the file's parts are, and cheap bounds come before crossings
+    assert text.count("REPARTITION_BY_NUM") == 2
+    condition = next(line for line in text.splitlines() if "Join" in line and "image_id" in line)
+    assert "greatest(" in condition
+
+
+def test_first_windows_against_every_pair(spark):
+    ends = [(0, 0, 30, 0), (0, 0, 0, 30), (50, 50, 50.0000001, 90), (-20, 7, 60, 7.5), (5, 5, 6, 6), (40, 0, 0, 40), (17, 3, 16.9, 60), (80, 80, 90, 90), (None, 5.0, 12.0, 12.0), (36, 10, 60, 10), (36.5, 10, 60, 10)]
+    s = spark.createDataFrame([(1, i, *[None if c is None else float(c) for c in e]) for i, e in enumerate(ends)], "image_id long, seg_id long, x1 double, y1 double, x2 double, y2 double")
+    boxes = [(10, 10, 30, 30), (0, 40, 20, 60), (48, 30, 52, 40), (200, 200, 210, 210), (16, 58, 18, 70)]
+    w = spark.createDataFrame([(1, i, *map(float, b)) for i, b in enumerate(boxes)], "image_id long, det_id long, x1 double, y1 double, x2 double, y2 double")
+    box = g.Box(F.col("w.y1") - 6, F.col("w.x1") - 6, F.col("w.y2") + 6, F.col("w.x2") + 6)
+    every = s.alias("s").crossJoin(w.alias("w")).filter(g.segment_meets_box(g.Segment(*(F.col(f"s.{c}") for c in ("x1", "y1", "x2", "y2"))), box))
+    want = sorted(map(tuple, every.groupBy("seg_id").agg(F.min("det_id")).collect()))
+    assert sorted((r["seg_id"], r["det_id"]) for r in pairs.first_windows(s, w).collect()) == want and len(want) > 5
