@@ -156,3 +156,19 @@ def test_doors(spark, images):
 def test_icons(spark):
     d = spark.createDataFrame([(100.0, 10.0, 10.0, 40.0, 100.0), (100.0, 30.0, 10.0, 40.0, 100.0), (500.0, 20.0, 20.0, 80.0, 100.0)], "area double, width double, height double, perimeter double, mean double")
     assert pairs.icon_candidates(d).count() == 1
+
+
+def test_ap_over_thresholds_keeps_a_prediction_one_row(spark):
+    n = 60
+    gt = spark.range(n).selectExpr("id % 4 image_id", "id gt_id", "cast(id % 2 as int) class_id", "cast(id * 37 % 90 as double) y1", "cast(id * 53 % 90 as double) x1").selectExpr("*", "y1 + 20 y2", "x1 + 20 x2")
+    pred = gt.filter("image_id < 3").selectExpr("image_id", "gt_id pred_id", "class_id", "gt_id * 7 % 10 / 10D score", "y1 + gt_id % 5 y1", "x1 - gt_id % 7 x1", "y2 + gt_id % 5 y2", "x2 - gt_id % 3 x2")
+    steps = [0.5, 0.6, 0.75, 0.9]
+    got = evaluate.ap_over_thresholds(gt, pred, steps)
+    each = [{r["image_id"]: r["ap"] for r in evaluate.average_precision(evaluate.greedy_matches(gt, pred, t), gt).collect()} for t in steps]
+    for r in got.collect():
+        assert r["ap"] == pytest.approx(sum(e[r["image_id"]] for e in each) / len(steps))
+    assert len(each[0]) == 4 and {e[3] for e in each} == {0.0} and 0 < each[3][0] < each[0][0]
+    # the windows and what is sorted for them are of predictions, not of predictions and thresholds
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and not [line for line in windows if "threshold" in line]
